@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif
+from palimpsest.llm import bpe, gif, language, toxicity
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
 
@@ -21,6 +21,13 @@ def held_out(doc_id: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", toxicity.toxic().cast("int").alias("predicted"))
+
+
 def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +38,12 @@ def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~held_out("doc_id", 3, 1)))
+    return language.predict(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.store(table(spark, sf_dir, "documents")))
 
@@ -69,7 +82,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op4_bpe_replay": op4_bpe_replay,
+    "op5_language_id": op5_language_id,
     "op6_gif_media": op6_gif_media,
     "op9_source_mix": op9_source_mix,
     "op10_repetition_coverage": op10_repetition_coverage,
