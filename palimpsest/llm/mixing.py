@@ -161,7 +161,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     times = slots.groupBy("_s", "block").agg(F.count("*").alias("times"))
     begin = F.greatest(F.col("block") * block_words, F.col("_from")) - F.col("_from")
     end = F.least((F.col("block") + 1) * block_words, F.col("_end")) - F.col("_from")
-    drawn = pieces.join(times, ["_s", "block"], "left").withColumn("_cut", F.when(F.col("times").isNotNull(), F.struct(begin.alias("from"), end.alias("to"), "times")))
+    drawn = pieces.join(times.hint("merge"), ["_s", "block"], "left").withColumn("_cut", F.when(F.col("times").isNotNull(), F.struct(begin.alias("from"), end.alias("to"), "times")))
     documents = drawn.groupBy("_s", "_part", "_row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum((end - begin) * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.sort_array(F.collect_list("_cut")).alias("draws"))
     documents = documents.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
     return documents, slots.join(F.broadcast(per_source.select("_s", "source")), "_s").select("shard", "source", "epoch", "block")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif, language, toxicity
+from palimpsest.llm import bpe, gif, hmm, language, toxicity
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
 
@@ -48,6 +48,11 @@ def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.store(table(spark, sf_dir, "documents")))
 
 
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.hmm_scores(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_replay": op4_bpe_replay,
     "op5_language_id": op5_language_id,
     "op6_gif_media": op6_gif_media,
+    "op7_hmm_lm": op7_hmm_lm,
     "op9_source_mix": op9_source_mix,
     "op10_repetition_coverage": op10_repetition_coverage,
 }

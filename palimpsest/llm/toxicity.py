@@ -25,7 +25,7 @@ MAX_ROWS, MAX_FEATURES, MIN_ROWS = 6000, 4096, 4
 #: Bytes of the word beginnings that are features besides whole words.
 STARTS = (4, 5, 6, 7)
 #: Weights of the charges: score change under a swap, squares, absolute values.
-SWAP, RIDGE, LASSO = 1.0, 1e-4, 2e-4
+SWAP, RIDGE, LASSO = 1.0, 1e-5, 5e-5
 
 #: Terms of one kind are swapped for each other.
 IDENTITY = (
