@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif, hmm, language, suffixes, toxicity
+from palimpsest.llm import bpe, gif, hmm, language, minhash, suffixes, toxicity
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
 
@@ -21,6 +21,10 @@ def held_out(doc_id: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(False))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
@@ -92,6 +96,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_bpe_replay": op4_bpe_replay,
     "op5_language_id": op5_language_id,
