@@ -284,14 +284,8 @@ def _rivals(bands: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame
     return spread.join(sketches, "_h").select("band", "key", "_at", "_h", "label", "_own", "sketch").groupBy("band", "key", "_at").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its class, for each row.
-
-    Texts are near-duplicates if the weighted Jaccard similarity of their shingles is at least
-    similar; classes close this over chains. Equal texts are in one class; null texts count as
-    empty, and texts without a word are near only to their equals. Null doc_ids are ordinary rows
-    (class_id is null only if all of a class are null). Repeated rows come out repeated."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_h", F.unhex(F.md5("_text")))
+def _members(rows: DataFrame, similar: float) -> DataFrame:
+    """_h, doc_id and _class (a text hash) of each row of rows (_id, _h, _text)."""
     signed = written(signatures(rows), "signatures")
     bands = signed.select("_h", F.posexplode("bands").alias("band", "key")).distinct()
     hubs = bands.groupBy("band", "key").agg(F.min("_h").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -303,6 +297,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         more = written(verified(rivals, rows, signed, similar), "links")
         if more.limit(1).count():
             labels = components(links.union(more))
-    members = signed.select("_h", F.explode("ids").alias("doc_id")).join(labels, F.col("_h") == labels["v"], "left").select("doc_id", F.coalesce("label", "_h").alias("_class"))
+    return signed.select("_h", F.explode("ids").alias("doc_id")).join(labels, F.col("_h") == labels["v"], "left").select("_h", "doc_id", F.coalesce("label", "_h").alias("_class"))
+
+
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_h", F.unhex(F.md5("_text")))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of its class, for each row.
+
+    Texts are near-duplicates if the weighted Jaccard similarity of their shingles is at least
+    similar; classes close this over chains. Equal texts are in one class; null texts count as
+    empty, and texts without a word are near only to their equals. Null doc_ids are ordinary rows
+    (class_id is null only if all of a class are null). Repeated rows come out repeated."""
+    members = _members(_rows(docs, text, doc_id), similar)
     classes = members.groupBy("_class").agg(F.min("doc_id").alias("class_id"))
     return members.join(classes, "_class").select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """docs with one row of each class: that with the smallest doc_id (null last; for equal ids,
+    the smallest text hash). Rows that are alone in their class stay where they are; only the
+    others, found by a filter of fixed size, are shuffled."""
+    spark, columns = docs.sparkSession, docs.columns
+    members = written(_members(_rows(docs, text, doc_id), similar), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h"))).alias("first")
+    classes = members.groupBy("_class").agg(F.count("*").alias("n"), first)
+    shared = spark.sparkContext.broadcast(_filter(members.join(classes.filter("n > 1").select("_class"), "_class", "left_semi").select("_h")))
+    hashed = docs.withColumn("_h", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+
+    def side(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = _bit_of(batch.column(batch.num_columns - 1).to_pylist())
+                yield batch.filter(pa.array(((shared.value[at >> 3] >> (at & 7)) & 1 == 1) == inside))
+
+        return hashed.mapInArrow(run, hashed.schema)
+
+    chosen = classes.select(F.col("first.id").alias("_cid"), F.col("first.h").alias("_ch"))
+    crowd = side(True)
+    crowd = crowd.join(chosen, (crowd["_h"] == chosen["_ch"]) & F.col(doc_id).cast("long").eqNullSafe(chosen["_cid"]), "left_semi").dropDuplicates(["_h"])
+    return side(False).select(*columns).unionByName(crowd.select(*columns))

@@ -165,3 +165,36 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     documents = drawn.groupBy("_s", "_part", "_row", "doc_id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum((end - begin) * F.col("times")), F.lit(0)).cast("long").alias("taken"), F.sort_array(F.collect_list("_cut")).alias("draws"))
     documents = documents.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
     return documents, slots.join(F.broadcast(per_source.select("_s", "source")), "_s").select("shard", "source", "epoch", "block")
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs as the mix takes them: a row for each time a part of a document is taken, with the text
+    cut to the words taken that time. Words that follow each other in the document keep what stands
+    between them; parts that do not are joined by a newline. Documents never taken are left out."""
+    columns = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text), F.col(source)))
+    plan_of = mix_sources(keyed.withColumn("_id", F.col("_key")), text, source, "_id", **options)[0].select(F.col("doc_id").alias("_key"), "draws", F.row_number().over(Window.partitionBy("doc_id").orderBy("draws")).alias("_nth"))
+    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    rows = keyed.join(plan_of.filter("size(draws) > 0"), ["_key", "_nth"]).select(*columns, F.expr("transform(draws, x -> array(x.from, x.to, x.times))").alias("_draws"))
+    kept, place = rows.schema[: len(columns)], columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, block in blocks(batch.column(place)):
+                starts, ends, owner = block.words()
+                first = np.searchsorted(owner, np.arange(len(block)))
+                who, texts = [], []
+                for i, draws in enumerate(batch.column(len(columns)).slice(at, len(block)).to_pylist()):
+                    for t in range(1, max(d[2] for d in draws) + 1):
+                        runs: list[list[int]] = []
+                        for a, b, times in draws:
+                            if times >= t and runs and runs[-1][1] == a:
+                                runs[-1][1] = b
+                            elif times >= t:
+                                runs.append([a, b])
+                        who.append(at + i)
+                        texts.append(b"\n".join(block.data[starts[first[i] + a] : ends[first[i] + b - 1]].tobytes() for a, b in runs).decode())
+                taken = batch.select(list(range(len(columns)))).take(pa.array(who, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == place else c for j, c in enumerate(taken.columns)], names=columns)
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))

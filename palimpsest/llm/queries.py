@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif, hmm, language, minhash, suffixes, toxicity
+from palimpsest.llm import bpe, gif, hmm, language, minhash, suffixes, toxicity, warc
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
 
@@ -25,6 +25,31 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a replica in which damage is planted: of the ids that leave 0 by 97 the
+    first character of the page is lost, those that leave 1 have no record."""
+    pages = table(spark, sf_dir, "pages")
+    primary = warc.manifest(pages)
+    damage = F.pmod(F.col("page_id"), F.lit(97))
+    damaged = F.when(damage == 0, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    second = pages.withColumn("html", damaged).withColumn("_digest", F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256))
+    held = second.select("page_id", "_digest").filter(~F.coalesce(damage == 1, F.lit(False)))
+    placed = primary.select("archive", "seq", "page_id").join(held, "page_id").select("archive", "seq", F.col("_digest").alias("digest"))
+    return warc.audit_replica(primary, placed)
+
+
+def _op2_sql() -> str:
+    rec = lambda html: f"'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Target-URI: ' || url || n || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen({html}) || n || n || {html} || n || n"
+    up = lambda k, t: f"l{k} AS (SELECT archive, idx // {warc.FANOUT} AS idx, sha256(string_agg(idx || ':' || digest, chr(10) ORDER BY idx)) AS digest FROM {t} GROUP BY ALL)"
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS n FROM pages),
+r AS (SELECT page_id, page_id // {warc.ARCHIVE_RECORDS} AS archive, {rec("html")} AS record FROM p),
+m AS (SELECT archive, page_id, row_number() OVER w - 1 AS idx, strlen(record) AS record_length, sum(strlen(record)) OVER w - strlen(record) AS record_offset, sha256(record) AS digest FROM r WINDOW w AS (PARTITION BY archive ORDER BY page_id)),
+{up(1, "m")}, {up(2, "l1")}, {up(3, "l2")}
+SELECT m.archive::BIGINT AS archive, m.idx::BIGINT AS seq, m.record_offset::BIGINT AS record_offset, m.record_length::BIGINT AS record_length, m.page_id, CASE m.page_id % 97 WHEN 0 THEN 'changed' ELSE 'missing' END AS status, l1.digest AS range_sha256, l3.digest AS root_sha256
+FROM m JOIN l1 ON l1.archive = m.archive AND l1.idx = m.idx // {warc.FANOUT} JOIN l3 ON l3.archive = m.archive WHERE m.page_id % 97 IN (0, 1)"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
@@ -97,6 +122,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_toxicity": op3_toxicity,
     "op4_bpe_replay": op4_bpe_replay,
     "op5_language_id": op5_language_id,
@@ -108,5 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc_fixity": _op2_sql(),
     "op10_repetition_coverage": _op10_sql(),
 }
