@@ -24,6 +24,8 @@ from palimpsest.llm.textblocks import Block, Roller, blocks, member, mix, presen
 
 #: Bytes of a repeat, and of the substrings among which its anchor is chosen.
 LENGTH, ANCHOR = 50, 20
+#: Suffixes that one array holds, unless a single window has more.
+SLICE = 16_384
 
 _LAST = np.iinfo(np.int64).max
 
@@ -229,22 +231,35 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             off = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             roller = Roller(9)
             prefix = roller.prefix(data)
-            twice = present_twice(roller.spans(prefix, begin[of] + off, begin[of] + off + length))
-            of, off = of[twice], off[twice]
-            if len(of):
-                width = 2 * length - anchor
-                take = (begin[of] + off)[:, None] + np.arange(width)
-                texts = data[np.minimum(take, len(data) - 1)]
-                texts[np.arange(width) >= (size[of] - off)[:, None]] = 0
-                before = np.where(off > 0, data[begin[of] + off - 1].astype(np.int64), -1 - np.arange(len(of)))
-                cut = [(of[who[bad]], off[who[bad]], np.full(int(bad.sum()), common)) for common, who in repeat_groups(texts, size[of] - off, before, length) for i in [ids[of[who]]] for bad in [i > i.min()] if bad.any()]
-                if cut:
-                    which, at, common = (np.concatenate(x) for x in zip(*cut, strict=True))
-                    order = np.argsort(chunk[which], kind="stable")
-                    which, at, common = which[order], at[order], common[order]
-                    for p in np.split(np.arange(len(which)), np.flatnonzero(np.diff(chunk[which])) + 1):
-                        d, b, e = merged(doc[which[p]], start[which[p]] + at[p], start[which[p]] + at[p] + common[p])
-                        out.append((int(chunk[which[p[0]]]), pack(d), pack(b), pack(e)))
+            windows = roller.spans(prefix, begin[of] + off, begin[of] + off + length)
+            twice = np.flatnonzero(present_twice(windows))
+            twice = twice[np.argsort(windows[twice], kind="stable")]
+            windows, of, off = windows[twice], of[twice], off[twice]
+            # An interval of common prefixes of that length lies within one window, so the array
+            # is built for as many windows at a time as a slice holds.
+            ends = np.append(np.flatnonzero(windows[1:] != windows[:-1]) + 1, len(windows)) if len(windows) else np.empty(0, np.int64)
+            width, cut, lo = 2 * length - anchor, [], 0
+            while lo < len(windows):
+                hi = int(ends[min(np.searchsorted(ends, lo + SLICE, "left"), len(ends) - 1)])
+                w, o = of[lo:hi], off[lo:hi]
+                texts = np.zeros((hi - lo, width), np.uint8)
+                room = size[w] - o
+                for j in range(width):
+                    inside = room > j
+                    texts[inside, j] = data[begin[w[inside]] + o[inside] + j]
+                before = np.where(o > 0, data[np.maximum(begin[w] + o - 1, 0)].astype(np.int64), -1 - np.arange(hi - lo))
+                for common, who in repeat_groups(texts, room, before, length):
+                    later = ids[w[who]] > ids[w[who]].min()
+                    if later.any():
+                        cut.append((w[who[later]], o[who[later]], np.full(int(later.sum()), common)))
+                lo = hi
+            if len(cut):
+                which, at, common = (np.concatenate(x) for x in zip(*cut, strict=True))
+                order = np.argsort(chunk[which], kind="stable")
+                which, at, common = which[order], at[order], common[order]
+                for p in np.split(np.arange(len(which)), np.flatnonzero(np.diff(chunk[which])) + 1):
+                    d, b, e = merged(doc[which[p]], start[which[p]] + at[p], start[which[p]] + at[p] + common[p])
+                    out.append((int(chunk[which[p[0]]]), pack(d), pack(b), pack(e)))
         return pa.table({"_chunk": pa.array([r[0] for r in out], pa.int32()), **{c: pa.array([r[k] for r in out], pa.binary()) for k, c in ((1, "d"), (2, "s"), (3, "e"))}})
 
     names = ["_id", *keep, "n_bytes", "n_removed", "n_spans", "kept"]
