@@ -8,6 +8,8 @@ bucket once from each chunk, not once from each document, and what travels is ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,33 @@ def blobs(column: pa.ChunkedArray) -> list[bytes]:
     return [x.as_py() for x in column]
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1024) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by key (integers): groups are gathered until they
+    have about `rows` rows, so that many small ones cost one call; a group is never split."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        at = 0
+        while at < len(keys):
+            if count < rows:
+                to = min(len(keys), at + rows - count)
+                held.append(batch.slice(at, to - at))
+                count, at, last = count + to - at, to, keys[to - 1]
+            else:  # to the end of the group that is open
+                to = at + int(np.argmax(np.append(keys[at:] != last, True)))
+                if to > at:
+                    held.append(batch.slice(at, to - at))
+                at = to
+                if at < len(keys):
+                    yield pa.Table.from_batches(held)
+                    held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir of the session; where that is unset, as in tests, one under /tmp."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -2,12 +2,13 @@
 
 A text is the weighted set of its five-word shingles, weight = count x damped idf, with document
 frequencies over the whole corpus from a blob exchange. Each consistent sample of two texts agrees
-with the probability of their weighted Jaccard similarity; samples make bands, and texts that share
-a band are candidates. Candidates are verified by their exact weighted Jaccard similarity: first
-each text of a band against the band's first one, then, in bands whose texts still belong to more
-than one class, the texts of different classes against each other as far as their samples allow a
-link. Classes are the connected components of the verified links, found by joins. Exact copies are
-folded into one text before candidates are made.
+with the probability of their weighted Jaccard similarity; samples make bands. The texts of a band
+meet at its most central one, so that the bands of a group of near copies make one family with one
+hub. A family of bounded size is compared pair by pair, exactly, in one task, as products of
+blocks of its shingle matrix. Larger families are dealt into blocks with the hub in each; what is
+then not yet in the hub's class is compared with all the rest, block by block. Tasks return no
+more links than they have texts. Classes are the connected components of the links, found by
+joins. Exact copies are folded into one text before candidates are made.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.exchange import chunked, pack, unpack, written
+from palimpsest.llm.exchange import chunked, pack, unpack, whole_groups, written
 from palimpsest.llm.textblocks import Block, Roller, blocks, mix, seeds, totals
 
 WORDS, SIMILAR = 5, 0.8
@@ -27,10 +28,8 @@ BANDS, ROWS = 10, 3
 #: How much rarer shingles outweigh common ones: weights lie between 1 and 1 + IDF. A full idf
 #: would tear a large group of near copies apart, whose shared shingles are common by itself.
 IDF = 0.25
-#: Pairs of texts in a group that verifies them or compares their samples; share of samples that
-#: must agree for a pair to be verified in the second round (a pair at 0.8 agrees in fewer with
-#: a probability of about 0.0002).
-GROUP, SKETCH_SHARE = 256, 0.5
+#: Texts of a family in one task; columns of a block of its shingle matrix.
+GROUP, COLUMNS = 512, 4096
 #: Bits of the filter that keeps texts without candidates out of shuffles (16 MB at any input).
 FILTER_BITS = 1 << 27
 
@@ -107,12 +106,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / max(a[1].sum() + b[1].sum() - both, 1e-12))
 
 
-_SIGNED = "_h binary, ids array<bigint>, bands array<bigint>, sketch binary, idf binary"
+_SIGNED = "_h binary, ids array<bigint>, bands array<bigint>, idf binary"
 
 
 def signatures(rows: DataFrame) -> DataFrame:
     """For each chunk and distinct text of it (rows: _id, _h, _text): the documents that have it,
-    its bands, samples and idf codes by shingle."""
+    its bands and idf codes by shingle."""
     dealt, n = chunked(rows, "_text", "_id")
     documents = rows.select("_id").count()
 
@@ -166,7 +165,6 @@ def signatures(rows: DataFrame) -> DataFrame:
         first = np.searchsorted(who, np.arange(len(hashes) + 1))
         some = np.flatnonzero(np.diff(first))
         bands: list[list[int]] = [[] for _ in hashes]
-        sketch = [b""] * len(hashes)
         step = max(1, int(400_000 // max(1, len(keys) / max(1, len(some)))))
         for a in range(0, len(some), step):
             part = some[a : a + step]
@@ -175,20 +173,69 @@ def signatures(rows: DataFrame) -> DataFrame:
             band = mixer[None, :].repeat(len(part), 0)
             for j in range(ROWS):
                 band = mix(band + got[:, j::ROWS].astype(np.uint64))
-            for i, b, s in zip(part, band.view(np.int64).tolist(), got, strict=True):
-                bands[i], sketch[i] = b, s.tobytes()
+            for i, b in zip(part, band.view(np.int64).tolist(), strict=True):
+                bands[i] = b
         codes = [code[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.table([pa.array(hashes, pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(codes, pa.binary())], names=[x.split()[0] for x in _SIGNED.split(", ")])
+        return pa.table([pa.array(hashes, pa.binary()), pa.array(ids, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
     asked = dealt.groupBy("_chunk").applyInArrow(ask, "bucket int, chunk int, k binary, c binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "_chunk int, bucket int, c binary")
     return dealt.groupBy("_chunk").cogroup(answered.groupBy("_chunk")).applyInArrow(finish, _SIGNED)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose weighted Jaccard similarity is at least similar."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_h"))
+def similar_links(sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], old: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Links that span the classes of some weighted sets (sorted keys, counts, weights of one).
+
+    Every pair but those of two old members is compared exactly: a shingle that stands n times is n
+    elements of one weight, so the common weight of all pairs is a sum of matrix products over the
+    elements that two sets or more hold. Pairs that rounding could move are worked out alone."""
+    n = len(sets)
+    size = [int(c.sum()) for _, c, _ in sets]
+    who = np.repeat(np.arange(n), size)
+    if not len(who):
+        return []
+    key = np.concatenate([np.repeat(k, c) for k, c, _ in sets])
+    first = np.concatenate([np.repeat(np.cumsum(c) - c, c) for _, c, _ in sets])
+    level = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size) - first
+    weight = np.concatenate([np.repeat(w, c) for _, c, w in sets])
+    total = np.bincount(who, weight, n)
+    _, element, held = np.unique(mix(key + level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_inverse=True, return_counts=True)
+    shared = held[element] > 1
+    element, who, weight = element[shared], who[shared], weight[shared]
+    order = np.argsort(element, kind="stable")
+    column = np.cumsum(np.diff(element[order], prepend=-1) > 0) - 1
+    who, weight = who[order], weight[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + COLUMNS))
+        block = np.zeros((n, COLUMNS), np.float32)
+        block[who[part], column[part] - lo] = np.sqrt(weight[part])
+        both += block @ block.T
+    found = both / np.maximum(total[:, None] + total[None, :] - both, 1e-12)
+    a, b = np.nonzero(np.triu(found >= similar - 1e-3, 1))
+    open_ = ~(old[a] & old[b])
+    a, b = a[open_], b[open_]
+    root, links = list(range(n)), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = top(i), top(j)
+        if x != y and (found[i, j] > similar + 1e-3 or similarity((sets[i][0], sets[i][1] * sets[i][2]), (sets[j][0], sets[j][1] * sets[j][2])) >= similar - 1e-9):
+            root[y] = x
+            links.append((i, j))
+    return links
+
+
+def compared(tasks: DataFrame, rows: DataFrame, signed: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) of text hashes within each task; tasks: _task (any columns in a struct), _h,
+    old. Texts are fetched once for all tasks, through a filter of fixed size."""
+    spark = tasks.sparkSession
+    wanted = tasks.select("_h").distinct()
     shared = spark.sparkContext.broadcast(_filter(wanted))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,27 +245,31 @@ def verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame, similar: floa
             yield batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
 
     some = rows.select("_h", "_text").mapInArrow(near, "_h binary, _text string").groupBy("_h").agg(F.first("_text").alias("_text"))
-    codes = signed.select("_h", "idf").join(wanted.distinct(), "_h", "left_semi").groupBy("_h").agg(F.first("idf").alias("idf"))
-    texts = some.join(codes, "_h")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("_of"))
-    dealt = pairs.join(groups, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_of")).cast("int"))
-    members = dealt.select("a", "_salt", F.col("b").alias("_h"))
-    heads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_salt"), F.col("a").alias("_h"))
-
-    def check(key: tuple, table: pa.Table) -> pa.Table:
-        head, one, two = key[0].as_py(), Roller(1), Roller(2, base=0xD1342543DE82EF95)
-        hashes, codes, sets = table["_h"].to_pylist(), table["idf"].to_pylist(), []
-        for at, block in blocks(table["_text"]):
-            keys, who, count = shingles(block, one, two)
-            first = np.searchsorted(who, np.arange(len(block) + 1))
-            for i in range(len(block)):
-                s = slice(first[i], first[i + 1])
-                sets.append((keys[s], weighed(count[s], np.frombuffer(codes[at + i], np.uint8))))
-        top = sets[hashes.index(head)]
-        good = [h for h, s in zip(hashes, sets, strict=True) if h != head and similarity(top, s) >= similar]
-        return pa.table({"a": pa.array([head] * len(good), pa.binary()), "b": pa.array(good, pa.binary())})
-
-    return members.union(heads).join(texts, "_h").groupBy("a", "_salt").applyInArrow(check, "a binary, b binary")
+    codes = signed.select("_h", "idf").join(wanted, "_h", "left_semi").groupBy("_h").agg(F.first("idf").alias("idf"))
+    dealt = tasks.join(some.join(codes, "_h"), "_h").withColumn("_key", F.xxhash64("_task"))
+    dealt = dealt.select("_key", "_h", "old", "_text", "idf").repartition("_key").sortWithinPartitions("_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Roller(1), Roller(2, base=0xD1342543DE82EF95)
+        for table in whole_groups(batches, "_key"):
+            keys, hashes = table["_key"].to_numpy(), table["_h"].to_pylist()
+            codes, old, sets = table["idf"].to_pylist(), table["old"].to_numpy().astype(bool), []
+            for at, block in blocks(table["_text"]):
+                shingle, who, count = shingles(block, one, two)
+                first = np.searchsorted(who, np.arange(len(block) + 1))
+                for i in range(len(block)):
+                    s = slice(first[i], first[i + 1])
+                    sets.append((shingle[s], count[s], weighed(1, np.frombuffer(codes[at + i], np.uint8))))
+            ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            left, right, at = [], [], 0
+            for end in ends:
+                for i, j in similar_links(sets[at:end], old[at:end], similar):
+                    left.append(hashes[at + i])
+                    right.append(hashes[at + j])
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def _bit_of(hashes: list[bytes]) -> np.ndarray:
@@ -256,47 +307,53 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _rivals(bands: DataFrame, signed: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of texts that share a band, belong to different classes, and agree in enough samples.
-
-    A band's texts are dealt into groups of bounded size; those outside the class of the band's
-    first text are copied into each of its groups, so that every pair of classes meets."""
-    known = bands.join(labels, bands["_h"] == labels["v"], "left").select("band", "key", "_h", F.coalesce("label", "_h").alias("label"))
-    open_ = known.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "_h").alias("home")).filter("low <> high")
-    inside = known.join(open_.select("band", "key", "n", "home"), ["band", "key"]).withColumn("_of", F.ceil(F.col("n") / F.lit(2 * GROUP)).cast("int"))
-    sketches = signed.select("_h", "sketch").groupBy("_h").agg(F.first("sketch").alias("sketch"))
-    own = F.pmod(F.xxhash64("_h"), F.col("_of")).cast("int")
-    spread = inside.withColumn("_at", F.explode(F.when(F.col("label") == F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("_of") - 1)))).withColumn("_own", own == F.col("_at"))
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        h = np.array(table["_h"].to_pylist(), object)
-        _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
-        own = table["_own"].to_numpy().astype(bool)
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(len(h), -1)
-        need, a, b = SKETCH_SHARE * sketch.shape[1], [], []
-        for i in np.flatnonzero(own):
-            j = np.flatnonzero((label != label[i]) & ((sketch == sketch[i]).sum(axis=1) >= need))
-            j = j[~own[j] | (j > i)]
-            a += [min(h[i], x) for x in h[j]]
-            b += [max(h[i], x) for x in h[j]]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return spread.join(sketches, "_h").select("band", "key", "_at", "_h", "label", "_own", "sketch").groupBy("band", "key", "_at").applyInArrow(compare, "a binary, b binary").distinct()
+def families(signed: DataFrame) -> DataFrame:
+    """(a, b): each text b that shares a band with hub a, the text of that band whose bands hold
+    the most texts (of equals the least hash). Near copies that were changed least hold most."""
+    bands = signed.select("_h", F.posexplode("bands").alias("band", "key")).distinct()
+    full = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    held = bands.join(full, ["band", "key"])
+    central = held.groupBy("_h").agg(F.sum("n").alias("near"))
+    placed = held.join(central, "_h")
+    hubs = placed.groupBy("band", "key").agg(F.min_by("_h", F.struct(-F.col("near"), "_h")).alias("a"))
+    return placed.join(hubs, ["band", "key"]).filter("_h <> a").select("a", F.col("_h").alias("b")).distinct()
+
+
+def _first_tasks(stars: DataFrame) -> DataFrame:
+    """A task for each family, or for each part of a large one, with the hub in each."""
+    parts = stars.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("_of"))
+    members = stars.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_of")).cast("int").alias("_part"), F.col("b").alias("_h"))
+    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_part"), F.col("a").alias("_h"))
+    return members.union(hubs).select(F.struct("a", "_part").alias("_task"), "_h", F.lit(False).alias("old"))
+
+
+def _second_tasks(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """For families that the first tasks split: blocks of the members outside the hub's class
+    against each other and against blocks of its class."""
+    large = stars.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("a")
+    mark = lambda c, to: labels.select(F.col("v").alias(c), F.col("label").alias(to))
+    known = stars.join(large, "a").join(mark("b", "_lb"), "b", "left").join(mark("a", "_la"), "a", "left").withColumn("old", F.coalesce(F.col("_lb") == F.col("_la"), F.lit(False)))
+    blocks_of = known.groupBy("a").agg(F.ceil(F.count_if(~F.col("old")) / F.lit(GROUP)).cast("int").alias("_o"), F.ceil(F.count_if("old") / F.lit(GROUP)).cast("int").alias("_c"))
+    placed = known.join(blocks_of, "a").filter("_o > 0")
+    mine = F.pmod(F.xxhash64("b", F.lit(1)), F.when(F.col("old"), F.col("_c")).otherwise(F.col("_o"))).cast("int")
+    pair = lambda i, kind, j: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    with_open = F.transform(upto(F.col("_o")), lambda j: pair(F.least(mine, j), "open", F.greatest(mine, j)))
+    with_old = F.transform(upto(F.col("_c")), lambda j: pair(mine, "old", j))
+    as_old = F.transform(upto(F.col("_o")), lambda i: pair(i, "old", mine))
+    spread = placed.select("a", "old", F.col("b").alias("_h"), F.explode(F.when(F.col("old"), as_old).otherwise(F.concat(with_open, with_old))).alias("_at"))
+    return spread.select(F.struct("a", "_at").alias("_task"), "_h", "old")
 
 
 def _members(rows: DataFrame, similar: float) -> DataFrame:
     """_h, doc_id and _class (a text hash) of each row of rows (_id, _h, _text)."""
     signed = written(signatures(rows), "signatures")
-    bands = signed.select("_h", F.posexplode("bands").alias("band", "key")).distinct()
-    hubs = bands.groupBy("band", "key").agg(F.min("_h").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = written(bands.join(hubs, ["band", "key"]).filter("_h <> a").select("a", F.col("_h").alias("b")).distinct(), "stars")
-    links = written(verified(stars, rows, signed, similar), "links")
+    stars = written(families(signed), "stars")
+    links = written(compared(_first_tasks(stars), rows, signed, similar), "links")
     labels = components(links)
-    rivals = written(_rivals(bands, signed, labels).join(stars, ["a", "b"], "left_anti"), "rivals")
-    if rivals.limit(1).count():
-        more = written(verified(rivals, rows, signed, similar), "links")
-        if more.limit(1).count():
-            labels = components(links.union(more))
+    second = written(_second_tasks(stars, labels), "tasks")
+    if second.limit(1).count():
+        labels = components(links.union(written(compared(second, rows, signed, similar), "links")))
     return signed.select("_h", F.explode("ids").alias("doc_id")).join(labels, F.col("_h") == labels["v"], "left").select("_h", "doc_id", F.coalesce("label", "_h").alias("_class"))
 
 
