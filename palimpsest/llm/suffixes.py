@@ -45,7 +45,8 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(block: Block, roller: Roller, length: int, anchor: int) -> dict[str, np.ndarray]:
-    """doc, start (in the doc), size, and the two hashes of each segment of a block."""
+    """doc, start (in the doc), size, and the two hashes of each segment of a block. Least hashes
+    crowd at the low end, so the anchor's is mixed once more to spread over the buckets."""
     none = {k: np.empty(0, np.int64) for k in ("doc", "start", "size")} | {k: np.empty(0, np.uint64) for k in ("anchor", "whole")}
     n = len(block.data)
     if n < length:
@@ -70,7 +71,7 @@ def segments(block: Block, roller: Roller, length: int, anchor: int) -> dict[str
     place = at[first].astype(np.int64)
     doc = np.searchsorted(block.offsets, first, "right") - 1
     whole = roller.spans(prefix, first, last + length) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return {"doc": doc, "start": first - block.offsets[doc], "size": last + length - first, "anchor": hashes[place], "whole": mix(whole) >> np.uint64(24)}
+    return {"doc": doc, "start": first - block.offsets[doc], "size": last + length - first, "anchor": mix(hashes[place] + np.uint64(1)), "whole": mix(whole) >> np.uint64(24)}
 
 
 def joined(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
