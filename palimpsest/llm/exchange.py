@@ -49,7 +49,12 @@ def blobs(column: pa.ChunkedArray) -> list[bytes]:
     return [x.as_py() for x in column]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1024) -> Iterator[pa.Table]:
+def released() -> None:
+    """Give back what Arrow keeps of freed buffers, before the next group's are made."""
+    pa.default_memory_pool().release_unused()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 512) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by key (integers): groups are gathered until they
     have about `rows` rows, so that many small ones cost one call; a group is never split."""
     held: list[pa.RecordBatch] = []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.exchange import chunked, pack, unpack, whole_groups, written
+from palimpsest.llm.exchange import chunked, pack, released, unpack, whole_groups, written
 from palimpsest.llm.textblocks import Block, Roller, blocks, mix, seeds, totals
 
 WORDS, SIMILAR = 5, 0.8
@@ -30,6 +30,8 @@ BANDS, ROWS = 10, 3
 IDF = 0.25
 #: Texts of a family in one task; columns of a block of its shingle matrix.
 GROUP, COLUMNS = 512, 4096
+#: Bytes of text in a chunk, on average.
+CHUNK = 2 << 20
 #: Bits of the filter that keeps texts without candidates out of shuffles (16 MB at any input).
 FILTER_BITS = 1 << 27
 
@@ -112,7 +114,7 @@ _SIGNED = "_h binary, ids array<bigint>, bands array<bigint>, idf binary"
 def signatures(rows: DataFrame) -> DataFrame:
     """For each chunk and distinct text of it (rows: _id, _h, _text): the documents that have it,
     its bands and idf codes by shingle."""
-    dealt, n = chunked(rows, "_text", "_id")
+    dealt, n = chunked(rows, "_text", "_id", CHUNK)
     documents = rows.select("_id").count()
 
     def distinct(table: pa.Table) -> tuple[list[bytes], list[list[int | None]], pa.Array]:
@@ -138,6 +140,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         return np.concatenate([[0], np.searchsorted(every, edges), [len(every)]]).astype(np.int64), ((every * np.uint64(n)) >> np.uint64(32)).astype(np.uint32)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
+        released()
         _, ids, texts = distinct(table)
         keys, who, _ = chunk_shingles(texts)
         copies = np.array([len(x) for x in ids])
@@ -148,6 +151,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "k": pa.array([place[at[b] : at[b + 1]].tobytes() for b in some], pa.binary()), "c": pa.array([pack(count[at[b] : at[b + 1]]) for b in some], pa.binary())})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
+        released()
         keys = [np.frombuffer(x.as_py(), np.uint32) for x in table["k"]]
         counts = np.concatenate([unpack(x.as_py(), np.int64) for x in table["c"]])
         every, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -156,6 +160,7 @@ def signatures(rows: DataFrame) -> DataFrame:
         return pa.table({"_chunk": table["chunk"], "bucket": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "c": pa.array([x.tobytes() for x in replies], pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        released()
         hashes, ids, texts = distinct(left)
         keys, who, count = chunk_shingles(texts)
         every = np.unique(keys)
@@ -252,6 +257,7 @@ def compared(tasks: DataFrame, rows: DataFrame, signed: DataFrame, similar: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Roller(1), Roller(2, base=0xD1342543DE82EF95)
         for table in whole_groups(batches, "_key"):
+            released()
             keys, hashes = table["_key"].to_numpy(), table["_h"].to_pylist()
             codes, old, sets = table["idf"].to_pylist(), table["old"].to_numpy().astype(bool), []
             for at, block in blocks(table["_text"]):

@@ -19,11 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.exchange import chunked, cuts, pack, unpack
+from palimpsest.llm.exchange import chunked, cuts, pack, released, unpack
 from palimpsest.llm.textblocks import Block, Roller, blocks, member, mix, present_twice
 
 #: Bytes of a repeat, and of the substrings among which its anchor is chosen.
 LENGTH, ANCHOR = 50, 20
+#: Bytes of text in a chunk, on average.
+CHUNK = 2 << 20
 #: Suffixes that one array holds, unless a single window has more.
 SLICE = 16_384
 
@@ -130,7 +132,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are not smaller than each other, null ids come after all others. Repeated rows, texts shorter
     than length and empty tables are ordinary. keep must not name a column of the result."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    dealt, n = chunked(rows, "_text", "_id")
+    dealt, n = chunked(rows, "_text", "_id", CHUNK)
 
     def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
@@ -158,6 +160,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return order[new], kind
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
+        released()
         table, ids = in_order(table)
         s, _ = parts(table, ids)
         one, _ = firsts(s)
@@ -167,6 +170,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), key[0].as_py(), np.int32)), **{c: pa.array([part(k, b) for b in some], pa.binary()) for c, k in (("a", "anchor"), ("w", "whole"), ("i", "id"))}})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
+        released()
         chunk_of = table["chunk"].to_numpy()
         a, w, i = ([unpack(x.as_py(), kind) for x in table[c]] for c, kind in (("a", np.uint64), ("w", np.uint64), ("i", np.int64)))
         numbers = np.repeat(np.arange(len(a)), [len(x) for x in a])
@@ -185,6 +189,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table({"_chunk": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "k"), (2, "i"), (3, "o"))}})
 
     def request(left: pa.Table, right: pa.Table) -> pa.Table:
+        released()
         shape = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("a", "i", "d", "s", "z", "t"))])
         if not len(left) or not len(right):
             return shape.empty_table()
@@ -218,6 +223,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(shape)], schema=shape)
 
     def resolve(key: tuple, table: pa.Table) -> pa.Table:
+        released()
         out = [tuple(r[c] for c in ("chunk", "d", "s", "z")) for r in table.filter(pc.equal(table["kind"], 1)).to_pylist()]
         rows = table.filter(pc.equal(table["kind"], 0)).to_pylist()
         if rows:
@@ -266,6 +272,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     names = ["_id", *keep, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        released()
         table, _ = in_order(left)
         d, b, e = (np.concatenate([np.empty(0, np.int64), *(unpack(x.as_py(), np.int64) for x in right[c])]) for c in ("d", "s", "e"))
         d, b, e = merged(d, b, e)
