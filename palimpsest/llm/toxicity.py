@@ -181,7 +181,9 @@ def _train(rows: list, y: np.ndarray, swaps: list, n: int, steps: int = 300) ->
     d_who = np.repeat(np.arange(len(swaps)), [len(f) + len(g) for f, g in swaps]) if swaps else np.empty(0, np.int64)
     w, bias, v, v_bias, t = np.zeros(n), 0.0, np.zeros(n), 0.0, 1.0
     widest = max([1, *(len(f) for f in rows)])
-    step = 4.0 / (1 + min(widest, 64)) * 2
+    # The step allows for the curvature of both losses: a row's features, and a swap's changes.
+    turned = max([0, *np.bincount(d_who, minlength=1).tolist()])
+    step = 1 / ((1 + min(widest, 64)) / 8 + 2 * SWAP * turned)
     for _ in range(steps):
         score = np.bincount(who, v[cols], len(rows)) + v_bias
         off = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / len(rows)
