@@ -63,9 +63,11 @@ def candidate_edges(clusters: DataFrame, rules: Rules = Rules()) -> DataFrame:
         size = F.count("*").over(Window.partitionBy("size", "tag", "p", "q"))
         parents = parents.withColumn("_n", size).filter(F.col("_n") <= rules.bucket_cap).drop("_n")
     met = probes.join(parents, ["size", "tag", "p", "q"]).filter(ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")))
-    pairs = met.select("parent", "child", "n_parent", "n_child", "oriented", "turned").distinct()
     inner = lambda c: interior(F.col(c), rules)
-    # Computed once behind a shuffle boundary: filters on derived columns would repeat it.
+    # Two substitutions are two edits at most: a bounded edit distance, which is compiled, settles
+    # most candidates before the mismatches of the rest are listed.
+    close = met.filter((F.col("parent") != F.col("oriented")) & (F.levenshtein(inner("parent"), inner("oriented"), 2) >= 0))
+    pairs = close.select("parent", "child", "n_parent", "n_child", "oriented", "turned").distinct()
     held = pairs.withColumn("mm", S.mismatches(inner("parent"), inner("oriented"))).withColumn("h", F.size("mm"))
     size = F.length("parent")
     shift = F.transform("mm", lambda m: F.struct((m["pos"] + rules.five).alias("pos"), m["a"].alias("a"), m["b"].alias("b")))
