@@ -413,7 +413,8 @@ edges AS (SELECT parent, child, n_parent, n_child, h::INT AS h, mm, size FROM go
 
 
 def edges(spark, sf_dir):
-    return errors.candidate_edges(clusters(spark, sf_dir))
+    """Candidate edges, kept as a table: what follows reads them several times."""
+    return written(errors.candidate_edges(written(clusters(spark, sf_dir), "clusters")), "edges")
 
 
 @query(f"{_EDGES} SELECT parent, child, n_parent, n_child, mm[1].pos::INT AS pos, mm[1].b AS alt FROM edges WHERE h = 1")
@@ -464,7 +465,7 @@ def model_bins(spark, sf_dir):
 
 @query(f"{_BINS} SELECT parent, child, round(3.0 + sum(ln(pow(10, -2.0) / 3) - ln(p_real)), 6) AS score FROM binned JOIN model USING (class, dist, occ) GROUP BY parent, child")
 def edge_scores(spark, sf_dir):
-    held = written(edges(spark, sf_dir), "edges")
+    held = edges(spark, sf_dir)
     return errors.edge_scores(held, errors.model_bins(held)).select("parent", "child", F.round("score", 6).alias("score"))
 
 
