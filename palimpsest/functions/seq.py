@@ -151,9 +151,10 @@ def log_error_third(q: Column) -> Column:
 
 def mismatches(a: Column | str, b: Column | str) -> Column:
     """Array of (pos, a, b) where two strings of equal length differ; pos from 0."""
-    a, b = col(a), col(b)
-    at = F.filter(F.sequence(F.lit(1), F.length(a)), lambda i: a.substr(i, F.lit(1)) != b.substr(i, F.lit(1)))
-    return F.transform(at, lambda i: F.struct((i - 1).alias("pos"), a.substr(i, F.lit(1)).alias("a"), b.substr(i, F.lit(1)).alias("b")))
+    # Each string is taken apart once; substr() would count characters anew for every place.
+    pairs = F.zip_with(F.split(col(a), ""), F.split(col(b), ""), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    placed = F.transform(pairs, lambda m, i: F.struct(i.alias("pos"), m["a"].alias("a"), m["b"].alias("b")))
+    return F.filter(placed, lambda m: m["a"] != m["b"])
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:

@@ -68,7 +68,8 @@ def candidate_edges(clusters: DataFrame, rules: Rules = Rules()) -> DataFrame:
     # most candidates before the mismatches of the rest are listed.
     close = met.filter((F.col("parent") != F.col("oriented")) & (F.levenshtein(inner("parent"), inner("oriented"), 2) >= 0))
     pairs = close.select("parent", "child", "n_parent", "n_child", "oriented", "turned").distinct()
-    held = pairs.withColumn("mm", S.mismatches(inner("parent"), inner("oriented"))).withColumn("h", F.size("mm"))
+    # Kept as a table: conditions on mm would otherwise be pushed below it and list it again each.
+    held = written(pairs.withColumn("mm", S.mismatches(inner("parent"), inner("oriented"))), "candidates").withColumn("h", F.size("mm"))
     size = F.length("parent")
     shift = F.transform("mm", lambda m: F.struct((m["pos"] + rules.five).alias("pos"), m["a"].alias("a"), m["b"].alias("b")))
     held = held.filter(F.col("h").between(1, 2)).withColumn("mm", shift)
