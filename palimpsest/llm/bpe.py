@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose words are replayed together, and most words remembered between slices.
-SLICE_BYTES, CACHE_WORDS = 8 << 20, 500_000
+SLICE_BYTES, CACHE_WORDS = 8 << 20, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -147,17 +147,26 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         import regex
 
         model, split, cache = MergeReplay(*shared.value), regex.compile(pattern).findall, {}
-        for batch in batches:
-            texts, at = batch.column(len(keys)), 0
-            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, count=texts.offset + len(texts) + 1)[texts.offset :]) if len(texts) else []
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // slice_bytes)) + 1
-            for to in [*cuts.tolist(), len(texts)]:
-                if to > at:
-                    ids = encode_slice(texts.slice(at, to - at).to_pylist(), split, model, cache)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in range(len(keys))), pa.array(ids, pa.binary())], names=[*keys, "ids"])
-                    at = to
-                    if len(cache) > CACHE_WORDS:
-                        cache.clear()
+        held: list[pa.RecordBatch] = []
+
+        def coded() -> Iterator[pa.RecordBatch]:
+            ids, at = encode_slice([t for p in held for t in p.column(len(keys)).to_pylist()], split, model, cache), 0
+            for p in held:
+                yield pa.RecordBatch.from_arrays([*p.columns[: len(keys)], pa.array(ids[at : at + p.num_rows], pa.binary())], names=[*keys, "ids"])
+                at += p.num_rows
+            held.clear()
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+
+        size = 0
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+            held.append(part)
+            size += part.column(len(keys)).nbytes
+            if size >= slice_bytes:
+                yield from coded()
+                size = 0
+        if held:
+            yield from coded()
 
     return rows.mapInArrow(run, ", ".join([*_fields(docs, keys), "ids binary"]))
 

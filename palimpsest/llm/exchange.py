@@ -81,6 +81,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 512) -
         yield pa.Table.from_batches(held)
 
 
+def small_batches(spark) -> None:
+    """Bound the Arrow batches of this session: rows hold whole texts, and the defaults (10,000
+    rows, 64 MB) take several copies of that in the JVM and in each Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir of the session; where that is unset, as in tests, one under /tmp."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
