@@ -245,6 +245,12 @@ def distinct_kmers(s: Column | str, k: int) -> Column:
     return F.size(F.array_distinct(kmers(s, k)))
 
 
+def few_dimers(s: Column | str) -> Column:
+    """True for strings (of four bases or more) of fewer than three distinct dimers: one base but for the first or last
+    place, or two bases in turn. A pattern says so at a fraction of the cost of a distinct count."""
+    return col(s).rlike(r"^(?:(.)\1*.|.(.)\2*|(.)(.)(?:\3\4)*\3?)$")
+
+
 def adapter_tail(s: Column | str, adapter: str, most: int = 5) -> Column:
     """Size of the longest suffix of at most `most` bases that begins the adapter."""
     out = F.lit(0)
