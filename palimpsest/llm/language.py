@@ -137,11 +137,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str,
 
     A null text, or one without a letter, is 'und' with score 0, and so is everything if nothing
     was learned. Of languages that tie, the first by name is taken."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))  # bounded by MAX_WORDS and MAX_GRAMS
     rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, model = Roller(4), shared.value
+        roller, model = Roller(4), Model(*shared.value)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             for at, block in blocks(pc.utf8_lower(batch.column(len(keys)))):

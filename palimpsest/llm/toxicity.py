@@ -203,11 +203,12 @@ def _train(rows: list, y: np.ndarray, swaps: list, n: int, steps: int = 300) ->
 def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys and score of each whole text, between 0 and 1. Null and empty texts, and texts without
     a known feature, get the score that the bias alone gives. Keys may be null or repeated."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a broadcast class would have to be installed on the executors.
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
     rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, model = Roller(3), shared.value
+        roller, model = Roller(3), Model(*shared.value)
         for batch in batches:
             for at, block in blocks(lowered(batch, len(keys))):
                 _, owner, place = _found(block, roller, model.keys)
