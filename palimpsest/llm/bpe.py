@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.exchange import released
+
 #: Bytes of text whose words are replayed together, and most words remembered between slices.
 SLICE_BYTES, CACHE_WORDS = 8 << 20, 300_000
 
@@ -157,6 +159,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             held.clear()
             if len(cache) > CACHE_WORDS:
                 cache.clear()
+            del ids
+            released()
 
         size = 0
         for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
@@ -167,6 +171,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
                 size = 0
         if held:
             yield from coded()
+        cache.clear()
+        released()
 
     return rows.mapInArrow(run, ", ".join([*_fields(docs, keys), "ids binary"]))
 
@@ -184,6 +190,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", keep:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array([back(x.as_py()) for x in part.column(len(keep))], pa.binary())], names=[*keep, "decoded"])
+        tokens.clear()
+        released()
 
     return rows.mapInArrow(run, ", ".join([*_fields(encoded, keep), "decoded binary"]))
 

@@ -8,6 +8,7 @@ bucket once from each chunk, not once from each document, and what travels is ar
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,12 @@ def blobs(column: pa.ChunkedArray) -> list[bytes]:
 
 
 def released() -> None:
-    """Give back what Arrow keeps of freed buffers, before the next group's are made."""
+    """Give back what Arrow and the allocator keep of freed memory, before the next group's is
+    taken and where a task ends: workers are used again, and idle ones count too."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 512) -> Iterator[pa.Table]:

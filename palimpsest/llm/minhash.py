@@ -274,6 +274,8 @@ def compared(tasks: DataFrame, rows: DataFrame, signed: DataFrame, similar: floa
                     right.append(hashes[at + j])
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        sets = table = None
+        released()
 
     return dealt.mapInArrow(run, "a binary, b binary")
 

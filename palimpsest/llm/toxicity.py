@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.exchange import released
 from palimpsest.llm.textblocks import Block, Roller, blocks, mix
 
 #: Most labelled rows of each class that fit() reads, features it keeps, and rows a feature needs.
@@ -216,6 +217,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
                 owner, place = np.divmod(pairs, len(model.keys) + 1)
                 total = np.bincount(owner, model.weights[place], len(block)) + model.bias if len(pairs) else np.full(len(block), model.bias)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(block)) for i in range(len(keys))), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*keys, "score"])
+        released()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
     return rows.mapInArrow(run, ", ".join([*fields, "score double"]))
