@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.exchange import released
 
 #: Bytes of text whose words are replayed together, and most words remembered between slices.
-SLICE_BYTES, CACHE_WORDS = 8 << 20, 300_000
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
