@@ -2,9 +2,10 @@
 
 Every distinct word of a chunk of documents is counted over the whole corpus by a blob exchange,
 which also turns the texts into numbers: words of the model vocabulary keep their own number, all
-others share one class in which they are told apart by their corpus counts. Baum-Welch runs over
-those numbers: each task adds up expected counts of its documents, Spark sums them, and the driver
-makes the next model from sums whose size is bounded by states times vocabulary. Sequences of a
+others share one class in which they are told apart by their corpus counts. The vocabulary holds the
+most frequent words of all training documents and grows with the root of their number of words.
+Baum-Welch runs over the numbers of all training documents: each task adds up expected counts, Spark
+sums them, and the driver makes the next model from sums of states times vocabulary. Sequences of a
 batch advance together through the scaled forward recursion, which gives exact likelihoods.
 """
 
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.exchange import chunked, cuts, pack, unpack, written
 from palimpsest.llm.textblocks import Block, Roller, blocks, totals
 
-#: Hidden states; words with numbers of their own; documents that choose these words and the first
-#: model; passes of Baum-Welch over those documents, then over all training documents.
-STATES, VOCABULARY, FIRST_ROWS, FIRST_PASSES, PASSES = 8, 16_384, 1500, 12, 2
+#: Hidden states; words with numbers of their own, at least, and for each root of the number of
+#: training words; passes of Baum-Welch over all training documents.
+STATES, VOCABULARY, GROWTH, PASSES = 8, 16_384, 4, 14
 #: Training cuts longer sequences; sequences advance together up to so many tokens; added counts.
 CUT, BATCH_TOKENS, ADDED, PRIOR = 4096, 1 << 19, 0.1, 50.0
 
@@ -58,30 +59,42 @@ def batches_of(sequences: list[np.ndarray], tokens: int = BATCH_TOKENS) -> Itera
         at += n
 
 
-def padded(sequences: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols as steps x sequences, and how many sequences are still going at each step."""
+def in_steps(sequences: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all sequences at the first step, then at the second and so on, and where each
+    step begins. Sequences fall in length, so a step holds those that are still going, from the first."""
     lengths = np.array([len(sequences[i]) for i in which])
-    out = np.zeros((lengths[0], len(which)), np.int32)
+    going = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+    begins = np.concatenate([[0], np.cumsum(going)])
+    out = np.empty(begins[-1], np.int64)
     for j, i in enumerate(which):
-        out[: lengths[j], j] = sequences[i]
-    return out, np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        out[begins[: lengths[j]] + j] = sequences[i]
+    return out, begins
+
+
+def forward(model: Model, emitted: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities of each symbol (a row of emitted), and their scales."""
+    out, scales, ones = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype), np.ones(emitted.shape[1], emitted.dtype)
+    for t in range(len(begins) - 1):
+        at, to = begins[t], begins[t + 1]
+        now, scale = out[at:to], scales[at:to]
+        if t:
+            np.matmul(out[begins[t - 1] : begins[t - 1] + to - at], model.move, out=now)
+            now *= emitted[at:to]
+        else:
+            np.multiply(model.start, emitted[at:to], out=now)
+        np.matmul(now, ones, out=scale)
+        now /= scale[:, None]
+    return out, scales
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural log of the probability of each (non-empty) sequence."""
     out = np.zeros(len(sequences))
     for which in batches_of(sequences):
-        symbols, going = padded(sequences, which)
-        total = np.zeros(len(which))
-        a = model.start * model.emit[symbols[0]]
-        for t in range(len(symbols)):
-            n = going[t]
-            if t:
-                a = (a[:n] @ model.move) * model.emit[symbols[t, :n]]
-            scale = a.sum(axis=1)
-            a /= scale[:, None]
-            total[:n] += np.log(scale)
-        out[which] = total
+        symbols, begins = in_steps(sequences, which)
+        _, scales = forward(model, np.take(model.emit, symbols, axis=0), begins)
+        place = np.arange(len(symbols)) - np.repeat(begins[:-1], np.diff(begins))
+        out[which] = np.bincount(place, np.log(scales.astype(float)), len(which))
     return out
 
 
@@ -89,33 +102,27 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     """Baum-Welch counts of some sequences: starts, moves, emissions; and their log likelihood."""
     k, v = len(model.start), len(model.emit)
     start, move, emit, logs = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
+    turned = np.ascontiguousarray(model.move.T)
     for which in batches_of(sequences):
-        symbols, going = padded(sequences, which)
-        steps = len(symbols)
-        forward, scales = np.zeros((steps, len(which), k)), np.ones((steps, len(which)))
-        a = model.start * model.emit[symbols[0]]
-        for t in range(steps):
-            n = going[t]
-            if t:
-                a = (a[:n] @ model.move) * model.emit[symbols[t, :n]]
-            scale = a.sum(axis=1)
-            a = a / scale[:, None]
-            forward[t, :n], scales[t, :n] = a, scale
-            logs += float(np.log(scale).sum())
-        back = np.ones((len(which), k))
-        for t in range(steps - 1, -1, -1):
-            n = going[t]
-            if t + 1 < steps:
-                m = going[t + 1]
-                ahead = model.emit[symbols[t + 1, :m]] * back[:m] / scales[t + 1, :m, None]
-                move += forward[t, :m].T @ ahead * model.move
-                back[:m] = ahead @ model.move.T
-            forward[t, :n] *= back[:n]
-        start += forward[0].sum(axis=0)
-        live = np.arange(len(which))[None, :] < going[:, None]
-        seen = symbols[live]
+        symbols, begins = in_steps(sequences, which)
+        ahead = np.take(model.emit, symbols, axis=0)
+        chances, scales = forward(model, ahead, begins)
+        logs += float(np.log(scales).sum(dtype=float))
+        ahead /= scales[:, None]
+        # From here on, ahead becomes the scaled emission times the backward probability.
+        for t in range(len(begins) - 3, -1, -1):
+            m = begins[t + 2] - begins[t + 1]
+            ahead[begins[t] : begins[t] + m] *= ahead[begins[t + 1] : begins[t + 2]] @ turned
+        after, first = ahead[begins[1] :], begins[1]
+        before = np.arange(first, len(symbols)) - np.repeat(np.diff(begins)[:-1], np.diff(begins)[1:])
+        for at in range(0, len(after), 1 << 16):
+            some, rows = after[at : at + (1 << 16)], before[at : at + (1 << 16)]
+            was = chances[rows]
+            move += was.T @ some * model.move
+            chances[rows] = was * (some @ turned)
+        start += chances[:first].sum(axis=0, dtype=float)
         for j in range(k):
-            emit[:, j] += np.bincount(seen, forward[..., j][live], v)
+            emit[:, j] += np.bincount(symbols, chances[:, j], v)
     return start, move, emit, logs
 
 
@@ -136,20 +143,39 @@ def first_model(frequency: np.ndarray, states: int, seed: int = 3) -> Model:
     return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def symbol_type(symbols: int) -> type:
+    """What holds the numbers of so many symbols."""
+    return np.uint16 if symbols <= 1 << 16 else np.uint32
+
+
+def gathered(batches: Iterator[pa.RecordBatch], kind: type, tokens: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """Training pieces of the sequences of batches (column 0), about so many tokens at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for x in batch.column(0):
+            s = np.frombuffer(x.as_py(), kind)
+            held += [s[a : a + CUT] for a in range(0, len(s), CUT)]
+            n += len(s)
+            if n >= tokens:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
 def baum_welch(encoded: DataFrame, model: Model) -> tuple[Model, float]:
-    """One pass over the rows of encoded (column ids): counts by partition, summed by Spark. A pass
-    without rows leaves the model as it is."""
+    """One pass over the rows of encoded (column ids): counts by partition, summed by Spark, of as
+    many partitions as there are cores, since each sends up to a row for every symbol. A pass without
+    rows leaves the model as it is."""
     shared = encoded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))
     k, v = len(model.start), len(model.emit)
     columns = [f"s{j}" for j in range(k)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            pieces = [s[a : a + CUT] for x in batch.column(0) for s in [np.frombuffer(x.as_py(), np.uint16)] for a in range(0, len(s), CUT)]
-            for at in range(0, len(pieces), 4096):
-                got = expected(Model(*shared.value), pieces[at : at + 4096])
-                total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
+        total, model = None, Model(*shared.value)
+        for pieces in gathered(batches, symbol_type(v)):
+            got = expected(model, pieces)
+            total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
         if total is not None:
             start, move, emit, logs = total
             used = np.flatnonzero(emit.any(axis=1))
@@ -157,8 +183,9 @@ def baum_welch(encoded: DataFrame, model: Model) -> tuple[Model, float]:
             names = np.concatenate([[-1], -2 - np.arange(k), [-2 - k], used])
             yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *(pa.array(rows[:, j]) for j in range(k))], names=["w", *columns])
 
-    counted = encoded.select("ids").mapInArrow(count, ", ".join(["w int", *(f"{c} double" for c in columns)]))
+    counted = encoded.select("ids").coalesce(encoded.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, ", ".join(["w int", *(f"{c} double" for c in columns)]))
     sums = counted.groupBy("w").agg(*(F.sum(c).alias(c) for c in columns)).toPandas().set_index("w")  # states x symbols at most
+    shared.destroy()
     if not len(sums):
         return model, 0.0
     emit = np.zeros((v, k))
@@ -167,8 +194,10 @@ def baum_welch(encoded: DataFrame, model: Model) -> tuple[Model, float]:
     return improved(sums.loc[-1].to_numpy(), sums.loc[[-2 - j for j in range(k)]].to_numpy(), emit), float(sums.loc[-2 - k].iloc[0])
 
 
-def vocabulary(rows: DataFrame, most: int) -> np.ndarray:
-    """Keys of the most frequent words of rows (column _text), sorted; the bound is `most`."""
+def vocabulary(rows: DataFrame, least: int) -> np.ndarray:
+    """Keys of the most frequent words of all rows (column _text), sorted: `least`, or GROWTH times
+    the root of the number of words where that is more. Of words as frequent as the last one, those
+    with the lesser hash of the key are taken."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(6)
@@ -177,16 +206,25 @@ def vocabulary(rows: DataFrame, most: int) -> np.ndarray:
                 k, c = np.unique(word_keys(block, roller)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "c"])
 
-    top = rows.select("_text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "k").limit(most).toPandas()
-    return np.sort(top["k"].to_numpy(np.int64).view(np.uint64))
+    counts = written(rows.select("_text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")), "hmm-words")
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).toPandas().sort_values("c", ascending=False)  # few: at most twice the root
+    c, n = sizes["c"].to_numpy(np.int64), sizes["n"].to_numpy(np.int64)
+    most = max(least, int(GROWTH * float((c * n).sum()) ** 0.5))
+    chosen = counts
+    if n.sum() > most:
+        last = int(np.argmax(np.cumsum(n) > most))
+        unit = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
+        chosen = counts.filter((F.col("c") > int(c[last])) | ((F.col("c") == int(c[last])) & (unit < float((most - n[:last].sum()) / n[last]))))
+    return np.sort(chosen.select("k").toPandas()["k"].to_numpy(np.int64).view(np.uint64))
 
 
 def numbered(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Numbers of words: their place in the vocabulary, or its size for all others."""
+    kind = symbol_type(len(words) + 2)
     if not len(words):
-        return np.zeros(len(keys), np.uint16)
+        return np.zeros(len(keys), kind)
     at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-    return np.where(words[at] == keys, at, len(words)).astype(np.uint16)
+    return np.where(words[at] == keys, at, len(words)).astype(kind)
 
 
 _ENCODED = "doc_id bigint, train boolean, kind int, n_tokens bigint, n_known bigint, n_other bigint, known_log double, other_log double, ids binary"
@@ -251,7 +289,7 @@ def encode(rows: DataFrame, words: np.ndarray) -> DataFrame:
             for doc, t, keys in zip(table["doc_id"].to_pylist(), train.tolist(), each, strict=True):
                 at = np.searchsorted(every, keys)
                 outside = rest[at]
-                for col, x in zip(cols, (doc, t, 0, len(at) + 1, int((count[at] > 0).sum()), int(outside.sum()), float(log[at].sum()), float(log[at[outside]].sum()), np.append(number[at], np.uint16(end)).astype(np.uint16).tobytes()), strict=True):
+                for col, x in zip(cols, (doc, t, 0, len(at) + 1, int((count[at] > 0).sum()), int(outside.sum()), float(log[at].sum()), float(log[at[outside]].sum()), np.append(number[at], number.dtype.type(end)).tobytes()), strict=True):
                     col.append(x)
         kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         names = [x.split()[0] for x in _ENCODED.split(", ")]
@@ -274,23 +312,8 @@ def hmm_scores(docs: DataFrame, train: F.Column, text: str = "text", doc_id: str
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     taught = rows.filter("train")
     n_train = taught.select("doc_id").count()
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = taught.filter(unit < min(1.0, FIRST_ROWS / max(1, n_train)))
-    words = vocabulary(sample, vocabulary_size)
-    shared = spark.sparkContext.broadcast(words)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(6)
-        for batch in batches:
-            for _, block in blocks(batch.column(0)):
-                keys, owner = word_keys(block, roller)
-                ids = np.split(numbered(keys, shared.value), np.cumsum(totals(owner, len(block)))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array([np.append(x, np.uint16(len(shared.value) + 1)).astype(np.uint16).tobytes() for x in ids], pa.binary())], names=["ids"])
-
-    small = written(sample.select("_text").mapInArrow(first, "ids binary"), "hmm-first").coalesce(spark.sparkContext.defaultParallelism)
+    words = vocabulary(taught, vocabulary_size)
     model = first_model(np.ones(len(words) + 2), states)
-    for _ in range(FIRST_PASSES):
-        model, _ = baum_welch(small, model)
     encoded = written(encode(rows, words), "hmm-encoded")
     for _ in range(passes):
         model, _ = baum_welch(encoded.filter("kind = 0 and train"), model)
@@ -299,13 +322,13 @@ def hmm_scores(docs: DataFrame, train: F.Column, text: str = "text", doc_id: str
     below = float(np.log10(tokens + ADDED * (distinct + 1)))
     below_other = float(np.log10((tokens_other or 0) + ADDED * ((distinct_other or 0) + 1)))
     end = float(np.log10(n_train + ADDED))
-    final = spark.sparkContext.broadcast((model.start, model.move, model.emit))
+    final, kind = spark.sparkContext.broadcast((model.start, model.move, model.emit)), symbol_type(len(model.emit))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                logs = log_likelihoods(Model(*final.value), [np.frombuffer(x.as_py(), np.uint16) for x in part.column(part.num_columns - 1)])
+                logs = log_likelihoods(Model(*final.value), [np.frombuffer(x.as_py(), kind) for x in part.column(part.num_columns - 1)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(logs / np.log(10))], names=[*part.schema.names[:-1], "model_log"])
 
     shape = ", ".join(_ENCODED.split(", ")[:-1])

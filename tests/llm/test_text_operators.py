@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -326,6 +327,42 @@ def test_base_scores_and_gain(spark, documents, texts, odd):
     assert hmm.hmm_scores(empty(odd), F.lit(True)).count() == 0
 
 
+def keys_of_words(words):
+    return hmm.word_keys(next(blocks(pa.array([" ".join(words)])))[1], hmm.Roller(6))[0]
+
+
+def test_the_model_sees_all_training_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(12)) for _ in range(4000)]
+    seen, chosen = [], []
+    encode, passed = hmm.encode, hmm.baum_welch
+    monkeypatch.setattr(hmm, "encode", lambda rows, words: chosen.append(words) or encode(rows, words))
+    monkeypatch.setattr(hmm, "baum_welch", lambda rows, model: seen.append(rows.count()) or passed(rows, model))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    scores = hmm.hmm_scores(table, F.col("doc_id") >= 200, states=2, vocabulary_size=40, passes=3)
+    assert scores.count() == 4000 and seen == [3800] * 3
+    count = collections.Counter(w for t in texts[200:] for w in t.split())
+    size = int(hmm.GROWTH * math.sqrt(sum(count.values())))
+    order = sorted(count.values(), reverse=True)
+    words = list(count)
+    found = dict(zip(keys_of_words(words).tolist(), (count[w] for w in words), strict=True))
+    got = [found[k] for k in chosen[0].tolist()]
+    assert size > 40 and sum(c > order[size] for c in got) == sum(c > order[size] for c in order) and min(got) >= order[size]
+    assert abs(len(got) - size) <= 0.2 * size
+
+
+def test_more_symbols_than_two_bytes_hold(spark):
+    words = [f"w{i}" for i in range(70_000)]
+    table = spark.createDataFrame([(i, True, " ".join(words[i::20])) for i in range(20)], "doc_id bigint, train boolean, _text string")
+    known = hmm.vocabulary(table, 70_000)
+    assert len(known) == 70_000
+    for r in hmm.encode(table, known).filter("kind = 0").collect():
+        ids = np.frombuffer(r.ids, np.uint32)
+        assert ids[-1] == 70_001 and (known[ids[:-1]] == keys_of_words(words[r.doc_id :: 20])).all()
+    got = hmm.hmm_scores(table.withColumnRenamed("_text", "text"), F.lit(True), vocabulary_size=70_000, states=2, passes=1).collect()
+    assert len(got) == 20 and all(abs(r.score / r.base_score - 1) < 0.1 for r in got)
+
+
 # ---- 8 suffix arrays
 
 
