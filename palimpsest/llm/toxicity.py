@@ -27,6 +27,8 @@ MAX_ROWS, MAX_FEATURES, MIN_ROWS = 6000, 4096, 4
 STARTS = (4, 5, 6, 7)
 #: Weights of the charges: score change under a swap, squares, absolute values.
 SWAP, RIDGE, LASSO = 1.0, 1e-5, 5e-5
+#: Training ends where no entry of the gradient exceeds this, or after so many steps.
+TOLERANCE, MAX_STEPS = 1e-5, 5000
 
 #: Terms of one kind are swapped for each other.
 IDENTITY = (
@@ -173,28 +175,43 @@ def _found(block: Block, roller: Roller, wanted: np.ndarray) -> tuple[np.ndarray
     return keys[same], owner[same], at[same]
 
 
-def _train(rows: list, y: np.ndarray, swaps: list, n: int, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient on mean log loss + charges."""
+def _train(rows: list, y: np.ndarray, swaps: list, n: int, tolerance: float = TOLERANCE, most: int = MAX_STEPS) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient on mean log loss + charges, until no entry of the gradient
+    (after the proximal step) exceeds tolerance. A swap counts by the features that it changes."""
     cols = np.concatenate([np.asarray(f, np.int64) for f in rows]) if rows else np.empty(0, np.int64)
     who = np.repeat(np.arange(len(rows)), [len(f) for f in rows])
-    d_cols = np.concatenate([np.asarray([*f, *g], np.int64) for f, g in swaps]) if swaps else np.empty(0, np.int64)
-    d_sign = np.concatenate([np.r_[np.ones(len(f)), -np.ones(len(g))] for f, g in swaps]) if swaps else np.empty(0)
-    d_who = np.repeat(np.arange(len(swaps)), [len(f) + len(g) for f, g in swaps]) if swaps else np.empty(0, np.int64)
-    w, bias, v, v_bias, t = np.zeros(n), 0.0, np.zeros(n), 0.0, 1.0
-    widest = max([1, *(len(f) for f in rows)])
-    # The step allows for the curvature of both losses: a row's features, and a swap's changes.
-    turned = max([0, *np.bincount(d_who, minlength=1).tolist()])
-    step = 1 / ((1 + min(widest, 64)) / 8 + 2 * SWAP * turned)
-    for _ in range(steps):
-        score = np.bincount(who, v[cols], len(rows)) + v_bias
-        off = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) / len(rows)
-        grad = np.bincount(cols, off[who], n) + RIDGE * v
-        if swaps:
-            change = np.bincount(d_who, d_sign * v[d_cols], len(swaps)) / len(swaps)
-            grad += SWAP * 2 * np.bincount(d_cols, d_sign * change[d_who], n)
-        new = v - step * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - step * LASSO, 0)
-        new_bias = v_bias - step * off.sum()
+    gone = [(np.setdiff1d(f, g), np.setdiff1d(g, f)) for f, g in swaps]
+    d_cols = np.concatenate([np.r_[f, g].astype(np.int64) for f, g in gone]) if gone else np.empty(0, np.int64)
+    d_sign = np.concatenate([np.r_[np.ones(len(f)), -np.ones(len(g))] for f, g in gone]) if gone else np.empty(0)
+    d_who = np.repeat(np.arange(len(gone)), [len(f) + len(g) for f, g in gone]) if gone else np.empty(0, np.int64)
+
+    def smooth(w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        score = np.bincount(who, w[cols], len(rows)) + bias
+        off = (1 / (1 + np.exp(-np.clip(score, -500, 500))) - y) / len(rows)
+        value = float(np.mean(np.logaddexp(0, score) - y * score)) + RIDGE / 2 * float(w @ w)
+        grad = np.bincount(cols, off[who], n) + RIDGE * w
+        if len(d_cols):
+            change = np.bincount(d_who, d_sign * w[d_cols], len(swaps))
+            value += SWAP * float(change @ change) / len(swaps)
+            grad += SWAP * 2 / len(swaps) * np.bincount(d_cols, d_sign * change[d_who], n)
+        return value, grad, float(off.sum())
+
+    w, bias, v, v_bias, t, curve = np.zeros(n), 0.0, np.zeros(n), 0.0, 1.0, 1.0
+    for _ in range(most):
+        value, grad, slope = smooth(v, v_bias)
+        while True:  # the curvature is raised until it bounds the loss where the step leads
+            new = v - grad / curve
+            new = np.sign(new) * np.maximum(np.abs(new) - LASSO / curve, 0)
+            new_bias = v_bias - slope / curve
+            by, by_bias = new - v, new_bias - v_bias
+            bound = value + float(grad @ by) + slope * by_bias + curve / 2 * (float(by @ by) + by_bias**2)
+            if smooth(new, new_bias)[0] <= bound + 1e-12:
+                break
+            curve *= 2
+        if curve * max(abs(by_bias), float(np.abs(by).max(initial=0.0))) <= tolerance:
+            return new, float(new_bias)
+        if float(by @ (new - w)) + by_bias * (new_bias - bias) < 0:
+            t = 1.0  # it went past the minimum: without momentum again
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, v_bias = new + (t - 1) / after * (new - w), new_bias + (t - 1) / after * (new_bias - bias)
         w, bias, t = new, new_bias, after

@@ -281,6 +281,18 @@ def test_swaps_hold_scores_still(spark):
     assert charged < 0.5 * free and scores[2] > 0.5 > scores[0]
 
 
+def test_a_long_swapped_text_stops_no_learning():
+    rng = np.random.default_rng(1)
+    rows, y = [], np.array([float(i % 5 == 0) for i in range(600)] + [0.0])
+    for i in range(600):
+        slurs = 1000 + rng.choice(60, 2, replace=False) if i % 5 == 0 else []
+        rows.append(sorted({*rng.choice(1000, 60, replace=False).tolist(), *map(int, slurs)}))
+    rows.append([*range(900), 1060])
+    weights, bias = toxicity._train(rows, y, [(rows[-1], [*range(900), 1061])], 1062)
+    found = np.array([weights[f].sum() + bias > 0 for f in rows])
+    assert found[y == 1].mean() > 0.95 and found[y == 0].mean() < 0.01 and abs(weights[1060] - weights[1061]) < 0.1
+
+
 # ---- 7 language model
 
 
