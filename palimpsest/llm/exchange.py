@@ -35,6 +35,17 @@ def cuts(ordered: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(ordered, edges), [len(ordered)]])
 
 
+def buckets(chunks: int) -> int:
+    """Buckets for so many chunks: fewer, so that a chunk's blobs stay large and their number small."""
+    return max(min(chunks, 64), -(-chunks // 8))
+
+
+def placed(ordered: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n equal ranges of sorted 64-bit keys begin and end, and each key's place (32 bits) in its range."""
+    edges = np.array([-((-i << 64) // n) for i in range(1, n)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(ordered, edges), [len(ordered)]]).astype(np.int64), ((ordered * np.uint64(n)) >> np.uint64(32)).astype(np.uint32)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Bytes by significance, so that the zeros of small numbers compress."""
     values = np.ascontiguousarray(values)

@@ -2,34 +2,39 @@
 
 Every window of `length` bytes has one anchor, the leftmost least hash of its short substrings, so
 equal windows have equal anchors wherever they stand. The windows of a text that share an anchor
-make a segment. Segments are told apart by two hashes and asked for by blob exchange, which folds
-the copies of a segment onto the smallest document that holds it. Segments that share an anchor
-but not the rest meet in one bucket, where their window suffixes form an enhanced suffix array:
-a stack scan of the common-prefix lengths lists the interval tree, and the intervals whose left
-extensions differ are the maximal repeats, each with all its occurrences. (Where all segments of an
-anchor are equal the tree is one leaf, and the segment is the repeat.) Occurrences in other than
-the smallest document are removed.
+make a segment. A blob exchange finds the anchors that stand in several documents; hashes route,
+and decide nothing. The bytes of the segments with such anchors, each distinct one of a chunk once,
+meet in the bucket of their anchor. There they are sorted: equal segments become one leaf with all
+its occurrences, and the suffixes of the distinct segments form an enhanced suffix array. A stack
+scan of its common-prefix lengths lists the interval tree, and the intervals whose left extensions
+differ are the maximal repeats, each with all its occurrences. What a document with a smaller id
+holds is removed from all the others.
+
+An anchor with more distinct segments than HOT (the edge of a passage that very many documents
+hold has another neighbourhood in each) would make one large group. Its segments are taken apart
+into their windows, which are routed by their own hashes: windows that differ go different ways.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.exchange import chunked, cuts, pack, released, unpack
-from palimpsest.llm.textblocks import Block, Roller, blocks, member, mix, present_twice
+from palimpsest.llm.exchange import buckets, chunked, pack, placed, released, unpack
+from palimpsest.llm.textblocks import Block, Roller, blocks, mix
 
 #: Bytes of a repeat, and of the substrings among which its anchor is chosen.
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text in a chunk, on average.
 CHUNK = 2 << 20
-#: Suffixes that one array holds, unless a single window has more.
-SLICE = 16_384
+#: Suffixes that one array holds, unless a single anchor has more; distinct segments of an anchor
+#: beyond which it is taken apart into windows.
+SLICE, HOT = 32_768, 16_384
 
 _LAST = np.iinfo(np.int64).max
+_CODEC = "zstd"
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -47,8 +52,8 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(block: Block, roller: Roller, length: int, anchor: int) -> dict[str, np.ndarray]:
-    """doc, start (in the doc), size, and the two hashes of each segment of a block. Least hashes
-    crowd at the low end, so the anchor's is mixed once more to spread over the buckets."""
+    """doc, start (in the doc), size, and the hashes of anchor and whole of each segment of a block.
+    Least hashes crowd at the low end, so the anchor's is mixed once more to spread over the buckets."""
     none = {k: np.empty(0, np.int64) for k in ("doc", "start", "size")} | {k: np.empty(0, np.uint64) for k in ("anchor", "whole")}
     n = len(block.data)
     if n < length:
@@ -76,10 +81,6 @@ def segments(block: Block, roller: Roller, length: int, anchor: int) -> dict[str
     return {"doc": doc, "start": first - block.offsets[doc], "size": last + length - first, "anchor": mix(hashes[place] + np.uint64(1)), "whole": mix(whole) >> np.uint64(24)}
 
 
-def joined(anchor: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    return mix(anchor + whole * np.uint64(0xD6E8FEB86659FD93))
-
-
 def repeat_groups(texts: np.ndarray, sizes: np.ndarray, before: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     """Maximal repeats of at least length bytes among suffixes: (bytes, places of all occurrences).
 
@@ -124,6 +125,58 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], np.append(reach[first[1:] - 1], reach[-1]) - doc[first] * span
 
 
+def matrix(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of ranges of data in rows, zeros after their sizes."""
+    padded = np.concatenate([data, np.zeros(width, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, width)[begin]
+    out[np.arange(width) >= size[:, None]] = 0
+    return out
+
+
+def folded(data: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges sorted by their bytes and folded: the place of one of each kind, the kind of each."""
+    rows = np.concatenate([matrix(data, begin, size, width), size[:, None].astype(np.uint8)], axis=1)
+    _, first, kind = np.unique(rows.view(f"S{width + 1}").ravel(), return_index=True, return_inverse=True)
+    return first, kind
+
+
+def expanded(counts: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each count, end to end."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def maximal_repeats(data: np.ndarray, begin: np.ndarray, size: np.ndarray, group: np.ndarray, least: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, offset, bytes) of what some distinct segments share with one whose least document is
+    smaller: the intervals of the suffix arrays of all segments of a group, as many groups at a time
+    as a slice holds."""
+    order = np.argsort(group, kind="stable")
+    begin, size, group = begin[order], size[order], group[order]
+    count = size - length + 1
+    upto = np.cumsum(count)
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)) if len(group) else np.empty(0, np.int64)
+    alone = np.zeros(len(group), bool)
+    alone[ends[np.diff(ends, prepend=0) == 1] - 1] = True
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    lo = 0
+    while lo < len(group):
+        done = upto[lo - 1] if lo else 0
+        hi = int(ends[min(np.searchsorted(ends, max(lo + 1, np.searchsorted(upto, done + SLICE, "right")), "left"), len(ends) - 1)])
+        which = lo + np.flatnonzero(~alone[lo:hi])  # the tree of a lone segment is its leaf
+        of = np.repeat(which, count[which])
+        off = expanded(count[which])
+        if len(of):
+            texts = matrix(data, begin[of] + off, size[of] - off, width)
+            before = np.where(off > 0, data[begin[of] + off - 1].astype(np.int64), -1 - np.arange(len(of)))
+            for common, who in repeat_groups(texts, size[of] - off, before, length):
+                held = least[order[of[who]]]
+                later = held > held.min()
+                if later.any():
+                    out.append((order[of[who[later]]], off[who[later]], np.full(int(later.sum()), common)))
+        lo = hi
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """_id (doc_id as long), keep, n_bytes, n_removed, n_spans and kept (binary) of each document.
 
@@ -132,150 +185,154 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are not smaller than each other, null ids come after all others. Repeated rows, texts shorter
     than length and empty tables are ordinary. keep must not name a column of the result."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), *keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    dealt, n = chunked(rows, "_text", "_id", CHUNK)
+    dealt, n_chunks = chunked(rows, "_text", "_id", CHUNK)
+    n, width, hot = buckets(n_chunks), 2 * length - anchor, HOT
 
     def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
         return table, table["_id"].fill_null(_LAST).to_numpy()
 
-    def parts(table: pa.Table, ids: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[int, Block]]]:
-        roller, found, held = Roller(8), [], []
+    def parts(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The segments of a chunk, with begin (their place in all its bytes), and those bytes."""
+        roller, found, held, base = Roller(8), [], [], 0
         for at, block in blocks(table["_text"]):
             got = segments(block, roller, length, anchor)
+            got["begin"] = block.offsets[got["doc"]] + got["start"] + base
             got["doc"] = got["doc"] + at
             found.append(got)
-            held.append((at, block))
-        out = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-        out["id"] = ids[out["doc"]]
-        return out, held
-
-    def firsts(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of one segment of each kind, in the smallest document, by anchor; the kind of each segment."""
-        order = np.lexsort((s["id"], s["whole"], s["anchor"]))
-        a, w = s["anchor"][order], s["whole"][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        return order[new], kind
+            held.append(block.data)
+            base += len(block.data)
+        return {k: np.concatenate([f[k] for f in found]) for k in found[0]}, np.concatenate(held)
+
+    def of_anchors(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted anchors, that of each segment; documents and kinds (by hash) of each anchor."""
+        every, back = np.unique(s["anchor"], return_inverse=True)
+
+        def distinct(c: np.ndarray) -> np.ndarray:
+            order = np.lexsort((c, back))
+            new = np.ones(len(order), bool)
+            new[1:] = (back[order][1:] != back[order][:-1]) | (c[order][1:] != c[order][:-1])
+            return np.bincount(back[order[new]], minlength=len(every))
+
+        return every, back, distinct(s["doc"]), distinct(s["whole"])
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         released()
-        table, ids = in_order(table)
-        s, _ = parts(table, ids)
-        one, _ = firsts(s)
-        at = cuts(s["anchor"][one], n)
-        some = np.flatnonzero(np.diff(at))
-        part = lambda k, b: pack(s[k][one[at[b] : at[b + 1]]])
-        return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), key[0].as_py(), np.int32)), **{c: pa.array([part(k, b) for b in some], pa.binary()) for c, k in (("a", "anchor"), ("w", "whole"), ("i", "id"))}})
+        s, _ = parts(in_order(table)[0])
+        every, _, _, kinds = of_anchors(s)
+        at, place = placed(every, n)
+        some, kinds = np.flatnonzero(np.diff(at)), np.minimum(kinds, 65_535).astype(np.uint16)
+        blob = lambda x: pa.array([pack(x[at[b] : at[b + 1]]) for b in some], pa.binary())
+        return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "p": blob(place), "c": blob(kinds)})
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
+        """0 for an anchor that no other chunk holds, 1 for others, 2 for the hot ones."""
         released()
-        chunk_of = table["chunk"].to_numpy()
-        a, w, i = ([unpack(x.as_py(), kind) for x in table[c]] for c, kind in (("a", np.uint64), ("w", np.uint64), ("i", np.int64)))
-        numbers = np.repeat(np.arange(len(a)), [len(x) for x in a])
-        a, w, i = np.concatenate(a), np.concatenate(w), np.concatenate(i)
-        order = np.lexsort((i, w, a))
-        a, w, i, who = a[order], w[order], i[order], numbers[order]
-        new_a = np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new = new_a.copy()
-        new[1:] |= w[1:] != w[:-1]
-        least = i[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        several = np.bincount(np.cumsum(new_a) - 1, weights=new)[np.cumsum(new_a) - 1] > 1
-        copy, owner = i > least, (i == least) & several
-        keys = joined(a, w)
-        rows = _split(who, chunk_of, keys, least, copy, owner)
-        return pa.table({"_chunk": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "k"), (2, "i"), (3, "o"))}})
+        places = [unpack(x.as_py(), np.uint32) for x in table["p"]]
+        kinds = np.concatenate([unpack(x.as_py(), np.uint16) for x in table["c"]])
+        _, back, held = np.unique(np.concatenate(places), return_inverse=True, return_counts=True)
+        code = np.where(np.bincount(back, kinds) > hot, 2, held > 1).astype(np.uint8)[back]
+        replies = np.split(code, np.cumsum([len(x) for x in places])[:-1])
+        return pa.table({"_chunk": table["chunk"], "bucket": pa.array(np.full(len(places), key[0].as_py(), np.int32)), "c": pa.array([x.tobytes() for x in replies], pa.binary())})
+
+    def units(s: dict[str, np.ndarray], data: np.ndarray, code: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Segments with anchors of several documents, windows where the anchor is hot (doc, start,
+        begin, size, key), by the answers for the chunk's anchors; folded."""
+        _, back, documents, _ = of_anchors(s)
+        whole = np.flatnonzero((code[back] == 1) | ((code[back] == 0) & (documents[back] > 1)))
+        u = {k: s[k][whole] for k in ("doc", "start", "begin", "size")} | {"key": s["anchor"][whole]}
+        apart = np.flatnonzero(code[back] == 2)
+        if len(apart):
+            count = s["size"][apart] - length + 1
+            of, off = np.repeat(apart, count), expanded(count)
+            begin = s["begin"][of] + off
+            roller = Roller(9)
+            more = {"doc": s["doc"][of], "start": s["start"][of] + off, "begin": begin, "size": np.full(len(of), length), "key": roller.spans(roller.prefix(data), begin, begin + length)}
+            u = {k: np.concatenate([u[k], more[k]]) for k in u}
+        return u, *folded(data, u["begin"], u["size"], width)
+
+    def least_of(ids: np.ndarray, kind: np.ndarray, kinds: int) -> np.ndarray:
+        least = np.full(kinds, _LAST)
+        np.minimum.at(least, kind, ids)
+        return least
 
     def request(left: pa.Table, right: pa.Table) -> pa.Table:
         released()
-        shape = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("a", "i", "d", "s", "z", "t"))])
+        shape = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("p", "i", "k", "z", "t", "codes"))])
         if not len(left) or not len(right):
             return shape.empty_table()
         chunk = left["_chunk"][0].as_py()
         table, ids = in_order(left)
-        s, held = parts(table, ids)
-        one, kind = firsts(s)
-        least = s["id"][one].copy()
-        keys = joined(s["anchor"][one], s["whole"][one])
-        order = np.argsort(keys)
-        told = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in right["k"]])
-        by = np.concatenate([unpack(x.as_py(), np.int64) for x in right["i"]])
-        least[order[np.searchsorted(keys[order], told)]] = by
-        wanted = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in right["o"]]))
-        copy = s["id"] > least[kind]
-        out = []
-        d, b, e = merged(s["doc"][copy], s["start"][copy], s["start"][copy] + s["size"][copy])
-        if len(d):
-            out.append((chunk % n, chunk, 1, b"", b"", pack(d), pack(b), pack(e), b""))
-        own = np.flatnonzero(member(keys, wanted)[kind] & ~copy)
-        own = own[np.argsort(s["anchor"][own], kind="stable")]
-        if len(own):
-            offsets = np.concatenate([block.offsets[:-1] + base for base, (_, block) in zip(np.cumsum([0, *(len(x.data) for _, x in held[:-1])]), held, strict=True)])
-            data = np.concatenate([x.data for _, x in held])
-            begin, size = offsets[s["doc"][own]] + s["start"][own], s["size"][own]
-            at = cuts(s["anchor"][own], n)
-            for bucket in np.flatnonzero(np.diff(at)):
-                p = slice(at[bucket], at[bucket + 1])
-                where = np.repeat(begin[p] - np.cumsum(size[p]) + size[p], size[p]) + np.arange(size[p].sum())
-                out.append((int(bucket), chunk, 0, pack(s["anchor"][own[p]]), pack(s["id"][own[p]]), pack(s["doc"][own[p]]), pack(s["start"][own[p]]), size[p].astype(np.uint8).tobytes(), data[where].tobytes()))
+        s, data = parts(table)
+        codes = b"".join(x.as_py() for x in right.sort_by("bucket")["c"])
+        u, first, kind = units(s, data, np.frombuffer(codes, np.uint8))
+        out = [(chunk % n, chunk, b"", b"", b"", b"", b"", pa.compress(codes, _CODEC, asbytes=True))]
+        least = least_of(ids[u["doc"]], kind, len(first))
+        order = np.argsort(u["key"][first], kind="stable")
+        at, place = placed(u["key"][first[order]], n)
+        for b in np.flatnonzero(np.diff(at)):
+            p, cell = order[at[b] : at[b + 1]], place[at[b] : at[b + 1]]
+            size = u["size"][first[p]]
+            raw = data[np.repeat(u["begin"][first[p]], size) + expanded(size)].tobytes()
+            out.append((int(b), chunk, pack(cell), pack(least[p]), pack(p.astype(np.uint32)), size.astype(np.uint8).tobytes(), pa.compress(raw, _CODEC, asbytes=True), None))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(shape)], schema=shape)
 
     def resolve(key: tuple, table: pa.Table) -> pa.Table:
         released()
-        out = [tuple(r[c] for c in ("chunk", "d", "s", "z")) for r in table.filter(pc.equal(table["kind"], 1)).to_pylist()]
-        rows = table.filter(pc.equal(table["kind"], 0)).to_pylist()
+        rows = table.to_pylist()
+        out = [(r["chunk"], *[b""] * 5, r["codes"]) for r in rows if r["codes"] is not None]
+        rows = [r for r in rows if r["codes"] is None]
         if rows:
+            number = lambda c, t: np.concatenate([unpack(r[c], t) for r in rows])
+            place, ids, name = number("p", np.uint32), number("i", np.int64), number("k", np.uint32)
             chunk = np.repeat([r["chunk"] for r in rows], [len(r["z"]) for r in rows])
-            ids, doc, start = (np.concatenate([unpack(r[c], np.int64) for r in rows]) for c in ("i", "d", "s"))
-            size = np.concatenate([np.frombuffer(r["z"], np.uint8) for r in rows]).astype(np.int64)
-            data = np.frombuffer(b"".join(r["t"] for r in rows), np.uint8)
+            sizes = [np.frombuffer(r["z"], np.uint8).astype(np.int64) for r in rows]
+            data = np.frombuffer(b"".join(pa.decompress(r["t"], int(z.sum()), _CODEC, asbytes=True) for r, z in zip(rows, sizes, strict=True)), np.uint8)
+            size = np.concatenate(sizes)
             begin = np.cumsum(size) - size
-            # The suffixes that start a window which stands in two segments or more.
-            count = size - length + 1
-            of = np.repeat(np.arange(len(size)), count)
-            off = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            roller = Roller(9)
-            prefix = roller.prefix(data)
-            windows = roller.spans(prefix, begin[of] + off, begin[of] + off + length)
-            twice = np.flatnonzero(present_twice(windows))
-            twice = twice[np.argsort(windows[twice], kind="stable")]
-            windows, of, off = windows[twice], of[twice], off[twice]
-            # An interval of common prefixes of that length lies within one window, so the array
-            # is built for as many windows at a time as a slice holds.
-            ends = np.append(np.flatnonzero(windows[1:] != windows[:-1]) + 1, len(windows)) if len(windows) else np.empty(0, np.int64)
-            width, cut, lo = 2 * length - anchor, [], 0
-            while lo < len(windows):
-                hi = int(ends[min(np.searchsorted(ends, lo + SLICE, "left"), len(ends) - 1)])
-                w, o = of[lo:hi], off[lo:hi]
-                texts = np.zeros((hi - lo, width), np.uint8)
-                room = size[w] - o
-                for j in range(width):
-                    inside = room > j
-                    texts[inside, j] = data[begin[w[inside]] + o[inside] + j]
-                before = np.where(o > 0, data[np.maximum(begin[w] + o - 1, 0)].astype(np.int64), -1 - np.arange(hi - lo))
-                for common, who in repeat_groups(texts, room, before, length):
-                    later = ids[w[who]] > ids[w[who]].min()
-                    if later.any():
-                        cut.append((w[who[later]], o[who[later]], np.full(int(later.sum()), common)))
-                lo = hi
-            if len(cut):
-                which, at, common = (np.concatenate(x) for x in zip(*cut, strict=True))
-                order = np.argsort(chunk[which], kind="stable")
-                which, at, common = which[order], at[order], common[order]
-                for p in np.split(np.arange(len(which)), np.flatnonzero(np.diff(chunk[which])) + 1):
-                    d, b, e = merged(doc[which[p]], start[which[p]] + at[p], start[which[p]] + at[p] + common[p])
-                    out.append((int(chunk[which[p[0]]]), pack(d), pack(b), pack(e)))
-        return pa.table({"_chunk": pa.array([r[0] for r in out], pa.int32()), **{c: pa.array([r[k] for r in out], pa.binary()) for k, c in ((1, "d"), (2, "s"), (3, "e"))}})
+            first, kind = folded(data, begin, size, width)
+            least = least_of(ids, kind, len(first))
+            which, off, common = maximal_repeats(data, begin[first], size[first], place[first], least, length, width)
+            # A leaf's occurrences: all documents but the least lose the segment. What the least
+            # shares with smaller ones, by the intervals, is told to those that hold it for the least.
+            later = np.flatnonzero(ids > least[kind])
+            owner = np.flatnonzero(ids == least[kind])
+            owner = owner[np.argsort(kind[owner], kind="stable")]
+            count = np.bincount(kind[owner], minlength=len(first))
+            begins = np.cumsum(count) - count
+            to = owner[np.repeat(begins[which], count[which]) + expanded(count[which])]
+            off, common = np.repeat(off, count[which]), np.repeat(common, count[which])
+            for c in np.unique(np.concatenate([chunk[later], chunk[to]])):
+                x, y = later[chunk[later] == c], chunk[to] == c
+                out.append((int(c), pack(name[x]), pack(least[kind[x]]), pack(name[to[y]]), off[y].astype(np.uint8).tobytes(), common[y].astype(np.uint8).tobytes(), None))
+        return pa.table([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in range(1, 7))], names=["_chunk", "l", "m", "k", "o", "c", "codes"])
 
     names = ["_id", *keep, "n_bytes", "n_removed", "n_spans", "kept"]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         released()
-        table, _ = in_order(left)
-        d, b, e = (np.concatenate([np.empty(0, np.int64), *(unpack(x.as_py(), np.int64) for x in right[c])]) for c in ("d", "s", "e"))
-        d, b, e = merged(d, b, e)
+        table, ids = in_order(left)
+        d = b = e = np.empty(0, np.int64)
+        codes = [x.as_py() for x in right["codes"] if x.is_valid]
+        if codes:
+            s, data = parts(table)
+            every = len(np.unique(s["anchor"]))
+            u, first, kind = units(s, data, np.frombuffer(pa.decompress(codes[0], every, _CODEC, asbytes=True), np.uint8))
+            number = lambda c, t: np.concatenate([unpack(x.as_py(), t) for x in right[c]])
+            own = ids[u["doc"]]
+            least = least_of(own, kind, len(first))
+            told = least.copy()
+            np.minimum.at(told, number("l", np.uint32), number("m", np.int64))
+            copy = np.flatnonzero(own > told[kind])
+            of, off, common = number("k", np.uint32), *(np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in right[c]]).astype(np.int64) for c in ("o", "c"))
+            # The ranges of a kind that smaller documents hold, in each of its copies in the least.
+            owner = np.flatnonzero(own == least[kind])
+            owner = owner[np.argsort(kind[owner], kind="stable")]
+            count = np.bincount(kind[owner], minlength=len(first))
+            begins = np.cumsum(count) - count
+            to = owner[np.repeat(begins[of], count[of]) + expanded(count[of])]
+            off, common = np.repeat(off, count[of]), np.repeat(common, count[of])
+            d, b, e = merged(np.concatenate([u["doc"][copy], u["doc"][to]]), np.concatenate([u["start"][copy], u["start"][to] + off]), np.concatenate([u["start"][copy] + u["size"][copy], u["start"][to] + off + common]))
         ends = np.searchsorted(d, np.arange(len(table) + 1))
         size, gone, spans, kept = [], [], [], []
         for j, x in enumerate(table["_text"]):
@@ -290,19 +347,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             spans.append(int(ends[j + 1] - ends[j]))
         return pa.table([table["_id"], *(table[k] for k in keep), *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(kept, pa.binary())], names=names)
 
-    answered = dealt.groupBy("_chunk").applyInArrow(ask, "bucket int, chunk int, a binary, w binary, i binary").groupBy("bucket").applyInArrow(answer, "_chunk int, k binary, i binary, o binary")
-    requested = dealt.groupBy("_chunk").cogroup(answered.groupBy("_chunk")).applyInArrow(request, "bucket int, chunk int, kind int, a binary, i binary, d binary, s binary, z binary, t binary")
-    ranges = requested.groupBy("bucket").applyInArrow(resolve, "_chunk int, d binary, s binary, e binary")
+    answered = dealt.groupBy("_chunk").applyInArrow(ask, "bucket int, chunk int, p binary, c binary").groupBy("bucket").applyInArrow(answer, "_chunk int, bucket int, c binary")
+    requested = dealt.groupBy("_chunk").cogroup(answered.groupBy("_chunk")).applyInArrow(request, "bucket int, chunk int, p binary, i binary, k binary, z binary, t binary, codes binary")
+    ranges = requested.groupBy("bucket").applyInArrow(resolve, "_chunk int, l binary, m binary, k binary, o binary, c binary, codes binary")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
     return dealt.groupBy("_chunk").cogroup(ranges.groupBy("_chunk")).applyInArrow(finish, ", ".join([*fields, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"]))
-
-
-def _split(who: np.ndarray, chunk_of: np.ndarray, keys: np.ndarray, least: np.ndarray, copy: np.ndarray, owner: np.ndarray) -> list[tuple]:
-    """What a bucket answers, by asking chunk."""
-    some = np.flatnonzero(copy | owner)
-    some = some[np.argsort(who[some], kind="stable")]
-    out = []
-    for p in np.split(some, np.flatnonzero(np.diff(who[some])) + 1) if len(some) else []:
-        c, o = p[copy[p]], p[owner[p]]
-        out.append((int(chunk_of[who[p[0]]]), keys[c].tobytes(), pack(least[c]), keys[o].tobytes()))
-    return out

@@ -393,7 +393,9 @@ def cut(docs, length=50):
     return out
 
 
-def test_repeats_are_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 2])
+def test_repeats_are_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 6)))
     passages = ["".join(word() for _ in range(40)) for _ in range(6)] + ["x" * 200, "ab" * 90]
@@ -410,6 +412,28 @@ def test_repeats_are_brute_force(spark, monkeypatch):
     assert got == sorted([(i, want[n][1], want[n][2], want[n][0]) for n, (i, _) in enumerate(raw)] + [(63, 0, 0, b"")])
 
 
+def test_repeats_of_documents_are_brute_force(spark, documents, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 100_000)
+    raw = sorted((r.doc_id, (r.text or "").encode()) for r in documents.collect())
+    want = cut(raw)
+    got = {r._id: (bytes(r.kept), r.n_removed, r.n_spans) for r in suffixes.remove_repeats(documents).collect()}
+    assert got == {i: want[n] for n, (i, _) in enumerate(raw)}
+
+
+def test_slices_give_the_same_repeats(monkeypatch):
+    rng = np.random.default_rng(5)
+    size = rng.integers(6, 12, 300)
+    begin, group, least = np.cumsum(size) - size, rng.integers(0, 40, 300), rng.integers(0, 100, 300)
+    data = (rng.integers(0, 2, size.sum()) + 2 * np.repeat(group, size)).astype(np.uint8)  # groups share no strings
+    first, _ = suffixes.folded(data, begin, size, 12)
+    args = data, begin[first], size[first], group[first], least[first], 6, 12
+    sets = []
+    for slice_ in (10, 100_000):
+        monkeypatch.setattr(suffixes, "SLICE", slice_)
+        sets.append(set(zip(*(x.tolist() for x in suffixes.maximal_repeats(*args)), strict=True)))
+    assert sets[0] == sets[1] and sets[0]
+
+
 def test_maximal_repeats_of_an_array():
     text = b"abcabxabcaby"
     rows = np.zeros((12, 12), np.uint8)
