@@ -1,7 +1,7 @@
 """Removal of repeated passages by maximal repeats of an enhanced suffix array.
 
-Every window of `length` bytes has one anchor, the leftmost least hash of its short substrings, so
-equal windows have equal anchors wherever they stand. The windows of a text that share an anchor
+Every window of `length` bytes has one anchor, the least hash of its short substrings, so equal
+windows have equal anchors wherever they stand. The windows of a text that share an anchor
 make a segment. A blob exchange finds the anchors that stand in several documents; hashes route,
 and decide nothing. The bytes of the segments with such anchors, each distinct one of a chunk once,
 meet in the bucket of their anchor. There they are sorted: equal segments become one leaf with all
@@ -27,28 +27,30 @@ from palimpsest.llm.textblocks import Block, Roller, blocks, mix
 
 #: Bytes of a repeat, and of the substrings among which its anchor is chosen.
 LENGTH, ANCHOR = 50, 20
-#: Bytes of text in a chunk, on average.
-CHUNK = 2 << 20
+#: Bytes of text in a chunk, on average, and of a block of it, whose arrays a core's cache holds.
+CHUNK, BLOCK = 2 << 20, 1 << 17
 #: Suffixes that one array holds, unless a single anchor has more; distinct segments of an anchor
 #: beyond which it is taken apart into windows.
 SLICE, HOT = 32_768, 16_384
 
+_LOW = np.uint64(4095)
 _LAST = np.iinfo(np.int64).max
 _CODEC = "zstd"
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost least value in each window of width values."""
+    """Place of a least value (but for its low bits) in each window of width values, fewer than 4,096.
+    A value carries its place in its low bits, so that one minimum finds both."""
     if len(values) < width:
         return np.empty(0, np.int64)
-    best, at, have = values, np.arange(len(values), dtype=np.int32), 1
+    places, have = np.arange(len(values), dtype=np.uint64), 1
+    best = (values | _LOW) - _LOW + (places & _LOW)
     while have < width:
         step = min(have, width - have)
-        n = len(best) - step
-        right = best[step:] < best[:n]
-        best, at = np.where(right, best[step:], best[:n]), np.where(right, at[step:], at[:n])
+        best = np.minimum(best[step:], best[:-step])
         have += step
-    return at
+    places = places[: len(best)]
+    return (places + ((best - places) & _LOW)).astype(np.int64)
 
 
 def segments(block: Block, roller: Roller, length: int, anchor: int) -> dict[str, np.ndarray]:
@@ -75,10 +77,10 @@ def segments(block: Block, roller: Roller, length: int, anchor: int) -> dict[str
     ends[:-1] = change[1:] | ~valid[1:]
     ends[-1] = True
     last = np.flatnonzero(valid & ends)
-    place = at[first].astype(np.int64)
+    place = at[first]
     doc = np.searchsorted(block.offsets, first, "right") - 1
     whole = roller.spans(prefix, first, last + length) + (place - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return {"doc": doc, "start": first - block.offsets[doc], "size": last + length - first, "anchor": mix(hashes[place] + np.uint64(1)), "whole": mix(whole) >> np.uint64(24)}
+    return {"doc": doc, "start": first - block.offsets[doc], "size": last + length - first, "anchor": mix(hashes[place] | _LOW), "whole": mix(whole) >> np.uint64(24)}
 
 
 def repeat_groups(texts: np.ndarray, sizes: np.ndarray, before: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
@@ -195,7 +197,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def parts(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """The segments of a chunk, with begin (their place in all its bytes), and those bytes."""
         roller, found, held, base = Roller(8), [], [], 0
-        for at, block in blocks(table["_text"]):
+        for at, block in blocks(table["_text"], BLOCK):
             got = segments(block, roller, length, anchor)
             got["begin"] = block.offsets[got["doc"]] + got["start"] + base
             got["doc"] = got["doc"] + at
@@ -204,22 +206,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             base += len(block.data)
         return {k: np.concatenate([f[k] for f in found]) for k in found[0]}, np.concatenate(held)
 
-    def of_anchors(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted anchors, that of each segment; documents and kinds (by hash) of each anchor."""
+    def of_anchors(s: dict[str, np.ndarray], by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted anchors, that of each segment, and how many values of s[by] each anchor has."""
         every, back = np.unique(s["anchor"], return_inverse=True)
-
-        def distinct(c: np.ndarray) -> np.ndarray:
-            order = np.lexsort((c, back))
-            new = np.ones(len(order), bool)
-            new[1:] = (back[order][1:] != back[order][:-1]) | (c[order][1:] != c[order][:-1])
-            return np.bincount(back[order[new]], minlength=len(every))
-
-        return every, back, distinct(s["doc"]), distinct(s["whole"])
+        order = np.lexsort((s[by], back))
+        new = np.ones(len(order), bool)
+        new[1:] = (back[order][1:] != back[order][:-1]) | (s[by][order][1:] != s[by][order][:-1])
+        return every, back, np.bincount(back[order[new]], minlength=len(every))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         released()
         s, _ = parts(in_order(table)[0])
-        every, _, _, kinds = of_anchors(s)
+        every, _, kinds = of_anchors(s, "whole")
         at, place = placed(every, n)
         some, kinds = np.flatnonzero(np.diff(at)), np.minimum(kinds, 65_535).astype(np.uint16)
         blob = lambda x: pa.array([pack(x[at[b] : at[b + 1]]) for b in some], pa.binary())
@@ -238,7 +236,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def units(s: dict[str, np.ndarray], data: np.ndarray, code: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Segments with anchors of several documents, windows where the anchor is hot (doc, start,
         begin, size, key), by the answers for the chunk's anchors; folded."""
-        _, back, documents, _ = of_anchors(s)
+        _, back, documents = of_anchors(s, "doc")
         whole = np.flatnonzero((code[back] == 1) | ((code[back] == 0) & (documents[back] > 1)))
         u = {k: s[k][whole] for k in ("doc", "start", "begin", "size")} | {"key": s["anchor"][whole]}
         apart = np.flatnonzero(code[back] == 2)
@@ -266,7 +264,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         s, data = parts(table)
         codes = b"".join(x.as_py() for x in right.sort_by("bucket")["c"])
         u, first, kind = units(s, data, np.frombuffer(codes, np.uint8))
-        out = [(chunk % n, chunk, b"", b"", b"", b"", b"", pa.compress(codes, _CODEC, asbytes=True))]
+        out = [(chunk % n, chunk, b"", b"", b"", b"", b"", len(codes).to_bytes(4, "little") + pa.compress(codes, _CODEC, asbytes=True))]
         least = least_of(ids[u["doc"]], kind, len(first))
         order = np.argsort(u["key"][first], kind="stable")
         at, place = placed(u["key"][first[order]], n)
@@ -316,8 +314,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         codes = [x.as_py() for x in right["codes"] if x.is_valid]
         if codes:
             s, data = parts(table)
-            every = len(np.unique(s["anchor"]))
-            u, first, kind = units(s, data, np.frombuffer(pa.decompress(codes[0], every, _CODEC, asbytes=True), np.uint8))
+            u, first, kind = units(s, data, np.frombuffer(pa.decompress(codes[0][4:], int.from_bytes(codes[0][:4], "little"), _CODEC, asbytes=True), np.uint8))
             number = lambda c, t: np.concatenate([unpack(x.as_py(), t) for x in right[c]])
             own = ids[u["doc"]]
             least = least_of(own, kind, len(first))
