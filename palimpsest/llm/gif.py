@@ -1,8 +1,8 @@
 """GIF as a media column: writing samples to frames, decoding streams, and timed frames.
 
 The decoder reads any GIF: LZW code streams of every width with early or late clear codes, global
-and local palettes, interlacing, transparency, the four disposal rules and frame delays. Streams
-whose clear codes come before the code width grows are read by array work, others code by code.
+and local palettes, interlacing, transparency, the four disposal rules and frame delays. The encoder
+writes streams with growing code tables.
 """
 
 from __future__ import annotations
@@ -31,143 +31,115 @@ def _blocks(data: bytes) -> bytes:
     return rows.tobytes() + (bytes([rest]) + data[255 * whole :] if rest else b"") + b"\0"
 
 
-def lzw_literal(samples: np.ndarray) -> bytes:
-    """8-bit samples as 9-bit codes of themselves, with a clear code before the width would grow."""
-    n = len(samples)
-    runs = -(-n // 254)
-    codes = np.full(runs * 255, 256, np.uint16)
-    body = np.zeros(runs * 254, np.uint16)
-    body[:n] = samples
-    codes.reshape(runs, 255)[:, 1:] = body.reshape(runs, 254)
-    codes = codes[: n + runs]
-    used = -(-9 * (len(codes) + 1) // 8)
-    c = np.zeros(-(-(len(codes) + 1) // 8) * 8, np.uint16)
-    c[: len(codes)] = codes
-    c[len(codes)] = 257
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint16)
-    out[:, 0], out[:, 8] = c[:, 0], c[:, 7] >> 1
-    for j in range(1, 8):
-        out[:, j] = (c[:, j] << j) | (c[:, j - 1] >> (9 - j))
-    return out.astype(np.uint8).tobytes()[:used]
-
-
-def lzw_compress(samples: bytes, size: int = 8) -> bytes:
-    """The usual growing code table; slow, for small images."""
-    clear, out, bits, held = 1 << size, bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, held
-        held |= code << bits
-        bits += width
-        while bits >= 8:
-            out.append(held & 255)
-            held >>= 8
-            bits -= 8
-
-    table: dict[bytes, int] = {}
-    width, top, run = size + 1, clear + 1, b""
-    put(clear, width)
+def _widths(size: int) -> np.ndarray:
+    """Bits of the first, second, ... code after a clear code, up to the full table."""
+    known = (1 << size) + 2 + np.maximum(np.arange(_FULL) - 1, 0)
+    return np.clip(np.ceil(np.log2(known + 1)), size + 1, 12).astype(np.int64)
+
+
+#: Codes after a clear code, at most, until the code table is full and the next one is cleared again.
+_FULL = 4096
+
+
+def lzw_encode(samples: bytes, size: int = 8) -> bytes:
+    """The code stream of samples below 1 << size: a code table that grows with each code written, and
+    is cleared when its 4,096 places are taken."""
+    clear = 1 << size
+    codes, table, free, run = [], {}, clear + 2, -1
+    ends = []  # places of clear codes
     for s in samples:
-        longer = run + bytes([s])
-        if len(longer) == 1 or longer in table:
-            run = longer
+        if run < 0:
+            run = s
+            continue
+        longer = run << 8 | s
+        code = table.get(longer)
+        if code is not None:
+            run = code
             continue
-        put(table[run] if len(run) > 1 else run[0], width)
-        top += 1
-        if top < 4096:
-            table[longer] = top
-            width = max(width, top.bit_length())
+        codes.append(run)
+        if free < 4096:
+            table[longer] = free
+            free += 1
         else:
-            put(clear, width)
-            table, width, top = {}, size + 1, clear + 1
-        run = bytes([s])
-    if run:
-        put(table[run] if len(run) > 1 else run[0], width)
-        if top + 1 == 1 << width and width < 12:
-            width += 1
-    put(clear + 1, width)
-    if bits:
-        out.append(held & 255)
-    return bytes(out)
+            ends.append(len(codes))
+            codes.append(clear)
+            table, free = {}, clear + 2
+        run = s
+    if run >= 0:
+        codes.append(run)
+    codes.append(clear + 1)
+    value = np.array([clear, *codes], np.int64)
+    first = np.concatenate([[0], np.array(ends, np.int64) + 1])
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+    bits = np.concatenate([[size + 1], _widths(size)[place]])
+    at = np.cumsum(bits) - bits
+    shifted, byte = value << (at & 7), at >> 3
+    total = -(-int(at[-1] + bits[-1]) // 8)
+    return sum(np.bincount(byte + i, shifted >> 8 * i & 255, total + 3) for i in range(3)).astype(np.uint8)[:total].tobytes()
 
 
 def lzw_decode(data: bytes, size: int, most: int) -> np.ndarray:
-    """At most `most` samples of a code stream."""
-    early = _decode_narrow(data, size, most)
-    return early if early is not None else _decode_any(data, size, most)
-
-
-def _decode_narrow(data: bytes, size: int, most: int) -> np.ndarray | None:
-    """For a stream that has only literals and clears before its codes would widen, else None."""
-    width, clear = size + 1, 1 << size
-    n = len(data) * 8 // width
-    raw = np.zeros(-(-n // 8) * width + 2, np.uint8)
-    raw[: len(data)] = np.frombuffer(data, np.uint8)[: len(raw)]
-    rows = raw[: -(-n // 8) * width].reshape(-1, width).astype(np.uint32)
-    codes = np.empty((len(rows), 8), np.uint32)
-    for k in range(8):
-        bit = k * width
-        a, shift = bit >> 3, bit & 7
-        codes[:, k] = rows[:, a] >> shift | (rows[:, a + 1] << (8 - shift) if a + 1 < width else 0)
-    codes = (codes.reshape(-1) & ((1 << width) - 1))[:n]
-    ends = np.flatnonzero(codes == clear + 1)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == clear)
-    if not len(clears) or clears[0] or (codes > clear).any() or np.diff(np.append(clears, len(codes) + 0)).max() > clear - 1:
-        return None
-    return codes[codes != clear].astype(np.uint8)[:most]
-
-
-def _decode_any(data: bytes, size: int, most: int) -> np.ndarray:
-    clear = 1 << size
-    literals = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, held, bits, last, out, made = list(literals), size + 1, 0, 0, None, [], 0
-    at, n = 0, len(data)
-    while made < most:
-        while bits < width and at < n:
-            held |= data[at] << bits
-            bits += 8
-            at += 1
-        if bits < width:
+    """At most `most` samples of a code stream. The widths of the codes after a clear code depend on
+    their number alone, so that codes are unpacked as arrays, a table at a time; a code then copies
+    the samples of the code before its entry, and the one that follows them."""
+    clear, raw = 1 << size, np.zeros(len(data) + 3, np.uint32)
+    raw[: len(data)] = np.frombuffer(data, np.uint8)
+    three = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    widths = _widths(size)
+    begins = np.cumsum(widths) - widths
+    out, bit, end = bytearray(), 0, 8 * len(data)
+    while len(out) < most and bit < end:
+        codes: list[int] = []
+        start, closed = bit, False
+        while not closed:  # a full table may stay for any number of codes of 12 bits
+            at = begins if bit == start else np.arange(_FULL) * 12
+            room = widths if bit == start else np.full(_FULL, 12)
+            n = int(np.searchsorted(at + room, end - bit, "right"))
+            if not n:
+                break
+            at = at[:n] + bit
+            got = (three[at >> 3] >> (at & 7).astype(np.uint32)) & ((1 << room[:n]) - 1).astype(np.uint32)
+            marks = np.flatnonzero((got == clear) | (got == clear + 1))
+            closed = len(marks) > 0
+            last = int(marks[0]) if closed else n - 1
+            codes += got[: last + (not closed)].tolist()
+            bit = int(at[last] + room[last])
+        _expand(codes, clear, out)
+        if not closed or got[last] == clear + 1:
             break
-        code = held & ((1 << width) - 1)
-        held >>= width
-        bits -= width
-        if code == clear:
-            table, width, last = list(literals), size + 1, None
-            continue
-        if code == clear + 1:
-            break
-        if code < len(table):
-            word = table[code]
-        elif last is not None and code == len(table):
-            word = last + last[:1]
+    return np.frombuffer(bytes(out[:most]), np.uint8)
+
+
+def _expand(codes: list[int], clear: int, out: bytearray) -> None:
+    begin, size = [], []
+    for c in codes:
+        start = len(out)
+        if c < clear:
+            out.append(c)
+            n = 1
         else:
-            raise ValueError("broken code stream")
-        if last is not None and len(table) < 4096:
-            table.append(last + word[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        out.append(word)
-        made += len(word)
-        last = word
-    return np.frombuffer(b"".join(out), np.uint8)[:most]
+            c -= clear + 2
+            if c >= len(begin):
+                raise ValueError("broken code stream")
+            p, n = begin[c], size[c] + 1
+            out += out[p : p + n]
+            if len(out) - start < n:  # the entry that this very code completes
+                out.append(out[start])
+        begin.append(start)
+        size.append(n)
 
 
 GRAY = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 
 
-def write_gif(payload: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay: int = FRAME_CS, compress: bool = False) -> bytes:
+def write_gif(payload: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay: int = FRAME_CS) -> bytes:
     """payload, a multiple of width, as grey samples in frames of at most rows rows."""
     samples = np.frombuffer(payload, np.uint8)
     height = min(rows, len(samples) // width)
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), GRAY.tobytes()]
     for at in range(0, len(samples), width * rows):
         part = samples[at : at + width * rows]
-        stream = lzw_compress(part.tobytes()) if compress else lzw_literal(part)
+        stream = lzw_encode(part.tobytes())
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0), b"\x08", _blocks(stream)]
     return b"".join([*out, b"\x3b"])
 
@@ -260,6 +232,12 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(packed[flat[:, 3] > 0], minlength=64)
 
 
+def timed(raw: bytes) -> Iterator[tuple[int, int, int, Frame, np.ndarray]]:
+    """Number, start and duration in ms, frame, and colour histogram of the frame's own pixels."""
+    for k, f in enumerate(read_gif(raw)):
+        yield k, 10 * f.start_cs, 10 * f.delay_cs, f, histogram(f.pixels())
+
+
 def store(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keys, n_bytes and media: each whole text's UTF-8 bytes (null: none), with bytes 0 up to a
     positive multiple of 64, as a GIF of 8-bit samples."""
@@ -279,18 +257,18 @@ def store(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id"
 
 def frames(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each frame: keep, frame, start_ms, duration_ms, width, height, rgba (the screen
-    while the frame stands) and histogram (64 counts by colour). Null media have no frames; bytes
-    that are no GIF are an error."""
+    while the frame stands) and histogram (64 counts by colour of the frame's own pixels). Null media
+    have no frames; bytes that are no GIF are an error. Rows may be repeated, keys null."""
     rows = media.select(*keep, F.col(column).alias("_media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keep, "frame", "start_ms", "duration_ms", "width", "height", "rgba", "histogram"]
         for batch in batches:
             for i, raw in enumerate(batch.column(len(keep))):
-                for k, f in enumerate(read_gif(raw.as_py()) if raw.is_valid else ()):
+                for k, start, ms, f, counts in timed(raw.as_py()) if raw.is_valid else ():
                     h, w = f.canvas.shape[:2]
-                    more = [pa.array([x], pa.int64()) for x in (k, 10 * f.start_cs, 10 * f.delay_cs, w, h)]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(len(keep))), *more, pa.array([f.canvas.tobytes()], pa.binary()), pa.array([histogram(f.canvas).tolist()], pa.list_(pa.int64()))], names=names)
+                    more = [pa.array([x], pa.int64()) for x in (k, start, ms, w, h)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(i, 1) for j in range(len(keep))), *more, pa.array([f.canvas.tobytes()], pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
     return rows.mapInArrow(run, ", ".join([*fields, "frame bigint, start_ms bigint, duration_ms bigint, width bigint, height bigint, rgba binary, histogram array<bigint>"]))
@@ -299,16 +277,18 @@ def frames(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("do
 def digests(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """keep and what the stored bytes, read back frame by frame, hold: payload_bytes,
     payload_sha256, tail_crc32 (of the last 64), media_bytes, media_sha256 and feature (frames,
-    time and the summed colour histogram)."""
+    time and the summed colour histogram). Null media give nulls; bytes that are no GIF are an error.
+    Rows may be repeated, keys null."""
     rows = media.select(*keep, F.col(column).alias("_media"))
 
-    def one(raw: bytes) -> tuple:
+    def one(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * 6
         samples, counts, ms, n = [], np.zeros(64, np.int64), 0, 0
-        for f in read_gif(raw):
-            pixels = f.pixels()
-            samples.append(pixels[..., 0].tobytes())
-            counts += histogram(pixels)
-            ms, n = ms + 10 * f.delay_cs, n + 1
+        for k, start, took, f, colours in timed(raw):
+            samples.append(f.pixels()[..., 0].tobytes())
+            counts += colours
+            ms, n = start + took, k + 1
         payload = b"".join(samples)
         shown = ",".join(f"{i}:{c}" for i, c in enumerate(counts.tolist()) if c)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={n};ms={ms};rgb={shown}"

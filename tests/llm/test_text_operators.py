@@ -189,15 +189,51 @@ def test_gif_round_trip(spark, odd):
         payload = raw + bytes((-len(raw)) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_sha256 == hashlib.sha256(bytes(r.media)).hexdigest()
+        counts = collections.Counter((b >> 6) * 21 for b in payload)
+        assert r.feature == f"frames={-(-len(payload) // 65536)};ms={-(-len(payload) // 65536) * 100};rgb=" + ",".join(f"{k}:{c}" for k, c in sorted(counts.items()))
+        assert len(r.media) < len(payload) or len(payload) < 4000
     shown = gif.frames(stored).filter("doc_id = 6").orderBy("frame").collect()
     assert len(shown) == 2 and [f.start_ms for f in shown] == [0, 100] and sum(shown[0].histogram) == 64 * 1024
     assert gif.digests(gif.store(empty(odd))).count() == 0
+    assert gif.digests(odd.selectExpr("cast(null as binary) AS media", "doc_id", "1L AS n_bytes")).filter("feature is not null").count() == 0
+
+
+def steps(data, size):
+    """The samples of a code stream, a bit at a time, by the format's own rules."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    at, out, clear = 0, b"", 1 << size
+    while True:
+        if not at or code == clear:
+            table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], size + 1, None
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == clear + 1:
+            return out
+        if code == clear:
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        if last is not None and len(table) < 4096:
+            table.append(last + word[:1])
+            width += len(table) == 1 << width and width < 12
+        out, last = out + word, word
+
+
+def test_code_streams_by_the_format_rules():
+    rng = np.random.default_rng(9)
+    for size, n, top in ((8, 30_000, 256), (8, 40_000, 3), (8, 1, 9), (2, 9000, 4), (4, 5000, 16), (8, 258, 256), (8, 259, 256), (8, 0, 2)):
+        data = bytes(rng.integers(0, top, n, dtype=np.uint8))
+        stream = gif.lzw_encode(data, size)
+        assert steps(stream, size) == data and gif.lzw_decode(stream, size, n).tobytes() == data and gif.lzw_decode(stream, size, n // 2).tobytes() == data[: n // 2]
+    late = "".join(f"{c:09b}"[::-1] for c in (256, 97, 98, 257))  # a clear, two literals, the end
+    assert gif.lzw_decode(bytes(int(late[i : i + 8][::-1].ljust(1, "0"), 2) for i in range(0, len(late), 8)), 8, 9).tobytes() == b"ab"
+    with pytest.raises(ValueError):
+        gif.lzw_decode(bytes([0, 255, 255]), 8, 9)
 
 
 def test_grown_code_tables_decode():
     rng = np.random.default_rng(7)
     for data in (b"ab" * 3200, bytes(rng.integers(0, 4, 64_000, dtype=np.uint8)), bytes(rng.integers(0, 256, 64_00, dtype=np.uint8))):
-        media = gif.write_gif(data, compress=True)
+        media = gif.write_gif(data)
         assert b"".join(f.pixels()[..., 0].tobytes() for f in gif.read_gif(media)) == data
 
 
@@ -207,7 +243,7 @@ def test_disposal_transparency_and_palettes():
     def picture(left, top, w, h, samples, disposal, clear=None, palette=b"", interlace=False):
         flags = disposal << 2 | (clear is not None)
         local = 0x80 | 0 if palette else 0
-        return b"\x21\xf9\x04" + struct.pack("<BHB", flags, 5, clear or 0) + b"\0\x2c" + struct.pack("<HHHHB", left, top, w, h, local | 0x40 * interlace) + palette + b"\x02" + gif._blocks(gif.lzw_compress(bytes(samples), 2)) + b"\0" * 0
+        return b"\x21\xf9\x04" + struct.pack("<BHB", flags, 5, clear or 0) + b"\0\x2c" + struct.pack("<HHHHB", left, top, w, h, local | 0x40 * interlace) + palette + b"\x02" + gif._blocks(gif.lzw_encode(bytes(samples), 2)) + b"\0" * 0
 
     colours = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     head = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x81, 0, 0) + colours
