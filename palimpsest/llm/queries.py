@@ -30,19 +30,24 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against a replica in which damage is planted: of the ids that leave 0 by 97 the
     first character of the page is lost, those that leave 1 have no record."""
-    pages = table(spark, sf_dir, "pages")
-    primary = warc.manifest(pages)
+    return warc.audit_replica(*damaged(table(spark, sf_dir, "pages")))
+
+
+def damaged(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The manifest of pages, and a replica of its records with planted damage. Each record of the
+    replica keeps its own place; pages without an id are intact."""
     damage = F.pmod(F.col("page_id"), F.lit(97))
-    damaged = F.when(damage == 0, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    second = pages.withColumn("html", damaged).withColumn("_digest", F.sha2(warc.record(F.col("page_id"), F.col("url"), F.col("html")), 256))
-    held = second.select("page_id", "_digest").filter(~F.coalesce(damage == 1, F.lit(False)))
-    placed = primary.select("archive", "seq", "page_id").join(held, "page_id").select("archive", "seq", F.col("_digest").alias("digest"))
-    return warc.audit_replica(primary, placed)
+    html = F.when(damage == 0, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    now = warc.record(F.col("page_id"), F.col("url"), html)
+    rows = pages.withColumn("_digest", F.sha2(now, 256)).withColumn("_length", F.octet_length(now).cast("long"))
+    primary = warc.manifest(rows, keep=("_digest", "_length"))
+    second = primary.filter(~F.coalesce(damage == 1, F.lit(False)))
+    return primary.drop("_digest", "_length"), second.select("archive", "seq", "record_offset", F.col("_length").alias("record_length"), F.col("_digest").alias("digest"))
 
 
 def _op2_sql() -> str:
     rec = lambda html: f"'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Target-URI: ' || url || n || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen({html}) || n || n || {html} || n || n"
-    up = lambda k, t: f"l{k} AS (SELECT archive, idx // {warc.FANOUT} AS idx, sha256(string_agg(idx || ':' || digest, chr(10) ORDER BY idx)) AS digest FROM {t} GROUP BY ALL)"
+    up = lambda k, t: f"l{k} AS (SELECT archive, idx // {warc.FANOUT} AS idx, min(record_offset) AS record_offset, sum(record_length) AS record_length, sha256(string_agg(idx || ':' || record_offset || ':' || record_length || ':' || digest, chr(10) ORDER BY idx)) AS digest FROM {t} GROUP BY ALL)"
     return f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, chr(13) || chr(10) AS n FROM pages),
 r AS (SELECT page_id, page_id // {warc.ARCHIVE_RECORDS} AS archive, {rec("html")} AS record FROM p),

@@ -571,11 +571,22 @@ def test_audit_finds_planted_damage(spark):
     assert primary.count() == len(rows)
     bad = (F.col("archive") == 1) & F.col("seq").isin(5, 900)
     replica = primary.withColumn("digest", F.when(bad, F.lit("0")).otherwise(F.col("digest"))).filter(~((F.col("archive") == 0) & (F.col("seq") == 17)))
-    replica = replica.select("archive", "seq", "digest").union(spark.createDataFrame([(2, 5000, "1")], "archive bigint, seq bigint, digest string"))
+    replica = replica.select("archive", "seq", "record_offset", "record_length", "digest").union(spark.createDataFrame([(2, 5000, 9, 9, "1")], "archive bigint, seq bigint, a bigint, b bigint, digest string"))
     got = {(r.archive, r.seq, r.status) for r in warc.audit_replica(primary, replica).collect()}
     assert got == {(1, 5, "changed"), (1, 900, "changed"), (0, 17, "missing"), (2, 5000, "extra")}
-    assert warc.audit_replica(primary, primary.select("archive", "seq", "digest")).count() == 0
+    assert warc.audit_replica(primary, primary).count() == 0
+    moved = primary.withColumn("record_offset", F.col("record_offset") + F.when(bad, 1).otherwise(0))
+    assert {(r.archive, r.seq, r.status) for r in warc.audit_replica(primary, moved).collect()} == {(1, 5, "changed"), (1, 900, "changed")}
     assert warc.manifest(pages.limit(0)).count() == 0
+    assert warc.audit_replica(primary.limit(0), primary.limit(0)).count() == 0
+
+
+def test_planted_damage_with_odd_ids(spark):
+    rows = [(i, f"http://x/{i}", f"<p>é{i}</p>") for i in range(1100)] + [(None, "u", "h"), (None, "u", "h"), (97, "again", "<b>"), (98, "again", None), (0, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("_up", F.lit(1))
+    got = collections.Counter((r.page_id, r.status) for r in warc.audit_replica(*queries.damaged(pages)).collect())
+    want = collections.Counter((i, "changed" if i % 97 == 0 else "missing") for i, _, html in rows if i is not None and i % 97 in (0, 1) and (html is not None or i % 97 == 1))
+    assert got == want
 
 
 def test_blocks_cover_all_texts():
