@@ -21,6 +21,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tasks among which the rows of one key are spread where a key may hold a large share of all rows.
+SALTS = 256
+
+
+def salt(*by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined to right (one row a key) on key, of which left may have very many rows: they are
+    spread by the hash of column by, and right's row goes to each place where there are some. No
+    row is copied that has no partner."""
+    keys = [key] if isinstance(key, str) else key
+    salted = left.withColumn("_salt", salt(by))
+    told = salted.select(*keys, "_salt").distinct().join(right, keys)
+    return salted.join(told, [*keys, "_salt"], how).drop("_salt")
+
+
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """df with the row number (from 1) in a total order, without a task that holds all rows: rows
     are dealt by ranges, numbered in each, and shifted by what the ranges before hold."""
