@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.exchange import chunked, pack, released, unpack, whole_groups, written
 from palimpsest.llm.textblocks import Block, Roller, blocks, mix, seeds, totals
+from palimpsest.operators.tables import spread_join
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 10, 3
@@ -301,15 +302,14 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the least text hash of the component of each text that has a link. Labels move
     along links and then to the label of the label, until none changes; each round is written to
-    the shared folder."""
+    the shared folder. A text with very many links, or a label of very many texts, is no hot key."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "v"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("near"))
+        near = spread_join(both, labels.withColumnRenamed("v", "b"), "b", "a").groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("_v"), F.col("label").alias("_label"))
-        moved = moved.join(jump, moved["label"] == jump["_v"], "left").select("v", "was", F.least("label", "_label").alias("label"))
-        moved = written(moved, "labels")
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("_label"))
+        moved = written(spread_join(moved, jump, "label", "v", "left").select("v", "was", F.least("label", "_label").alias("label")), "labels")
         labels = moved.select("v", "label")
         if moved.filter("was <> label").limit(1).count() == 0:
             return labels
@@ -320,17 +320,17 @@ def families(signed: DataFrame) -> DataFrame:
     the most texts (of equals the least hash). Near copies that were changed least hold most."""
     bands = signed.select("_h", F.posexplode("bands").alias("band", "key")).distinct()
     full = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = bands.join(full, ["band", "key"])
+    held = spread_join(bands, full, ["band", "key"], "_h")
     central = held.groupBy("_h").agg(F.sum("n").alias("near"))
     placed = held.join(central, "_h")
     hubs = placed.groupBy("band", "key").agg(F.min_by("_h", F.struct(-F.col("near"), "_h")).alias("a"))
-    return placed.join(hubs, ["band", "key"]).filter("_h <> a").select("a", F.col("_h").alias("b")).distinct()
+    return spread_join(placed, hubs, ["band", "key"], "_h").filter("_h <> a").select("a", F.col("_h").alias("b")).distinct()
 
 
 def _first_tasks(stars: DataFrame) -> DataFrame:
     """A task for each family, or for each part of a large one, with the hub in each."""
     parts = stars.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("_of"))
-    members = stars.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_of")).cast("int").alias("_part"), F.col("b").alias("_h"))
+    members = spread_join(stars, parts, "a", "b").select("a", F.pmod(F.xxhash64("b"), F.col("_of")).cast("int").alias("_part"), F.col("b").alias("_h"))
     hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_part"), F.col("a").alias("_h"))
     return members.union(hubs).select(F.struct("a", "_part").alias("_task"), "_h", F.lit(False).alias("old"))
 
@@ -340,9 +340,11 @@ def _second_tasks(stars: DataFrame, labels: DataFrame) -> DataFrame:
     against each other and against blocks of its class."""
     large = stars.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("a")
     mark = lambda c, to: labels.select(F.col("v").alias(c), F.col("label").alias(to))
-    known = stars.join(large, "a").join(mark("b", "_lb"), "b", "left").join(mark("a", "_la"), "a", "left").withColumn("old", F.coalesce(F.col("_lb") == F.col("_la"), F.lit(False)))
+    hubs = large.join(mark("a", "_la"), "a", "left")
+    known = spread_join(stars, hubs, "a", "b").join(mark("b", "_lb"), "b", "left").select("a", "b", F.coalesce(F.col("_lb") == F.col("_la"), F.lit(False)).alias("old"))
+    known = written(known, "large-families")
     blocks_of = known.groupBy("a").agg(F.ceil(F.count_if(~F.col("old")) / F.lit(GROUP)).cast("int").alias("_o"), F.ceil(F.count_if("old") / F.lit(GROUP)).cast("int").alias("_c"))
-    placed = known.join(blocks_of, "a").filter("_o > 0")
+    placed = spread_join(known, blocks_of.filter("_o > 0"), "a", "b")
     mine = F.pmod(F.xxhash64("b", F.lit(1)), F.when(F.col("old"), F.col("_c")).otherwise(F.col("_o"))).cast("int")
     pair = lambda i, kind, j: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -354,7 +356,7 @@ def _second_tasks(stars: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame, similar: float) -> DataFrame:
-    """_h, doc_id and _class (a text hash) of each row of rows (_id, _h, _text)."""
+    """_h, ids (of the documents of one chunk that have the text) and _class (a text hash) of all rows (_id, _h, _text)."""
     signed = written(signatures(rows), "signatures")
     stars = written(families(signed), "stars")
     links = written(compared(_first_tasks(stars), rows, signed, similar), "links")
@@ -362,7 +364,7 @@ def _members(rows: DataFrame, similar: float) -> DataFrame:
     second = written(_second_tasks(stars, labels), "tasks")
     if second.limit(1).count():
         labels = components(links.union(written(compared(second, rows, signed, similar), "links")))
-    return signed.select("_h", F.explode("ids").alias("doc_id")).join(labels, F.col("_h") == labels["v"], "left").select("_h", "doc_id", F.coalesce("label", "_h").alias("_class"))
+    return signed.select("_h", "ids").join(labels, F.col("_h") == labels["v"], "left").select("_h", "ids", F.coalesce("label", "_h").alias("_class"))
 
 
 def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -377,8 +379,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     empty, and texts without a word are near only to their equals. Null doc_ids are ordinary rows
     (class_id is null only if all of a class are null). Repeated rows come out repeated."""
     members = _members(_rows(docs, text, doc_id), similar)
-    classes = members.groupBy("_class").agg(F.min("doc_id").alias("class_id"))
-    return members.join(classes, "_class").select("doc_id", "class_id")
+    classes = members.groupBy("_class").agg(F.min(F.array_min("ids")).alias("class_id"))
+    return spread_join(members, classes, "_class", "_h").select(F.explode("ids").alias("doc_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
@@ -388,8 +390,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simila
     spark, columns = docs.sparkSession, docs.columns
     members = written(_members(_rows(docs, text, doc_id), similar), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_h").alias("h"))).alias("first")
-    classes = members.groupBy("_class").agg(F.count("*").alias("n"), first)
-    shared = spark.sparkContext.broadcast(_filter(members.join(classes.filter("n > 1").select("_class"), "_class", "left_semi").select("_h")))
+    classes = members.select("_class", "_h", F.explode("ids").alias("doc_id")).groupBy("_class").agg(F.count("*").alias("n"), first)
+    shared = spark.sparkContext.broadcast(_filter(spread_join(members, classes.filter("n > 1").select("_class"), "_class", "_h").select("_h")))
     hashed = docs.withColumn("_h", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
     def side(inside: bool):

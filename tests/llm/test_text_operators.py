@@ -542,14 +542,14 @@ def test_large_family_in_parts(spark, monkeypatch):
     table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table).collect()}
     want = classes(texts)
-    assert sum(got[i] != want[i] for i in texts) <= 2
+    assert got == want
 
 
 def test_one_of_each_class_stays(spark, odd):
-    kept = minhash.keep_one(odd.drop("_chunk"))
+    kept = minhash.keep_one(odd)
     texts = [r.text or "" for r in kept.collect()]
     assert sorted(set(texts)) == sorted(texts) and len(texts) < odd.count()
-    assert minhash.keep_one(empty(odd.drop("_chunk"))).count() == 0
+    assert minhash.keep_one(empty(odd)).count() == 0
     assert minhash.near_duplicates(odd).count() == odd.count()
 
 
