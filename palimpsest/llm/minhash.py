@@ -36,6 +36,9 @@ CHUNK = 2 << 20
 #: Bits of the filter that keeps texts without candidates out of shuffles (16 MB at any input).
 FILTER_BITS = 1 << 27
 
+#: Rows of one key that are light work for one task.
+SMALL = 100_000
+
 _TABLE = 1 << 16
 
 
@@ -302,14 +305,17 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """(v, label): the least text hash of the component of each text that has a link. Labels move
     along links and then to the label of the label, until none changes; each round is written to
-    the shared folder. A text with very many links, or a label of very many texts, is no hot key."""
+    the shared folder. Where there are more links than SMALL, the rows of a text with very many links
+    or of a label of very many texts are spread; fewer rows are light work for one task."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "v"), "labels")
+    many = both.count() > SMALL
+    met = spread_join if many else lambda left, right, key, by, how="inner": left.join(right, key, how)
     while True:
-        near = spread_join(both, labels.withColumnRenamed("v", "b"), "b", "a").groupBy("a").agg(F.min("label").alias("near"))
+        near = met(both, labels.withColumnRenamed("v", "b"), "b", "a").groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("_label"))
-        moved = written(spread_join(moved, jump, "label", "v", "left").select("v", "was", F.least("label", "_label").alias("label")), "labels")
+        moved = written(met(moved, jump, "label", "v", "left").select("v", "was", F.least("label", "_label").alias("label")), "labels")
         labels = moved.select("v", "label")
         if moved.filter("was <> label").limit(1).count() == 0:
             return labels
