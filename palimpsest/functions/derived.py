@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.tables import spread
+
 # Letters to bases.
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
-READ, LEAST, PER_DOCUMENT = 60, 30, 1 << 16
+READ, LEAST, PER_DOCUMENT = 60, 30, 1 << 20
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, doc_id, seq: every piece of at least 30 bases of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """ord, doc_id, seq: every piece of at least 30 bases of every document. A text is cut once, and
+    a table of fewer splits than cores is dealt over the cores before."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
     bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS_BASES)
-    cut = docs.select("doc_id", bases.alias("bases")).filter(F.length("bases") >= LEAST)
-    piece = cut.select("doc_id", "bases", F.explode(F.sequence(F.lit(0), F.floor((F.length("bases") - 1) / READ).cast("int"))).alias("k"))
-    out = piece.select((F.col("doc_id") * PER_DOCUMENT + F.col("k")).alias("ord"), "doc_id", F.col("bases").substr(F.col("k") * READ + 1, F.lit(READ)).alias("seq"))
-    return out.filter(F.length("seq") >= LEAST)
+    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all(bases, F.lit(f".{{1,{READ}}}"), 0)).alias("k", "seq"))
+    return pieces.select((F.col("doc_id") * PER_DOCUMENT + F.col("k")).alias("ord"), "doc_id", "seq").filter(F.length("seq") >= LEAST)
 
 
 READS_SQL = f"""
@@ -41,23 +42,31 @@ QUALITY_SQL = "array_to_string([chr((33 + (ascii(substr(seq, i, 1)) * 7 + i * 3
 
 
 def mutated(reads: DataFrame) -> DataFrame:
-    """reads (rid, seq) with copies, single transversions, terminal damage and reverse complements."""
+    """reads (rid, seq, qual) with copies, single transversions and transitions of low quality,
+    terminal damage and reverse complements."""
     full = reads.filter(F.length("seq") == READ)
     pick = F.col("ord") % 4
-    at = 30 + F.col("ord") % 5
-    other = F.translate(F.col("seq").substr(at.cast("int"), F.lit(1)), "ACGT", "TGCA")
+    at = (30 + F.col("ord") % 5).cast("int")
+    other = F.translate(F.col("seq").substr(at, F.lit(1)), "ACGT", "TGCA")
     row = lambda k, s: F.struct(F.lit(k).alias("k"), s.alias("seq"))
     seq = F.col("seq")
-    copies = F.when(pick == 0, F.array(row(1, seq), row(2, seq), row(3, seq), row(7, F.concat(seq.substr(F.lit(1), (at - 1).cast("int")), other, seq.substr((at + 1).cast("int"), F.lit(READ))))))
+    copies = F.when(pick == 0, F.array(row(1, seq), row(2, seq), row(3, seq), row(7, F.overlay(seq, other, at, F.lit(1)))))
+    turn = F.translate(F.col("seq").substr(at, F.lit(1)), "ACGT", "GTAC")
+    copies = copies.when(pick == 3, F.array(row(1, seq), row(2, seq), row(3, seq), row(6, F.overlay(seq, turn, at, F.lit(1)))))
     copies = copies.when(pick == 1, F.array(row(8, F.regexp_replace(seq, "^C", "T")))).otherwise(F.array(row(9, F.translate(F.reverse(seq), "ACGT", "TGCA"))))
-    every = F.concat(F.array(row(0, seq)), F.when(pick == 3, F.array().cast("array<struct<k:int,seq:string>>")).otherwise(copies))
-    return full.select("ord", F.explode(every).alias("r")).select((F.col("ord") * 10 + F.col("r.k")).alias("rid"), "r.seq")
+    every = F.concat(F.array(row(0, seq)), copies)
+    rows = full.select("ord", at.alias("at"), F.explode(every).alias("r")).select((F.col("ord") * 10 + F.col("r.k")).alias("rid"), "r.seq", "r.k", "at")
+    qual = quality("seq", "rid")
+    return rows.select("rid", "seq", F.when(F.col("k").isin(6, 7), F.overlay(qual, F.lit("0"), F.col("at"), F.lit(1))).otherwise(qual).alias("qual"))
 
 
 MUTATED_SQL = f"""{READS_SQL},
 whole AS (SELECT ord, seq, 30 + ord % 5 AS place FROM reads WHERE length(seq) = {READ}),
-mutated AS (SELECT ord * 10 AS rid, seq FROM whole
-  UNION ALL SELECT ord * 10 + k, seq FROM whole, (VALUES (1), (2), (3)) t(k) WHERE ord % 4 = 0
-  UNION ALL SELECT ord * 10 + 7, substr(seq, 1, (place - 1)::INT) || translate(substr(seq, place::INT, 1), 'ACGT', 'TGCA') || substr(seq, (place + 1)::INT) FROM whole WHERE ord % 4 = 0
-  UNION ALL SELECT ord * 10 + 8, regexp_replace(seq, '^C', 'T') FROM whole WHERE ord % 4 = 1
-  UNION ALL SELECT ord * 10 + 9, {rc_sql('seq')} FROM whole WHERE ord % 4 = 2)"""
+copied AS (SELECT ord * 10 AS ord, seq, 0 AS k, place FROM whole
+  UNION ALL SELECT ord * 10 + k, seq, k, place FROM whole, (VALUES (1), (2), (3)) t(k) WHERE ord % 4 IN (0, 3)
+  UNION ALL SELECT ord * 10 + 6, substr(seq, 1, (place - 1)::INT) || translate(substr(seq, place::INT, 1), 'ACGT', 'GTAC') || substr(seq, (place + 1)::INT), 6, place FROM whole WHERE ord % 4 = 3
+  UNION ALL SELECT ord * 10 + 7, substr(seq, 1, (place - 1)::INT) || translate(substr(seq, place::INT, 1), 'ACGT', 'TGCA') || substr(seq, (place + 1)::INT), 7, place FROM whole WHERE ord % 4 = 0
+  UNION ALL SELECT ord * 10 + 8, regexp_replace(seq, '^C', 'T'), 8, place FROM whole WHERE ord % 4 = 1
+  UNION ALL SELECT ord * 10 + 9, {rc_sql('seq')}, 9, place FROM whole WHERE ord % 4 = 2),
+quals AS (SELECT *, {QUALITY_SQL} AS q FROM copied),
+mutated AS (SELECT ord AS rid, seq, CASE WHEN k IN (6, 7) THEN substr(q, 1, (place - 1)::INT) || '0' || substr(q, (place + 1)::INT) ELSE q END AS qual FROM quals)"""

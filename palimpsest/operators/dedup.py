@@ -14,19 +14,21 @@ def length_gate(reads: DataFrame, least: int = 16, most: int = 0) -> DataFrame:
     return reads.filter((n >= least) & (n <= most)) if most else reads.filter(n >= least)
 
 
-def deduplicate(reads: DataFrame, both_strands: bool = True, five: int = 0, three: int = 0, single: bool = False) -> DataFrame:
-    """A row for each molecule: canon, n, fwd_n, rep_ord, dmg_score, seq.
+def deduplicate(reads: DataFrame, both_strands: bool = True, five: int = 0, three: int = 0, single: bool = False, quality: str | None = None) -> DataFrame:
+    """A row for each molecule: canon, n, fwd_n, rep_ord, dmg_score, first_ord, seq, and qual if a
+    column of qualities is named.
 
     Reads (ord, seq) are one molecule if their canonical forms are equal once the bases of the
     masked ends are. seq is the first read's, in its canonical orientation; rep_ord is the first of
-    the reads with the greatest damage score. The count combines before the shuffle."""
+    the reads with the greatest damage score; qual goes with seq. The count combines before the
+    shuffle."""
     key = S.masked_canonical("seq", five, three, single) if five or three else S.canonical("seq", both_strands)
     forward = S.is_forward("seq") if both_strands else F.lit(True)
     score = S.damage_score("seq", list(range(max(five, three))))
-    rows = reads.select("ord", key.alias("canon"), forward.alias("fwd"), score.alias("score"), S.canonical("seq", both_strands).alias("oriented"))
+    rows = reads.select("ord", key.alias("canon"), forward.alias("fwd"), score.alias("score"), S.canonical("seq", both_strands).alias("oriented"), *([F.when(forward, F.col(quality)).otherwise(F.reverse(quality)).alias("_q")] if quality else []))
     return rows.groupBy("canon").agg(
         F.count("*").alias("n"), F.sum(F.col("fwd").cast("long")).alias("fwd_n"), F.min_by("ord", F.struct((-F.col("score")).alias("s"), "ord")).alias("rep_ord"),
-        F.max("score").alias("dmg_score"), F.min("ord").alias("first_ord"), F.min_by("oriented", "ord").alias("seq"),
+        F.max("score").alias("dmg_score"), F.min("ord").alias("first_ord"), F.min_by("oriented", "ord").alias("seq"), *([F.min_by("_q", "ord").alias("qual")] if quality else []),
     )
 
 

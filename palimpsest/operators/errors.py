@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.operators.tables import written
+from palimpsest.operators.damage import Profile
+from palimpsest.operators.tables import spread_join, written
 
 
 @dataclass(frozen=True)
@@ -19,15 +20,35 @@ class Rules:
     least_interior: int = 20
     snp_share: float = 0.20
     snp_least: int = 1
+    low_cover: int = 10
+    low_cover_factor: float = 1.75
     h2_most_count: int = 2
     bucket_cap: int = 0
+    cap_only_repetitive: bool = False
+    repetitive: float = 0.5
+    hot_parts: int = 1024
     margin: int = 5
-    single_stranded: bool = False
     log_prior: float = 3.0
-    singleton_quality: int = 25
+    sure_quality: int = 25
     protect_transversions: bool = False
     five: int = 0
     three: int = 0
+    profile: Profile = Profile()
+    # Transitions inside reads, tested by counts alone.
+    lrt_f0: float = 0.10
+    lrt_f1: float = 0.50
+    lrt_odds: float = 10.0
+    hard_ratio: float = 30.0
+    kappa_least: float = 2.0
+    wilson_least: float = 0.10
+    strand_least: int = 3
+    # Many deaminated places at once.
+    deam_least: float = 0.01
+    deam_places: int = 3
+    deam_mass: float = 0.1
+    deam_most: int = 5
+    deam_ratio: float = 5.0
+    deam_veto: bool = True
 
 
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -41,44 +62,103 @@ def part_keys(clusters: DataFrame, interior: Column) -> DataFrame:
     """Six rows for each row: a tag and the two of four parts of its interior that it names. Two
     interiors within two substitutions of each other agree in one of the six."""
     parts = S.quarters(interior)
-    keys = F.array(*[F.struct(F.lit(10 * i + j).alias("tag"), parts[i].alias("p"), parts[j].alias("q")) for i, j in PAIRS])
-    return clusters.withColumn("_key", F.explode(keys)).select("*", F.length(interior).alias("size"), "_key.tag", "_key.p", "_key.q").drop("_key")
+    keys = F.array(*[F.struct(F.lit(10 * i + j).alias("tag"), parts[i].alias("p"), parts[j].alias("q"), *(parts[k].alias(c) for k, c in zip([k for k in range(4) if k not in (i, j)], "rs", strict=True))) for i, j in PAIRS])
+    return clusters.withColumn("_key", F.explode(keys)).select("*", F.length(interior).alias("size"), "_key.*").drop("_key")
+
+
+KEY = ["size", "tag", "p", "q"]
+
+
+def finer(keyed: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """keyed with fine: '' but for hot keys, whose rows get six finer keys each. Interiors that agree
+    in two parts and differ in two places agree in a third part, or in a half of each other part."""
+    half = lambda c: F.floor(F.length(c) / 2).cast("int")
+    halves = {c: (F.left(F.col(c), half(c)), F.substring(F.col(c), half(c) + 1, F.length(c))) for c in "rs"}
+    name = lambda k, *x: F.concat(F.lit(k), *x)
+    fine = F.array(name("r", F.col("r")), name("s", F.col("s")), *(name(f"{i}{j}", halves["r"][i], F.lit("-"), halves["s"][j]) for i in (0, 1) for j in (0, 1)))
+    marked = spread_join(keyed, hot.withColumn("_hot", F.lit(True)), KEY, by, "left")
+    return marked.withColumn("fine", F.explode(F.when(F.col("_hot"), fine).otherwise(F.array(F.lit(""))))).drop("_hot")
 
 
 def interior(seq: Column, rules: Rules) -> Column:
     return S.part(seq, rules.five + 1, F.length(seq) - rules.five - rules.three)
 
 
-def candidate_edges(clusters: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Edges (parent, child, n_parent, n_child, oriented, h, mm) between clusters (canon, n) of one
-    length: one or two substitutions in the interior, the parent of higher count (equal: lesser
-    canon). oriented is the child's sequence as it aligns, forward before reverse complement.
-    One substitution counts if it is A-T or C-G; two if the child is rare and neither looks like
-    terminal damage. Candidates come from equi-joins on part keys; never from a cross join."""
-    fit = clusters.filter(~F.col("canon").rlike("[^ACGT]") & (F.length("canon") - rules.five - rules.three >= rules.least_interior)).select("canon", "n")
+def eligible(clusters: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Clusters of ACGT only whose interior is long enough."""
+    return clusters.filter(~F.col("canon").rlike("[^ACGT]") & (F.length("canon") - rules.five - rules.three >= rules.least_interior))
+
+
+def buckets(clusters: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(size, tag, p, q, n, repetitive) of the keys that several clusters share; repetitive if fewer
+    than half of the 4-mers of the least interior are distinct."""
+    fit = eligible(clusters, rules).select("canon")
+    inner = interior(F.col("canon"), rules)
+    grouped = part_keys(fit, inner).groupBy(*KEY).agg(F.count("*").alias("n"), F.min(inner).alias("_i")).filter("n > 1")
+    return grouped.withColumn("repetitive", S.distinct_kmers("_i", 4) / (F.length("_i") - 3) < rules.repetitive).drop("_i")
+
+
+def over_cap(clusters: DataFrame, rules: Rules) -> DataFrame:
+    """The buckets that the cap leaves out, with n, the rows lost by it: a report of what is dropped."""
+    over = buckets(clusters, rules).filter(F.col("n") > rules.bucket_cap)
+    return over.filter("repetitive") if rules.cap_only_repetitive else over
+
+
+def close_pairs(clusters: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """All pairs (parent, child, n_parent, n_child, oriented, turned, mm, h) of clusters (canon, n) of
+    one length with one or two substitutions in the interior, the parent of higher count (equal:
+    lesser canon), as a table. oriented is the child's sequence as it aligns. Candidates come from
+    equi-joins on part keys; keys that very many clusters share are split by finer ones."""
+    fit = eligible(clusters, rules).select("canon", "n")
     parents = part_keys(fit.select(F.col("canon").alias("parent"), F.col("n").alias("n_parent")), interior(F.col("parent"), rules))
     probes = fit.select(F.col("canon").alias("child"), F.col("n").alias("n_child"), F.explode(F.array(F.struct(F.lit(0).alias("turned"), F.col("canon").alias("s")), F.struct(F.lit(1).alias("turned"), S.revcomp("canon").alias("s")))).alias("o"))
     probes = part_keys(probes.select("child", "n_child", "o.turned", F.col("o.s").alias("oriented")), interior(F.col("oriented"), rules))
     if rules.bucket_cap:
-        size = F.count("*").over(Window.partitionBy("size", "tag", "p", "q"))
-        parents = parents.withColumn("_n", size).filter(F.col("_n") <= rules.bucket_cap).drop("_n")
-    met = probes.join(parents, ["size", "tag", "p", "q"]).filter(ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")))
+        parents = parents.join(over_cap(clusters, rules), KEY, "left_anti")
+    on = KEY
+    hot = written(parents.groupBy(*KEY).agg(F.count("*").alias("_n")).filter(F.col("_n") > rules.hot_parts).select(*KEY), "hot-keys")
+    if hot.limit(1).count():
+        parents, probes, on = finer(parents, hot, "parent"), finer(probes, hot, "child"), [*KEY, "fine"]
+    met = probes.drop("r", "s").join(parents.drop("r", "s"), on).filter(ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")))
     inner = lambda c: interior(F.col(c), rules)
     # Two substitutions are two edits at most: a bounded edit distance, which is compiled, settles
     # most candidates before the mismatches of the rest are listed.
-    close = met.filter((F.col("parent") != F.col("oriented")) & (F.levenshtein(inner("parent"), inner("oriented"), 2) >= 0))
-    pairs = close.select("parent", "child", "n_parent", "n_child", "oriented", "turned").distinct()
+    near = met.filter((F.col("parent") != F.col("oriented")) & (F.levenshtein(inner("parent"), inner("oriented"), 2) >= 0))
+    pairs = near.select("parent", "child", "n_parent", "n_child", "oriented", "turned").distinct()
     # Kept as a table: conditions on mm would otherwise be pushed below it and list it again each.
     held = written(pairs.withColumn("mm", S.mismatches(inner("parent"), inner("oriented"))), "candidates").withColumn("h", F.size("mm"))
-    size = F.length("parent")
     shift = F.transform("mm", lambda m: F.struct((m["pos"] + rules.five).alias("pos"), m["a"].alias("a"), m["b"].alias("b")))
-    held = held.filter(F.col("h").between(1, 2)).withColumn("mm", shift)
-    damaged = F.exists("mm", lambda m: S.terminal_damage(m["a"], m["b"], m["pos"], size, rules.margin, rules.single_stranded))
+    return held.filter(F.col("h").between(1, 2)).withColumn("mm", shift)
+
+
+def _damaged(m: Column, size: Column, rules: Rules) -> Column:
+    return S.terminal_damage(m["a"], m["b"], m["pos"] - rules.five, size - rules.five - rules.three, rules.margin, rules.profile.single)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    first = F.row_number().over(Window.partitionBy("parent", "child").orderBy("h", "turned"))
+    return pairs.withColumn("_r", first).filter("_r = 1").drop("_r")
+
+
+def candidate_edges(clusters: DataFrame, rules: Rules = Rules(), pairs: DataFrame | None = None) -> DataFrame:
+    """Of the close pairs those that may be errors, one orientation each: one substitution counts if
+    it is A-T or C-G; two if the child is rare and neither looks like terminal damage. If clusters
+    has qualities (qual), each mismatch of mm has the child's (q), or else 0."""
+    pairs = close_pairs(clusters, rules) if pairs is None else pairs
+    size = F.length("parent")
+    damaged = F.exists("mm", lambda m: _damaged(m, size, rules))
     one = (F.col("h") == 1) & S.complement_pair(F.get("mm", F.lit(0))["a"], F.get("mm", F.lit(0))["b"])
     two = (F.col("h") == 2) & (F.col("n_child") <= rules.h2_most_count) & ~damaged
-    good = held.filter(one | two)
-    first = F.row_number().over(Window.partitionBy("parent", "child").orderBy("h", "turned"))
-    return good.withColumn("_r", first).filter("_r = 1").drop("_r")
+    return with_quality(_best(pairs.filter(one | two)), clusters)
+
+
+def with_quality(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    field = lambda m, q: F.struct(m["pos"].alias("pos"), m["a"].alias("a"), m["b"].alias("b"), q.cast("int").alias("q"))
+    if "qual" not in clusters.columns:
+        return edges.withColumn("mm", F.transform("mm", lambda m: field(m, F.lit(0))))
+    own = clusters.select(F.col("canon").alias("child"), F.col("qual").alias("_q"))
+    line = F.when(F.col("turned") == 1, F.reverse("_q")).otherwise(F.col("_q"))
+    return edges.join(own, "child").withColumn("mm", F.transform("mm", lambda m: field(m, F.ascii(line.substr(m["pos"] + 1, F.lit(1))) - 33))).drop("_q")
 
 
 def signatures(edges: DataFrame) -> DataFrame:
@@ -94,102 +174,275 @@ def recurrence(edges: DataFrame, end: int = 12) -> DataFrame:
     return each.groupBy(F.col("m.pos").alias("pos"), F.col("m.b").alias("alt")).agg(F.count_distinct("bundle").alias("bundles"))
 
 
-def kappa(edges: DataFrame) -> DataFrame:
-    """Transitions over transversions among single substitutions; null without transversions."""
-    one = edges.filter("h = 1").select(F.concat(F.get("mm", F.lit(0))["a"], F.get("mm", F.lit(0))["b"]).alias("ab"))
-    ts = F.count_if(F.col("ab").isin("AG", "GA", "CT", "TC"))
-    tv = F.count_if(~F.col("ab").isin("AG", "GA", "CT", "TC"))
-    return one.agg(ts.alias("transitions"), tv.alias("transversions"), F.when(tv > 0, ts / tv).alias("kappa"))
+def interior_singles(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Close pairs of one substitution that is no terminal damage, one orientation each."""
+    size, m = F.length("parent"), F.get("mm", F.lit(0))
+    return _best(pairs.filter("h = 1")).filter(~_damaged(m, size, rules))
+
+
+def kappa(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row: transitions, transversions and their ratio among single substitutions inside reads;
+    infinite without transversions, 0 without either."""
+    m = F.get("mm", F.lit(0))
+    ab = F.concat(m["a"], m["b"])
+    ts = F.count_if(ab.isin("AG", "GA", "CT", "TC"))
+    tv = F.count_if(~ab.isin("AG", "GA", "CT", "TC"))
+    ratio = F.when(tv > 0, ts / tv).when(ts > 0, F.lit(math.inf)).otherwise(0.0)
+    return interior_singles(pairs, rules).agg(ts.alias("transitions"), tv.alias("transversions"), ratio.alias("kappa"))
+
 
+def seats(clusters: DataFrame, end: int = 12, rules: Rules = Rules()) -> DataFrame:
+    """(bundle, occupancy): the number of eligible clusters of each bundle."""
+    return eligible(clusters, rules).groupBy(S.bundle("canon", end).alias("bundle")).agg(F.count("*").alias("occupancy"))
 
-def occupancy(clusters: DataFrame, end: int = 12) -> DataFrame:
-    """clusters with the number of clusters of their bundle."""
-    return clusters.withColumn("bundle", S.bundle("canon", end)).withColumn("occupancy", F.count("*").over(Window.partitionBy("bundle")))
 
+def occupancy(clusters: DataFrame, end: int = 12, rules: Rules = Rules()) -> DataFrame:
+    """clusters with bundle and the number of eligible clusters in it (1 if there is none). A bundle
+    of very many clusters is spread."""
+    keyed = clusters.withColumn("bundle", S.bundle("canon", end))
+    return spread_join(keyed, seats(clusters, end, rules), "bundle", "canon", "left").withColumn("occupancy", F.coalesce("occupancy", F.lit(1).cast("long")))
 
-def model_bins(edges: DataFrame, end: int = 12) -> DataFrame:
-    """How often real variants of a kind recur: by (class, distance bin, occupancy bin) the number
-    of bundles with one, and p_real = (n + 1) / (N + 1 + max(9999, 100 N)), at least 1e-6."""
+
+def _binned(edges: DataFrame, clusters: DataFrame, end: int, rules: Rules) -> DataFrame:
+    """A row for each mismatch of each edge, with what its bin depends on."""
     size = F.length("parent")
-    each = edges.withColumn("bundle", S.bundle("parent", end)).select("bundle", size.alias("size"), F.explode("mm").alias("m"))
-    seats = edges.select(F.col("parent").alias("canon")).distinct().withColumn("bundle", S.bundle("canon", end)).groupBy("bundle").agg(F.count("*").alias("occupancy"))
-    binned = each.join(seats, "bundle").select("bundle", S.substitution_class(F.col("m.a"), F.col("m.b")).alias("class"), S.distance_bin(F.col("m.pos"), F.col("size")).alias("dist"), S.occupancy_bin(F.col("occupancy")).alias("occ"))
-    cells = binned.groupBy("class", "dist", "occ").agg(F.count_distinct("bundle").alias("n"))
+    each = edges.withColumn("bundle", S.bundle("parent", end)).select("parent", "child", "bundle", size.alias("size"), F.explode("mm").alias("m"))
+    m = F.col("m")
+    return each.select("parent", "child", "bundle", "m", "size", S.substitution_class(m["a"], m["b"]).alias("class"), S.distance_bin(m["pos"], F.col("size")).alias("dist"), F.when(_damaged(m, F.col("size"), rules), 1).otherwise(0).alias("dmg"))
+
+
+def model_bins(edges: DataFrame, clusters: DataFrame, end: int = 12, rules: Rules = Rules()) -> DataFrame:
+    """How often real variants of a kind recur: by (class, distance bin, occupancy bin, damage bin) the
+    number of bundles with one, and p_real = (n + 1) / (N + 1 + max(9999, 100 N)), at least 1e-6."""
+    binned = spread_join(_binned(edges, clusters, end, rules), seats(clusters, end, rules), "bundle", "child").withColumn("occ", S.occupancy_bin(F.col("occupancy")))
+    cells = binned.groupBy("class", "dist", "occ", "dmg").agg(F.count_distinct("bundle").alias("n"))
     total = binned.agg(F.count_distinct("bundle").alias("total"))
-    joined = cells.crossJoin(F.broadcast(total))  # one row
-    return joined.withColumn("p_real", F.greatest(F.lit(1e-6), (F.col("n") + 1) / (F.col("total") + 1 + F.greatest(F.lit(9999), 100 * F.col("total")))))
+    return cells.crossJoin(F.broadcast(total)).withColumn("p_real", _p_real(F.col("n"), F.col("total")))  # one row
 
 
-def edge_scores(edges: DataFrame, bins: DataFrame, quality: Column | None = None, rules: Rules = Rules(), end: int = 12) -> DataFrame:
-    """Edges with score: the log odds that the child is an error of the parent. quality gives the
-    Phred score of mismatch m (a struct) of an edge; 20 where none is known."""
-    q = quality if quality is not None else F.lit(20)
-    seats = edges.select(F.col("parent").alias("canon")).distinct().withColumn("bundle", S.bundle("canon", end)).groupBy("bundle").agg(F.count("*").alias("occupancy"))
-    each = edges.withColumn("bundle", S.bundle("parent", end)).join(seats, "bundle").select("parent", "child", F.length("parent").alias("size"), "occupancy", F.explode("mm").alias("m"))
-    each = each.select("parent", "child", S.substitution_class(F.col("m.a"), F.col("m.b")).alias("class"), S.distance_bin(F.col("m.pos"), F.col("size")).alias("dist"), S.occupancy_bin(F.col("occupancy")).alias("occ"), S.log_error_third(q).alias("log_err"))
-    scored = each.join(F.broadcast(bins.select("class", "dist", "occ", "p_real")), ["class", "dist", "occ"])  # at most 288 bins
-    totals = scored.groupBy("parent", "child").agg((F.lit(rules.log_prior) + F.sum(F.col("log_err") - F.log("p_real"))).alias("score"))
-    return edges.join(totals, ["parent", "child"])
+def _p_real(n: Column, total: Column) -> Column:
+    return F.greatest(F.lit(1e-6), (n + 1) / (total + 1 + F.greatest(F.lit(9999), 100 * total)))
 
 
-def vetoed(edges: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Edges (with signature reads and min child quality joined) that may absorb: no signature of a
-    SNP, no confident single read, and no transversion pair if those are protected."""
-    support = signatures(edges)
-    each = edges.select("parent", "child", "n_parent", F.explode("mm").alias("m")).select("parent", "child", "n_parent", F.col("m.pos").alias("pos"), F.col("m.b").alias("alt"))
-    snp = each.join(support, ["parent", "pos", "alt"]).filter((F.col("reads") >= max(rules.snp_least, 2)) & (F.col("reads") >= rules.snp_share * F.col("n_parent")))
-    kept = edges.join(snp.select("parent", "child").distinct(), ["parent", "child"], "left_anti")
-    if "quality" in edges.columns:
-        kept = kept.filter(~((F.col("n_child") == 1) & (F.col("quality") >= rules.singleton_quality)))
-    if rules.protect_transversions:
-        kept = kept.filter(~((F.col("h") == 2) & F.exists("mm", lambda m: ~S.damage_pair(m["a"], m["b"]))))
-    return kept
+OCCUPANCIES = len(S.OCCUPANCY_ENDS) + 1
+
+
+def edge_terms(edges: DataFrame, clusters: DataFrame, bins: DataFrame, end: int = 12, rules: Rules = Rules()) -> DataFrame:
+    """Edges with terms: for each occupancy bin that the absorbing cluster's bundle may have, the log
+    odds that the child is an error of it, by the qualities and the recurrence of its mismatches."""
+    total = bins.agg(F.coalesce(F.max("total"), F.lit(0)).alias("total"))
+    grid = bins.groupBy("class", "dist", "dmg").agg(*(F.max(F.when(F.col("occ") == o, F.col("p_real"))).alias(f"p{o}") for o in range(OCCUPANCIES)))
+    each = _binned(edges, clusters, end, rules).join(F.broadcast(grid), ["class", "dist", "dmg"], "left").crossJoin(F.broadcast(total))  # at most 48 rows; one row
+    lift = lambda p: p
+    if rules.profile.enabled:
+        d = rules.profile
+        chance = S.damage_probability(F.col("m.pos"), F.col("size"), d.d5, d.l5, d.d3, d.l3)
+        lift = lambda p: F.when(F.col("dmg") == 1, p + chance * (1 - p)).otherwise(p)
+    log_err = S.log_error_third(F.greatest(F.lit(1), F.least(F.lit(60), F.col("m.q"))))
+    term = lambda o: F.sum(log_err - F.log(lift(F.coalesce(f"p{o}", _p_real(F.lit(0), F.col("total"))))))
+    sums = each.groupBy("parent", "child").agg(F.array(*(F.lit(rules.log_prior) + term(o) for o in range(OCCUPANCIES))).alias("terms"))
+    return edges.join(sums, ["parent", "child"])
 
 
-def components(edges: DataFrame, a: str = "parent", b: str = "child") -> DataFrame:
-    """(v, label): the least member of each vertex's connected component, by label propagation
-    with pointer jumping; each round is written to the shared folder."""
-    both = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels["v"] == near["a"]).select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
-        moved = written(moved.join(jump, moved["label"] == jump["_v"], "left").select("v", "was", F.least("label", "_l").alias("label")), "labels")
-        labels = moved.select("v", "label")
-        if moved.filter("was <> label").limit(1).count() == 0:
-            return labels
+def dispersion(edges: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(parent, adjust): what the spread of a parent's signatures adds to the scores of its edges:
+    many places with few reads each look like errors, one place with a tenth or more does not."""
+    each = signatures(edges).groupBy("parent").agg(F.sum("reads").alias("w"), F.max("reads").alias("m"), F.count("*").alias("k"))
+    n = edges.groupBy("parent").agg(F.first("n_parent").alias("n"))
+    share = F.col("m") / F.col("w")
+    value = F.when((F.col("n") < 4) | (share >= rules.snp_share), 0.0).when(share > 0.10, -1.5 * (share - 0.10) / (rules.snp_share - 0.10)).when(F.col("k") >= 3, 0.3).otherwise(0.0)
+    return each.join(n, "parent").select("parent", value.alias("adjust"))
 
 
-def replay(edges: pd.DataFrame, root: dict[str, str] | None = None) -> dict[str, str]:
-    """Child to the root that absorbs it. Parents are visited by falling count, then name; an
-    absorbed parent's children go to its root; the first edge that reaches a child wins."""
-    root = {} if root is None else root
-    order = edges.sort_values(["n_parent", "parent", "pos", "alt", "child"], ascending=[False, True, True, True, True])
-    for parent, child in order[["parent", "child"]].itertuples(index=False):
-        if child not in root:
-            root[child] = root.get(parent, parent)
-    return root
+def edge_scores(edges: DataFrame, clusters: DataFrame, rules: Rules = Rules(), end: int = 12) -> DataFrame:
+    """Edges with terms, adjust, occ (of the parent) and score: terms for the parent itself, plus
+    mismatches times log((n_parent + 1) / (n_child + 1)), plus adjust. Errors are rarer than what
+    they are errors of; the score is above 0 where the odds favour an error."""
+    scored = edge_terms(edges, clusters, model_bins(edges, clusters, end, rules), end, rules)
+    scored = spread_join(scored, dispersion(edges, rules), "parent", "child")
+    scored = spread_join(scored.withColumn("bundle", S.bundle("parent", end)), seats(clusters, end, rules), "bundle", "child").withColumn("occ", S.occupancy_bin(F.col("occupancy"))).drop("bundle", "occupancy")
+    return scored.withColumn("score", total_score(F.col("n_parent"), F.col("occ")))
 
 
-def ascend(edges: DataFrame) -> DataFrame:
-    """(child, root) of each absorbed cluster. An edge only climbs to a cluster of higher rank, so
-    fates never cross connected components; each is replayed by itself."""
-    flat = edges.select("parent", "child", "n_parent", F.get("mm", F.lit(0))["pos"].alias("pos"), F.get("mm", F.lit(0))["b"].alias("alt"))
-    labels = components(flat)
-    placed = flat.join(labels, flat["parent"] == labels["v"]).select(*flat.columns, "label")
+def total_score(n_root: Column, occ: Column) -> Column:
+    return F.get("terms", occ) + F.size("mm") * F.log((n_root + 1) / (F.col("n_child") + 1)) + F.col("adjust")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = replay(rows)
-        return pd.DataFrame({"child": list(found), "root": list(found.values())}, dtype=object)
 
-    return placed.groupBy("label").applyInPandas(run, "child string, root string")
+def with_support(edges: DataFrame) -> DataFrame:
+    """Edges with support: for each mismatch the reads of all children of the parent that have it."""
+    each = edges.select("parent", "child", F.posexplode("mm").alias("i", "m")).select("parent", "child", "i", F.col("m.pos").alias("pos"), F.col("m.b").alias("alt"))
+    met = spread_join(each, signatures(edges), ["parent", "pos", "alt"], "child")
+    lists = met.groupBy("parent", "child").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "reads"))), lambda x: x["reads"]).alias("support"))  # two at most
+    return edges.join(lists, ["parent", "child"])
 
 
-def roll_up(clusters: DataFrame, absorbed: DataFrame) -> DataFrame:
-    """Surviving clusters with the reads of those that they absorbed."""
-    to = clusters.join(absorbed, clusters["canon"] == absorbed["child"], "left").select(F.coalesce("root", "canon").alias("canon"), "n")
-    return to.groupBy("canon").agg(F.sum("n").alias("n"), F.count("*").alias("members"))
+def vetoed(edges: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Edges that may absorb: no mismatch that two reads or more (or snp_least) support, none of a
+    quality that is sure, and no transversion pair if those are protected. Terminal damage (one
+    substitution, where the profile has damage) is exempt from the first two."""
+    size, m = F.length("parent"), F.get("mm", F.lit(0))
+    exempt = (F.col("h") == 1) & _damaged(m, size, rules) & F.lit(rules.profile.enabled)
+    seen = F.exists("support", lambda x: x >= max(rules.snp_least, 2))
+    sure = F.exists("mm", lambda x: x["q"] >= rules.sure_quality)
+    kept = with_support(edges).filter(exempt | ~(seen | sure)).drop("support")
+    if rules.protect_transversions:
+        kept = kept.filter(~F.exists("mm", lambda x: ~S.damage_pair(x["a"], x["b"])))
+    return kept
+
+
+def legacy_kept(edges: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Edges that may absorb by the older rule: no mismatch that a share of the parent's reads supports,
+    a larger share where the parent has few."""
+    share = rules.snp_share * F.when(F.col("n_parent") < rules.low_cover, rules.low_cover_factor).otherwise(1.0)
+    least = F.when(F.col("n_parent") > F.col("n_child"), 1).otherwise(rules.snp_least)
+    return with_support(edges).filter(~F.exists("support", lambda x: (x >= least) & (x >= share * F.col("n_parent")))).drop("support")
+
+
+def transition_edges(pairs: DataFrame, clusters: DataFrame, rules: Rules = Rules(), end: int = 12) -> DataFrame:
+    """Close pairs whose one substitution is a transition inside the read, with lrt (the log odds of an
+    error against a variant by the counts alone) and absorb. Against it speak: support by a share
+    of reads (Wilson's lower bound), two bundles with the same change, a child seen from both
+    strands, and a sure quality. Only of use where kappa is kappa_least or more."""
+    m = F.get("mm", F.lit(0))
+    found = with_quality(interior_singles(pairs, rules).filter(F.concat(m["a"], m["b"]).isin("AG", "GA", "CT", "TC")), clusters)
+    bundles = recurrence(found, end)
+    strands = clusters.select(F.col("canon").alias("child"), F.col("fwd_n").alias("_f"))
+    rows = with_support(found).join(strands, "child").withColumn("pos", m["pos"]).withColumn("alt", m["b"]).join(F.broadcast(bundles), ["pos", "alt"])  # places times bases at most
+    x, n, p = F.col("n_child"), F.col("n_parent") + F.col("n_child"), F.col("n_parent")
+    lrt = x * math.log(rules.lrt_f0 / rules.lrt_f1) + (n - x) * math.log((1 - rules.lrt_f0) / (1 - rules.lrt_f1))
+    reads = F.get("support", F.lit(0))
+    wilson = (reads >= 2) & (S.wilson_lower(F.least(reads, p), p.cast("double")) >= rules.wilson_least)
+    both = (F.col("_f") > 0) & (F.col("_f") < x) & (x >= rules.strand_least)
+    hard = p > rules.hard_ratio * x
+    good = ((lrt > math.log(rules.lrt_odds)) | hard) & ~wilson & (F.col("bundles") < 2) & ~both & (m["q"] < rules.sure_quality)
+    return rows.select("parent", "child", "n_parent", "n_child", "pos", "alt", lrt.alias("lrt"), good.alias("absorb"))
+
+
+def ascend(edges: DataFrame, clusters: DataFrame, rules: Rules = Rules(), end: int = 12) -> DataFrame:
+    """(child, root, parent, score) of each absorbed cluster. edges have terms and adjust (edge_scores)
+    and passed the vetoes.
+
+    Edges are tried by falling parent count, then parent, place, base and child; a child goes with
+    the first whose score is above 0, to the cluster that holds the parent by then, whose count and
+    bundle the score is taken with. A cluster's fate is settled once those of all its parents are:
+    each round joins the open edges with the fates known, and is a table."""
+    known = occupancy(clusters, end, rules).select("canon", S.occupancy_bin(F.col("occupancy")).alias("occ"), "n")
+    own = known.select(F.col("canon").alias("child"), F.col("occ").alias("occ_child"))
+    flat = edges.select("parent", "child", "n_parent", "n_child", "terms", "adjust", F.col("mm"), F.get("mm", F.lit(0))["pos"].alias("pos"), F.get("mm", F.lit(0))["b"].alias("alt"))
+    todo = written(flat.join(own, "child"), "open-edges")
+    tops = todo.select(F.col("parent").alias("v")).distinct().join(todo.select(F.col("child").alias("v")).distinct(), "v", "left_anti")
+    fates = [written(tops.join(known.withColumnRenamed("canon", "v"), "v").select("v", F.col("v").alias("root"), F.col("n").alias("n_root"), "occ"), "fates")]
+    settled: list[DataFrame] = []
+    while todo.limit(1).count():
+        told = fates[0]
+        for more in fates[1:]:
+            told = told.unionByName(more)
+        met = spread_join(todo, told.withColumnRenamed("v", "parent"), "parent", "child", "left")
+        score = total_score(F.col("n_root"), F.col("occ"))
+        met = met.withColumn("score", score)
+        order = F.struct(-F.col("n_parent"), "parent", "pos", "alt")
+        first = F.min_by(F.when(F.col("score") > 0, F.struct("root", "n_root", "occ", "parent", "score")), F.when(F.col("score") > 0, order))
+        done = met.groupBy("child").agg(F.count_if(F.col("root").isNull()).alias("open"), first.alias("by"), F.first("n_child").alias("n_child"), F.first("occ_child").alias("occ_child")).filter("open = 0")
+        done = written(done.select("child", "by", F.coalesce("by.root", "child").alias("root"), F.coalesce("by.n_root", "n_child").alias("n_root"), F.coalesce("by.occ", "occ_child").alias("occ")), "settled")
+        settled.append(done.filter("by IS NOT NULL").select("child", "root", "by.parent", "by.score"))
+        fates.append(done.select(F.col("child").alias("v"), "root", "n_root", "occ"))
+        todo = written(todo.join(done.select("child"), "child", "left_anti"), "open-edges")
+    if not settled:
+        return todo.select("child", F.col("parent").alias("root"), "parent", F.lit(0.0).alias("score"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def absorbed(clusters: DataFrame, edges: DataFrame, rules: Rules = Rules(), end: int = 12) -> DataFrame:
+    """ascend over the scored candidate edges that pass the vetoes."""
+    scored = written(edge_scores(edges, clusters, rules, end), "scored")
+    return ascend(vetoed(scored, rules), clusters, rules, end)
+
+
+def roll_up(clusters: DataFrame, gone: DataFrame) -> DataFrame:
+    """Surviving clusters with the reads of those that they absorbed. If clusters has rep_ord and
+    dmg_score, the representative is that of the most damaged of them, the survivor's own first."""
+    to = clusters.join(gone.select("child", "root", "parent"), clusters["canon"] == gone["child"], "left").withColumn("_to", F.coalesce("root", "canon"))
+    more = []
+    if {"rep_ord", "dmg_score"} <= set(clusters.columns):
+        rank = F.struct(-F.col("dmg_score"), F.col("child").isNotNull(), "canon")
+        more = [F.min_by("rep_ord", rank).alias("rep_ord"), F.max("dmg_score").alias("dmg_score")]
+    return to.groupBy(F.col("_to").alias("canon")).agg(F.sum("n").alias("n"), F.count("*").alias("members"), *more)
+
+
+def deaminated(s: Column, rules: Rules) -> Column:
+    """s with the bases that damage makes set back wherever damage is likely: T to C in the 5' half, A
+    to G in the 3' half (both in both in single-stranded libraries)."""
+    d, n = rules.profile, F.length(s)
+    likely = lambda i: S.damage_probability(i - 1, n, d.d5, d.l5, d.d3, d.l3) >= rules.deam_least
+
+    def one(i: Column) -> Column:
+        b = s.substr(i, F.lit(1))
+        inside = (i > rules.five) & (i <= n - rules.three)
+        if d.single:
+            back = F.translate(b, "TA", "CG")
+        else:
+            back = F.when(i - 1 < F.floor(n / 2), F.translate(b, "T", "C")).otherwise(F.translate(b, "A", "G"))
+        return F.when(inside & likely(i), back).otherwise(b)
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")
+
+
+def merges_deaminated(clusters: DataFrame, rules: Rules) -> bool:
+    """Whether damage reaches far enough into reads of the median length (upper) for merge_deaminated."""
+    counts = clusters.groupBy(F.length("canon").alias("size")).agg(F.count("*").alias("k")).orderBy("size").collect()  # a row a length
+    total, upto = sum(r.k for r in counts), 0
+    for r in counts:
+        upto += r.k
+        if upto > total // 2:
+            d = rules.profile
+            chances = [max(d.d5 * math.exp(-d.l5 * p), d.d3 * math.exp(-d.l3 * (r["size"] - 1 - p))) for p in range(rules.five, r["size"] - rules.three)]
+            likely = [x for x in chances if x > rules.deam_least]
+            return d.enabled and len(likely) >= rules.deam_places and sum(likely) >= rules.deam_mass
+    return False
+
+
+def merge_deaminated(clusters: DataFrame, rules: Rules, end: int = 12) -> DataFrame:
+    """(child, root, h, lrt): clusters that differ from a more frequent one of their bundle in three to
+    deam_most places, all of them likely damage. They meet by bundle and by the interior with
+    damage set back; the parent has deam_ratio times the reads, no change may recur in another
+    bundle, and the counts must favour an error, more so the more places differ. A child goes to its
+    first parent by falling count that is not absorbed itself."""
+    d = rules.profile
+    fit = eligible(clusters, rules).select("canon", "n", S.bundle("canon", end).alias("bundle"))
+    n = F.length("canon")
+    places = fit.select("bundle", F.explode(F.transform(F.sequence(F.lit(rules.five + 1), n - rules.three), lambda i: F.struct((i - 1).alias("pos"), F.col("canon").substr(i, F.lit(1)).alias("alt"), S.damage_probability(i - 1, n, d.d5, d.l5, d.d3, d.l3).alias("p")))).alias("x")).filter(F.col("x.p") >= rules.deam_least)
+    common = places.filter(F.lit(rules.deam_veto)).groupBy("x.pos", "x.alt").agg(F.count_distinct("bundle").alias("b")).filter("b >= 2").select(F.concat_ws(":", "pos", "alt").alias("k"))
+    recurring = sorted(r.k for r in common.collect())  # places of a read times four
+    keyed = fit.withColumn("key", deaminated(F.col("canon"), rules))
+    parents = keyed.select("bundle", "key", F.col("canon").alias("parent"), F.col("n").alias("n_parent"))
+    met = keyed.select("bundle", "key", F.col("canon").alias("child"), F.col("n").alias("n_child")).join(parents, ["bundle", "key"]).filter(F.col("n_parent") >= rules.deam_ratio * F.col("n_child"))
+    size = F.length("parent")
+    met = met.withColumn("mm", S.mismatches("parent", "child")).withColumn("h", F.size("mm")).filter(F.col("h").between(3, rules.deam_most))
+    ct, ga = (lambda m: F.concat(m["a"], m["b"]).isin("CT", "TC")), (lambda m: F.concat(m["a"], m["b"]).isin("GA", "AG"))
+    way = lambda m: (ct(m) | ga(m)) if d.single else F.when(m["pos"] < F.floor(size / 2), ct(m)).otherwise(ga(m))
+    fine = F.forall("mm", lambda m: way(m) & (S.damage_probability(m["pos"], size, d.d5, d.l5, d.d3, d.l3) >= rules.deam_least))
+    again = F.exists("mm", lambda m: F.concat_ws(":", m["pos"].cast("string"), m["b"]).isin(recurring)) if recurring else F.lit(False)
+    x, p = F.col("n_child"), F.col("n_parent")
+    lrt = x * math.log(rules.lrt_f0 / rules.lrt_f1) + p * math.log((1 - rules.lrt_f0) / (1 - rules.lrt_f1)) + (F.col("h") - 1) * math.log(rules.lrt_f0 / rules.lrt_f1)
+    todo = written(met.filter(fine & ~again).withColumn("lrt", lrt).filter(F.col("lrt") > math.log(rules.lrt_odds)).select("parent", "child", "n_parent", "h", "lrt"), "deaminated")
+    out = todo.select("child", F.col("parent").alias("root"), "h", "lrt").limit(0)
+    while todo.limit(1).count():
+        # Children of clusters that are nobody's child: those edges count, and no other of theirs does.
+        tops = todo.select("parent").distinct().join(todo.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
+        best = todo.join(tops, "parent").groupBy("child").agg(F.min_by(F.struct("parent", "h", "lrt"), F.struct(-F.col("n_parent"), "parent")).alias("by"))
+        # A higher-ranked parent whose fate is open still comes first.
+        better = todo.join(tops, "parent", "left_anti").groupBy("child").agg(F.min(F.struct((-F.col("n_parent")).alias("n"), "parent")).alias("ahead"))
+        got = best.join(better, "child", "left").join(todo.select("child", F.col("parent").alias("_p"), (-F.col("n_parent")).alias("_n")), "child").filter(F.col("_p") == F.col("by.parent")).filter(F.col("ahead").isNull() | (F.struct(F.col("_n").alias("n"), F.col("_p").alias("parent")) < F.col("ahead")))
+        got = written(got.select("child", F.col("by.parent").alias("root"), "by.h", "by.lrt"), "deaminated")
+        out = out.unionByName(got)
+        gone = got.select("child").distinct()
+        todo = written(todo.join(gone, "child", "left_anti").join(gone.withColumnRenamed("child", "parent"), "parent", "left_anti"), "deaminated")
+        if got.limit(1).count() == 0:
+            break
+    return out
 
 
 def adjacent_lengths(clusters: DataFrame, top: int = 32, end: int = 12) -> DataFrame:
@@ -215,11 +468,12 @@ def rescue_indels(clusters: DataFrame, low: int = 2, hot: int = 50, edits: int =
     return near.withColumn("_r", best).filter("_r = 1").select("parent", "child", "n_parent", "n_child", "edits")
 
 
-def sketch_hits(sketches: DataFrame, least: int = 2, top: int = 8, hot: int = 4096) -> DataFrame:
-    """(a, b, hits): pairs of rows (id, hashes) that share hashes: for each b its top a's. Hashes
-    that more than hot rows hold say nothing and are left out."""
-    each = sketches.select("id", F.explode(F.array_distinct("hashes")).alias("h"))
-    each = each.withColumn("_n", F.count("*").over(Window.partitionBy("h"))).filter(F.col("_n") <= hot).drop("_n")
-    met = each.withColumnRenamed("id", "a").join(each.withColumnRenamed("id", "b"), "h").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
+def sketch_hits(sketches: DataFrame, least: int = 2, top: int = 32) -> DataFrame:
+    """(a, b, hits): pairs of rows (id, bundle, hashes) of one bundle that share `least` hashes or more;
+    of each b its `top` a's by hits. Rows meet by bundle and hash, so that lists stay as short as
+    bundles are."""
+    each = sketches.select("id", "bundle", F.explode(F.array_distinct("hashes")).alias("h"))
+    met = each.withColumnRenamed("id", "a").join(each.withColumnRenamed("id", "b"), ["bundle", "h"]).filter("a < b")
+    hits = met.groupBy("a", "b").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a"))
-    return met.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")
+    return hits.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")

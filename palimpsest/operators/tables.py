@@ -21,6 +21,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by key over the cores if it has fewer splits than there are cores (a table of one row
+    group is one split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Tasks among which the rows of one key are spread where a key may hold a large share of all rows.
 SALTS = 256
 

@@ -1,46 +1,19 @@
-"""Registered queries of the read operators, each with SQL that says the same in another way.
-
-Reads are derived from the whole texts of all documents (palimpsest.functions.derived)."""
+"""Registered queries of the read operators, each with SQL that says the same in another way."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.functions.derived import AS_BASES, LETTERS, MUTATED_SQL, QUALITY_SQL, READS_SQL, mutated, quality, rc_sql, reads
-from palimpsest.operators import damage, dedup, errors, graph, merge, sorting, store
+from palimpsest.functions.derived import QUALITY_SQL, quality, rc_sql, reads
+from palimpsest.operators import damage, dedup, graph, merge, sorting
 from palimpsest.operators.tables import global_rank, written
+from palimpsest.plans.base import CANON, DAMAGE, ORACLES, QUERIES, RC, R, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-R = f"WITH {READS_SQL}"
-M = f"WITH {MUTATED_SQL}"
-RC = rc_sql("seq")
-CANON = f"least(seq, {RC})"
-DAMAGE = damage.Profile(0.20, 0.35, 0.20, 0.35, 0.25, 0.25)
-
-
-def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.deduplicate(mutated(reads(spark, sf_dir)).withColumnRenamed("rid", "ord"))
-
-
-CLUSTERS = f"{M}, clusters AS (SELECT {CANON} AS canon, count(*) AS n, min(rid) AS first_ord FROM mutated GROUP BY 1)"
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---- Deduplication
 
@@ -135,10 +108,10 @@ def sort_natural(spark, sf_dir):
     return global_rank(named(spark, sf_dir), *sorting.natural())
 
 
-@query(f"{R}, lanes AS (SELECT 0::BIGINT << 40 | ord AS ord, seq FROM reads UNION ALL SELECT 1::BIGINT << 40 | ord, {RC} FROM reads) SELECT {CANON} AS canon, count(*) AS n, min(ord) AS first_ord FROM lanes GROUP BY 1")
+@query(f"{R}, lanes AS (SELECT 0::BIGINT << 60 | ord AS ord, seq FROM reads UNION ALL SELECT 1::BIGINT << 60 | ord, {RC} FROM reads) SELECT {CANON} AS canon, count(*) AS n, min(ord) AS first_ord FROM lanes GROUP BY 1")
 def union_lanes(spark, sf_dir):
     one = reads(spark, sf_dir).select("ord", "seq")
-    two = one.select((F.col("ord") + F.lit(1 << 40)).alias("ord"), S.revcomp("seq").alias("seq"))
+    two = one.select((F.col("ord") + F.lit(1 << 60)).alias("ord"), S.revcomp("seq").alias("seq"))
     return dedup.deduplicate(one.unionByName(two)).select("canon", "n", "first_ord")
 
 
@@ -396,178 +369,6 @@ def posterior_fraction(spark, sf_dir):
     return damage.weighted_fraction(scored, 0.3).select("n", F.round("fraction", 6).alias("fraction"))
 
 
-# ---- Error correction
-
-
-_EDGES = f"""{CLUSTERS},
-fit AS (SELECT canon, n, length(canon) AS size FROM clusters),
-turned AS (SELECT canon AS child, n AS n_child, size, 0 AS turned, canon AS s FROM fit UNION ALL SELECT canon, n, size, 1, {rc_sql('canon')} FROM fit),
-thirds AS (SELECT *, unnest([{{'t': 1, 'k': substr(s, 1, size // 3)}}, {{'t': 2, 'k': substr(s, size // 3 + 1, size // 3)}}, {{'t': 3, 'k': substr(s, 2 * (size // 3) + 1)}}]) AS key FROM turned),
-homes AS (SELECT canon AS parent, n AS n_parent, size, unnest([{{'t': 1, 'k': substr(canon, 1, size // 3)}}, {{'t': 2, 'k': substr(canon, size // 3 + 1, size // 3)}}, {{'t': 3, 'k': substr(canon, 2 * (size // 3) + 1)}}]) AS key FROM fit),
-met AS (SELECT DISTINCT parent, child, n_parent, n_child, turned, s FROM thirds JOIN homes USING (size, key) WHERE n_parent > n_child OR (n_parent = n_child AND parent < child)),
-near AS (SELECT *, hamming(parent, s) AS h, list_filter(range(1, length(s) + 1), lambda i: substr(parent, i, 1) <> substr(s, i, 1)) AS places FROM met WHERE hamming(parent, s) BETWEEN 1 AND 2),
-mm AS (SELECT *, [{{'pos': i - 1, 'a': substr(parent, i, 1), 'b': substr(s, i, 1)}} for i in places] AS mm, length(parent) AS size FROM near),
-good AS (SELECT *, row_number() OVER (PARTITION BY parent, child ORDER BY h, turned) AS nth FROM mm WHERE (h = 1 AND mm[1].a || mm[1].b IN ('AT', 'TA', 'CG', 'GC'))
-  OR (h = 2 AND n_child <= 2 AND len(list_filter(mm, lambda m: (m.a || m.b IN ('CT', 'TC') AND m.pos < 5) OR (m.a || m.b IN ('GA', 'AG') AND m.pos >= size - 5))) = 0)),
-edges AS (SELECT parent, child, n_parent, n_child, h::INT AS h, mm, size FROM good WHERE nth = 1)"""
-
-
-def edges(spark, sf_dir):
-    """Candidate edges, kept as a table: what follows reads them several times."""
-    return written(errors.candidate_edges(written(clusters(spark, sf_dir), "clusters")), "edges")
-
-
-@query(f"{_EDGES} SELECT parent, child, n_parent, n_child, mm[1].pos::INT AS pos, mm[1].b AS alt FROM edges WHERE h = 1")
-def hamming1_edges(spark, sf_dir):
-    return edges(spark, sf_dir).filter("h = 1").select("parent", "child", "n_parent", "n_child", F.get("mm", F.lit(0))["pos"].alias("pos"), F.get("mm", F.lit(0))["b"].alias("alt"))
-
-
-@query(f"{_EDGES} SELECT parent, child, n_parent, n_child, mm[1].pos::INT AS pos, mm[2].pos::INT AS pos2 FROM edges WHERE h = 2")
-def hamming2_edges(spark, sf_dir):
-    return edges(spark, sf_dir).filter("h = 2").select("parent", "child", "n_parent", "n_child", F.get("mm", F.lit(0))["pos"].alias("pos"), F.get("mm", F.lit(1))["pos"].alias("pos2"))
-
-
-@query(f"{CLUSTERS}, q AS (SELECT canon, length(canon) AS n FROM clusters), p AS (SELECT canon, n, [substr(canon, 1, n // 4), substr(canon, n // 4 + 1, n * 2 // 4 - n // 4), substr(canon, n * 2 // 4 + 1, n * 3 // 4 - n * 2 // 4), substr(canon, n * 3 // 4 + 1)] AS x FROM q) SELECT tag, n::INT AS size, count(DISTINCT canon) AS clusters, count(DISTINCT p || '-' || q) AS keys FROM (SELECT canon, n, 10 * (i - 1) + j - 1 AS tag, x[i] AS p, x[j] AS q FROM p, (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)) t(i, j)) GROUP BY 1, 2")
-def pair_keys(spark, sf_dir):
-    keyed = errors.part_keys(clusters(spark, sf_dir).select("canon"), F.col("canon"))
-    return keyed.groupBy("tag", "size").agg(F.count_distinct("canon").alias("clusters"), F.count_distinct(F.concat_ws("-", "p", "q")).alias("keys"))
-
-
-@query(f"{_EDGES}, e AS (SELECT parent, n_child, unnest(mm) AS m FROM edges) SELECT parent, m.pos::INT AS pos, m.b AS alt, sum(n_child)::BIGINT AS reads FROM e GROUP BY ALL")
-def signature_counts(spark, sf_dir):
-    return errors.signatures(edges(spark, sf_dir))
-
-
-@query(f"{_EDGES}, e AS (SELECT parent, size, unnest(mm) AS m FROM edges) SELECT m.pos::INT AS pos, m.b AS alt, count(DISTINCT left(parent, 12) || right(parent, 12) || size) AS bundles FROM e GROUP BY ALL")
-def cross_bundle(spark, sf_dir):
-    return errors.recurrence(edges(spark, sf_dir))
-
-
-@query(f"{_EDGES}, o AS (SELECT mm[1].a || mm[1].b AS ab FROM edges WHERE h = 1) SELECT count(*) FILTER (ab IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER (ab NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions FROM o")
-def kappa_ratio(spark, sf_dir):
-    return errors.kappa(edges(spark, sf_dir)).select("transitions", "transversions")
-
-
-_BINS = f"""{_EDGES},
-seats AS (SELECT b, count(*) AS occ FROM (SELECT DISTINCT parent, (left(parent, 12), right(parent, 12), size) AS b FROM edges) GROUP BY 1),
-each AS (SELECT parent, child, (left(parent, 12), right(parent, 12), size) AS b, size, unnest(mm) AS m FROM edges),
-binned AS (SELECT parent, child, b, CASE m.a || m.b WHEN 'CT' THEN 'C>T' WHEN 'GA' THEN 'C>T' WHEN 'CA' THEN 'C>A' WHEN 'GT' THEN 'C>A' WHEN 'CG' THEN 'C>G' WHEN 'GC' THEN 'C>G' WHEN 'TA' THEN 'T>A' WHEN 'AT' THEN 'T>A' WHEN 'TC' THEN 'T>C' WHEN 'AG' THEN 'T>C' ELSE 'T>G' END AS class,
-  CASE WHEN least(m.pos, size - 1 - m.pos) <= 2 THEN 0 WHEN least(m.pos, size - 1 - m.pos) <= 5 THEN 1 WHEN least(m.pos, size - 1 - m.pos) <= 10 THEN 2 ELSE 3 END AS dist,
-  CASE WHEN occ <= 1 THEN 0 WHEN occ <= 3 THEN 1 WHEN occ <= 7 THEN 2 WHEN occ <= 15 THEN 3 WHEN occ <= 63 THEN 4 ELSE 5 END AS occ FROM each JOIN seats USING (b)),
-bins AS (SELECT class, dist, occ, count(DISTINCT b) AS n, (SELECT count(DISTINCT b) FROM binned) AS total FROM binned GROUP BY ALL),
-model AS (SELECT *, greatest(1e-6, (n + 1)::DOUBLE / (total + 1 + greatest(9999, 100 * total))) AS p_real FROM bins)"""
-
-
-@query(f"{_BINS} SELECT class, dist, occ, n, total, round(p_real, 9) AS p_real FROM model")
-def model_bins(spark, sf_dir):
-    return errors.model_bins(edges(spark, sf_dir)).withColumn("p_real", F.round("p_real", 9))
-
-
-@query(f"{_BINS} SELECT parent, child, round(3.0 + sum(ln(pow(10, -2.0) / 3) - ln(p_real)), 6) AS score FROM binned JOIN model USING (class, dist, occ) GROUP BY parent, child")
-def edge_scores(spark, sf_dir):
-    held = edges(spark, sf_dir)
-    return errors.edge_scores(held, errors.model_bins(held)).select("parent", "child", F.round("score", 6).alias("score"))
-
-
-_VETOED = f"""{_EDGES}, each AS (SELECT parent, child, n_parent, n_child, unnest(mm) AS m FROM edges),
-sig AS (SELECT parent, m.pos AS pos, m.b AS alt, sum(n_child) AS reads FROM each GROUP BY ALL),
-snp AS (SELECT DISTINCT e.parent, e.child FROM each e JOIN sig s ON s.parent = e.parent AND s.pos = e.m.pos AND s.alt = e.m.b WHERE reads >= 2 AND reads >= 0.2 * n_parent),
-kept AS (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM snp WHERE snp.parent = e.parent AND snp.child = e.child))"""
-
-
-@query(f"{_VETOED} SELECT parent, child, h FROM kept")
-def vetoes(spark, sf_dir):
-    return errors.vetoed(edges(spark, sf_dir)).select("parent", "child", "h")
-
-
-@query(f"{_VETOED} SELECT canon, n FROM clusters WHERE canon NOT IN (SELECT child FROM kept)")
-def survivors_anti(spark, sf_dir):
-    kept = errors.vetoed(edges(spark, sf_dir))
-    return dedup.survivors(clusters(spark, sf_dir), kept.select(F.col("child").alias("canon"))).select("canon", "n")
-
-
-def genealogy(spark, sf_dir):
-    kept = written(errors.vetoed(edges(spark, sf_dir)), "kept")
-    absorbed = written(errors.ascend(kept), "absorbed")
-    return clusters(spark, sf_dir), absorbed, kept
-
-
-#: The first edge in the order of visits (parent count, parent, place, base) is the one by which a child goes.
-_ROOTS = f"""{_VETOED.replace("WITH ", "WITH RECURSIVE ", 1)},
-via AS (SELECT child, arg_min(parent, (-n_parent, parent, mm[1].pos, mm[1].b)) AS parent FROM kept GROUP BY child),
-climb AS (SELECT child, parent AS top FROM via UNION ALL SELECT c.child, v.parent FROM climb c JOIN via v ON v.child = c.top),
-roots AS (SELECT child, top AS root FROM climb WHERE top NOT IN (SELECT child FROM via))"""
-
-
-@query(f"{_ROOTS} SELECT child, root FROM roots")
-def ascent(spark, sf_dir):
-    return errors.ascend(errors.vetoed(edges(spark, sf_dir)))
-
-
-@query(f"{_ROOTS} SELECT coalesce(root, canon) AS canon, sum(n)::BIGINT AS n, count(*) AS members FROM clusters LEFT JOIN roots ON canon = child GROUP BY 1")
-def mass_roll_up(spark, sf_dir):
-    found, absorbed, _ = genealogy(spark, sf_dir)
-    return errors.roll_up(found, absorbed)
-
-
-@query(f"{_ROOTS}, c AS (SELECT coalesce(root, canon) AS root, sum(n)::BIGINT AS n_members, min(first_ord) AS cluster_id, count(*) - 1 AS n_edges FROM clusters LEFT JOIN roots ON canon = child GROUP BY 1) SELECT cluster_id, n_members, n_edges::INT AS n_edges, length(root)::INT AS parent_len FROM c ORDER BY n_members DESC, cluster_id LIMIT 10")
-def top_members(spark, sf_dir):
-    return store.top(store.genealogy(*genealogy(spark, sf_dir)))
-
-
-@query(f"{_ROOTS}, c AS (SELECT canon, min(first_ord) OVER (PARTITION BY coalesce(root, canon)) AS cluster_id FROM clusters LEFT JOIN roots ON canon = child) SELECT ord, coalesce(cluster_id, -1) AS cluster_id FROM reads LEFT JOIN c ON canon = {CANON}")
-def member_of(spark, sf_dir):
-    return store.member_of(store.genealogy(*genealogy(spark, sf_dir)), reads(spark, sf_dir))
-
-
-@query(f"{_ROOTS}, c AS (SELECT coalesce(root, canon) AS root, sum(n)::BIGINT AS n, min(first_ord) AS id FROM clusters LEFT JOIN roots ON canon = child GROUP BY 1) SELECT left(root, 16) || right(root, 16) || length(root) AS bundle, count(*) AS clusters, sum(n)::BIGINT AS members FROM c GROUP BY 1 HAVING count(*) >= 2")
-def view_bundles(spark, sf_dir):
-    found = store.bundles(store.genealogy(*genealogy(spark, sf_dir)))
-    return found.select(F.concat("bundle.head", "bundle.tail", "bundle.size").alias("bundle"), "clusters", "members")
-
-
-@query(f"{_ROOTS}, c AS (SELECT count(*) FILTER (root IS NULL) AS clusters, sum(n)::BIGINT AS members, count(root) AS edges FROM clusters LEFT JOIN roots ON canon = child) SELECT * FROM c")
-def store_header(spark, sf_dir):
-    return store.header(store.genealogy(*genealogy(spark, sf_dir)))
-
-
-@query()
-def cluster_grid(spark, sf_dir):
-    return store.grid(store.genealogy(*genealogy(spark, sf_dir)))
-
-
-@query(f"{CLUSTERS} SELECT canon, n, count(*) OVER (PARTITION BY left(canon, 12), right(canon, 12), length(canon)) AS occupancy FROM clusters")
-def bundle_occupancy(spark, sf_dir):
-    return errors.occupancy(clusters(spark, sf_dir)).select("canon", "n", "occupancy")
-
-
-_VARIED = f"{R}, varied AS (SELECT seq FROM reads UNION ALL SELECT left(seq, 29) || substr(seq, 31) FROM reads WHERE ord % 3 = 0 AND length(seq) = 60), clusters AS (SELECT {CANON} AS canon, count(*) AS n FROM varied GROUP BY 1), k AS (SELECT canon, n, (left(canon, 12), right(canon, 12)) AS b FROM clusters)"
-
-
-def varied(spark, sf_dir):
-    """Reads, and a third of them once more with one base taken out."""
-    rows = reads(spark, sf_dir).select("ord", "seq")
-    shorter = rows.filter((F.col("ord") % 3 == 0) & (F.length("seq") == 60)).select((F.col("ord") + (1 << 50)).alias("ord"), F.concat(F.left("seq", F.lit(29)), F.substring("seq", 31, 60)).alias("seq"))
-    return dedup.deduplicate(rows.union(shorter))
-
-
-@query(f"{_VARIED}, p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, canon) AS nth FROM k) SELECT p.canon AS parent, c.canon AS child, p.n AS n_parent, c.n AS n_child FROM p JOIN k c ON c.b = p.b AND abs(length(c.canon) - length(p.canon)) = 1 WHERE nth <= 32 AND (p.n > c.n OR (p.n = c.n AND p.canon < c.canon)) AND levenshtein(p.canon, c.canon) = 1")
-def adjacent_lengths(spark, sf_dir):
-    return errors.adjacent_lengths(varied(spark, sf_dir))
-
-
-@query(f"{_VARIED}, o AS (SELECT *, count(*) OVER (PARTITION BY b) AS occ FROM k), m AS (SELECT p.canon AS parent, c.canon AS child, p.n AS n_parent, c.n AS n_child, levenshtein(p.canon, c.canon) AS edits FROM o p JOIN o c ON p.b = c.b WHERE p.occ >= 2 AND p.occ < 50 AND (p.n > c.n OR (p.n = c.n AND p.canon < c.canon)) AND abs(length(c.canon) - length(p.canon)) <= 2), r AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY edits, n_parent DESC, parent) AS nth FROM m WHERE edits BETWEEN 1 AND 2) SELECT parent, child, n_parent, n_child, edits::INT AS edits FROM r WHERE nth = 1")
-def indel_rescue(spark, sf_dir):
-    return errors.rescue_indels(varied(spark, sf_dir))
-
-
-@query()
-def sketch_pairs(spark, sf_dir):
-    """Pairs of molecules whose open syncmers share two hashes or more, the best eight of each."""
-    rows = dedup.deduplicate(reads(spark, sf_dir)).select(F.col("canon").alias("id"), F.transform(S.syncmers("canon", 11, 7, 2, 8), lambda x: x["hash"]).alias("hashes"))
-    return errors.sketch_hits(rows)
-
-
 # ---- Pairs and graph
 
 
@@ -605,3 +406,6 @@ def damage_profile(spark, sf_dir):
 def stub_detection(spark, sf_dir):
     stubbed = reads(spark, sf_dir).withColumn("seq", F.when(F.col("ord") % 10 == 0, F.concat(F.lit("CTCTTC"), "seq")).otherwise(F.col("seq")))
     return damage.enriched_stubs(damage.hexamers(stubbed))
+
+
+from palimpsest.plans import correction  # noqa: E402, F401

@@ -3,6 +3,8 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -36,8 +38,16 @@ def sf():
     return SF
 
 
+def shown(v):
+    """One form for a value, whatever pandas made of its column: nulls alike, numbers to six places."""
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+        return "null"
+    if isinstance(v, (float, np.floating)) or (isinstance(v, (int, np.integer)) and not isinstance(v, bool)):
+        return f"{v:.6f}"
+    return str(v)
+
+
 def plain(df):
-    """Rows of a pandas table as sorted text, columns by name, floats to six places."""
+    """Rows of a pandas table as sorted text, columns by name."""
     df = df[sorted(df.columns)]
-    show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
-    return list(df.columns), sorted(tuple(show(v) for v in r) for r in df.astype(object).itertuples(index=False))
+    return list(df.columns), sorted(tuple(map(shown, r)) for r in df.astype(object).itertuples(index=False))

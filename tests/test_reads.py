@@ -2,8 +2,8 @@
 
 import gzip
 import itertools
+import math
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ def test_reverse_complement_pair_is_one_molecule(spark):
     assert dedup.deduplicate(pair, both_strands=False).count() == 2
 
 
-BASE = "GCAGATCGCGATCGATCGATCGATCGATCGATCGATCGAT"
+BASE = "GCTTAGGCATACCAGTTGACATGCAAGTCTAGGATCCATG"
 
 
 @pytest.mark.parametrize("pos,molecules", [(1, 1), (5, 2)])
@@ -69,27 +69,71 @@ def test_stable_sorts(spark):
     assert [r.ord for r in sorting.sort_reads(rows, by_number=True).collect()] == [2, 1, 3, 0]
 
 
-PARENT = "ACGAACGAACGAACGAACGAACGAACGAAC"
+PARENT = "TGACCATTGCAGGATTCACGTCAATGCTAGCCATTAGGCA"
+LOW, SURE = "0", "I"
 
 
-def changed(*at):
-    out = list(PARENT)
-    for p, b in at:
-        out[p] = b
+def canon(s):
+    return min(s, rc(s))
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def changed(*at, seq=PARENT):
+    """seq with the bases at some places replaced by their partner (T and A, C and G), or by a transition."""
+    out = list(seq)
+    for p, way in at:
+        out[p] = dict(zip("ACGT", "TGCA" if way == "v" else "GTAC"))[out[p]]
     return "".join(out)
 
 
-def test_error_candidates(spark):
-    one, pair = changed((15, "T")), changed((8, "T"), (21, "G"))
-    transition = changed((13, "T"))
-    damaged_pair = changed((5, "G"), (25, "T"))
-    often = changed((9, "G"), (20, "T"))
-    rows = frame(spark, [PARENT] * 100 + [one, pair, transition, damaged_pair] + [often] * 3)
+def with_quality(spark, reads):
+    """reads: (sequence, times, places of low quality)."""
+    rows = []
+    for seq, times, low in reads:
+        qual = "".join(LOW if i in low else SURE for i in range(len(seq)))
+        rows += [(seq, qual)] * times
+    return spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(rows)], "ord bigint, seq string, qual string")
+
+
+def test_absorption(spark):
+    one, pair, transition = changed((15, "v")), changed((8, "v"), (21, "v")), changed((18, "t"))
+    sure, often, worn = changed((24, "v")), changed((10, "v"), (28, "v")), changed((12, "v"), (30, "t"), (1, "v"))
+    rows = with_quality(spark, [(PARENT, 100, ()), (one, 1, (15,)), (pair, 1, (8, 21)), (transition, 1, (18,)), (sure, 1, ()), (often, 3, (10, 28)), (worn, 1, (1, 12, 30))])
+    clusters = dedup.deduplicate(rows, quality="qual")
+    edges = errors.candidate_edges(clusters)
+    found = {r.child: r.h for r in edges.filter(F.col("parent") == canon(PARENT)).collect()}
+    assert found == {canon(one): 1, canon(pair): 2, canon(sure): 1}
+    gone = {r.child: r.root for r in errors.absorbed(clusters, edges).collect()}
+    assert gone == {canon(one): canon(PARENT), canon(pair): canon(PARENT)}
+    plain = dedup.deduplicate(rows)  # without qualities nothing is sure
+    assert canon(sure) in {r.child for r in errors.absorbed(plain, errors.candidate_edges(plain)).collect()}
+    protected = errors.vetoed(errors.candidate_edges(plain), errors.Rules(protect_transversions=True))
+    assert protected.count() == 0
+
+
+def test_equal_variants_both_stay(spark):
+    other = changed((17, "v"))
+    two = dedup.deduplicate(with_quality(spark, [(PARENT, 200, ()), (other, 200, (17,))]), quality="qual")
+    assert errors.absorbed(two, errors.candidate_edges(two)).count() == 0
+    lone = dedup.deduplicate(with_quality(spark, [(PARENT, 200, ()), (other, 1, (17,))]), quality="qual")
+    gone = errors.absorbed(lone, errors.candidate_edges(lone))
+    assert [(r.child, r.root) for r in gone.collect()] == [(canon(other), canon(PARENT))]
+    assert [(r.n, r.members) for r in errors.roll_up(lone, gone).collect()] == [(201, 2)]
+
+
+def test_many_deaminated_places(spark):
+    seq = "".join("C" if i % 3 else "G" for i in range(20)) + "TGACCATTGCAGGATTCACGTCAATGCTAGCCATTAGGCA"
+    worn = seq[:12] + seq[12:19].replace("C", "T") + seq[19:]
+    rules = errors.Rules(profile=damage.Profile(0.4, 0.12, 0.4, 0.12))
+    rows = frame(spark, [seq] * 60 + [worn])
     clusters = dedup.deduplicate(rows)
-    canon = lambda s: min(s, s[::-1].translate(str.maketrans("ACGT", "TGCA")))
-    found = {r.child: r.h for r in errors.candidate_edges(clusters).filter(F.col("parent") == canon(PARENT)).collect()}
-    assert found.get(canon(one)) == 1 and found.get(canon(pair)) == 2
-    assert canon(transition) not in found and canon(often) not in found
+    assert errors.merges_deaminated(clusters, rules) and not errors.merges_deaminated(clusters, errors.Rules())
+    assert [(r.child, r.root, r.h) for r in errors.merge_deaminated(clusters, rules).collect()] == [(canon(worn), canon(seq), 4)]
+    again = dedup.deduplicate(frame(spark, [seq] * 60 + [worn] + ["A" + worn[1:]]))  # the same bases in another bundle
+    assert errors.merge_deaminated(again, rules).count() == 0
 
 
 def test_edges_are_those_of_brute_force(spark):
@@ -120,10 +164,31 @@ def test_edges_are_those_of_brute_force(spark):
 
 
 def test_ascent_is_the_serial_replay(spark):
-    rows = [("A", "B", 9, 3, "T"), ("B", "C", 5, 4, "T"), ("A", "C", 9, 7, "G"), ("X", "Y", 2, 1, "A")]
-    table = spark.createDataFrame([(p, c, n, [(pos, "A", alt)]) for p, c, n, pos, alt in rows], "parent string, child string, n_parent bigint, mm array<struct<pos:int,a:string,b:string>>")
-    want = errors.replay(pd.DataFrame(rows, columns=["parent", "child", "n_parent", "pos", "alt"]))
-    assert {r.child: r.root for r in errors.ascend(table).collect()} == want == {"B": "A", "C": "A", "Y": "X"}
+    """Edges one by one, in order, each with the counts of the cluster that holds the parent by then."""
+    import random
+
+    rng, seqs = random.Random(8), []
+    for _ in range(12):
+        s = "".join(rng.choice("ACGT") for _ in range(44))
+        seqs += [(s, rng.choice([3, 9, 40]), ())]
+        for _ in range(5):
+            at = rng.sample(range(12, 32), rng.choice([1, 2, 2]))
+            t = changed(*((p, "v") for p in at), seq=s)
+            seqs.append((t, 1, at))
+            more = rng.sample(range(12, 32), 2)
+            seqs.append((changed(*((p, "v") for p in more), seq=t), 1, (*at, *more)))
+    clusters = dedup.deduplicate(with_quality(spark, seqs), quality="qual")
+    scored = errors.edge_scores(errors.candidate_edges(clusters), clusters)
+    kept = errors.vetoed(scored).collect()
+    known = {r.canon: (r.n, r.occ) for r in errors.occupancy(clusters).select("canon", "n", S.occupancy_bin(F.col("occupancy")).alias("occ")).collect()}
+    root = {}
+    for r in sorted(kept, key=lambda r: (-r.n_parent, r.parent, r.mm[0].pos, r.mm[0].b, r.child)):
+        top = root.get(r.parent, r.parent)
+        n, occ = known[top]
+        if r.child not in root and r.terms[occ] + len(r.mm) * math.log((n + 1) / (r.n_child + 1)) + r.adjust > 0:
+            root[r.child] = top
+    assert {r.child: r.root for r in errors.ascend(errors.vetoed(scored), clusters).collect()} == root
+    assert len(root) > 20 and any(root[c] != p for c, p in ((r.child, r.parent) for r in kept) if c in root)
 
 
 def test_extension_walks_a_genome(spark):
@@ -226,19 +291,24 @@ def test_one_edit_functions(spark):
 
 
 def test_store_views(spark, tmp_path):
-    clusters = spark.createDataFrame([("AAAA", 5, 0), ("AAAT", 1, 7), ("CCCC", 2, 3)], "canon string, n bigint, first_ord bigint")
-    absorbed = spark.createDataFrame([("AAAT", "AAAA")], "child string, root string")
-    edges = spark.createDataFrame([("AAAA", "AAAT", 5, 1, [(3, "A", "T")])], "parent string, child string, n_parent bigint, n_child bigint, mm array<struct<pos:int,a:string,b:string>>")
-    store.write_store(store.genealogy(clusters, absorbed, edges), f"{tmp_path}/store")
+    clusters = spark.createDataFrame([("AAAA", 5, 0), ("AAAT", 2, 7), ("CCCC", 2, 3), ("ATTA", 1, 9)], "canon string, n bigint, first_ord bigint")
+    gone = spark.createDataFrame([("AAAT", "AAAA", "AAAA", 1.0), ("ATTA", "AAAA", "AAAT", 2.0)], "child string, root string, parent string, score double")
+    edges = spark.createDataFrame([("AAAA", "AAAT", 0, [(3, "A", "T")]), ("AAAT", "ATTA", 1, [(1, "A", "A"), (3, "T", "T")]), ("AAAA", "ATTA", 0, [(1, "A", "T"), (2, "A", "T")])], "parent string, child string, turned int, mm array<struct<pos:int,a:string,b:string>>")
+    store.write_store(store.genealogy(clusters, gone, edges), f"{tmp_path}/store")
     kept = spark.read.parquet(f"{tmp_path}/store")
-    assert store.header(kept).first().asDict() == {"clusters": 2, "members": 8, "edges": 1}
-    assert [(r.cluster_id, r.n_members) for r in store.top(kept).collect()] == [(0, 6), (3, 2)]
-    assert {r.line for r in store.grid(kept).collect()} == {"....", "...T"}
-    reads = frame(spark, ["aaat", "GGGG", "ACAC"])
-    assert [r.cluster_id for r in store.member_of(kept, reads).orderBy("ord").collect()] == [0, 3, -1]
-    assert store.cluster(kept, 0).first().child == "AAAT"
+    assert store.header(kept).first().asDict() == {"clusters": 2, "members": 10, "edges": 2}
+    assert [(r.cluster_id, r.n_members, r.n_edges) for r in store.top(kept).collect()] == [(0, 8, 2), (3, 2, 0)]
+    assert {r.node: r.line for r in store.grid(kept).collect()} == {"AAAA": "....", "CCCC": "....", "AAAT": "...T", "ATTA": "T..T"}  # TAAT, as it stands turned
+    reads = frame(spark, ["aaat", "GGGG", "ACAC", "ATTA"]).withColumn("read_id", F.concat(F.lit("r"), "ord"))
+    assert [r.cluster_id for r in store.member_of(kept, reads).orderBy("ord").collect()] == [0, 3, -1, 0]
+    assert sorted((r.cluster_id, r.member_id) for r in store.members(kept, reads).collect()) == [(0, "r0"), (0, "r3"), (3, "r1")]
+    assert [(r.depth, r.parent, r.node) for r in store.tree(kept, 0).collect()] == [(1, "AAAA", "AAAT"), (2, "AAAT", "ATTA")]
+    steps = {(r["from"], r.to, r.pos) for r in store.steps(kept).collect()}
+    assert steps == {("AAAA", "AAAT", 3), ("AAAT", "ATTA/1", 1), ("ATTA/1", "ATTA", 3)}
+    assert store.bundles(kept, end=2, least=1).count() == 2 and store.bundle_grid(kept, "AA", "AA", 4, 2).count() == 3
     nodes = spark.createDataFrame([(1, "ACGT")] * 80 + [(1, "ACGA")], "cluster_id bigint, seq string")
-    assert store.consensus(nodes).first().consensus == "ACGN" or store.consensus(nodes).first().consensus == "ACGT"
+    found = store.consensus(nodes).first()
+    assert (found.consensus, found.qual) == ("ACGN", "...#") or (found.consensus, found.qual) == ("ACGT", "...-")
 
 
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
