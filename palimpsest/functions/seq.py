@@ -226,13 +226,13 @@ def _entropy(counts: list[Column], total: Column) -> Column:
 
 
 def entropy(s: Column | str) -> Column:
-    """Bits per base of the ACGT composition, over the whole length."""
-    return _entropy([base_count(s, b) for b in "ACGT"], F.length(col(s)))
+    """Bits per base of the ACGT composition, over the whole length; null of an empty string."""
+    return _entropy([base_count(s, b) for b in "ACGT"], F.nullif(F.length(col(s)), F.lit(0)))
 
 
 def dominance(s: Column | str) -> Column:
-    """Share of the most frequent base."""
-    return F.greatest(*[base_count(s, b) for b in "ACGT"]) / F.length(col(s))
+    """Share of the most frequent base; null of an empty string."""
+    return F.greatest(*[base_count(s, b) for b in "ACGT"]) / F.nullif(F.length(col(s)), F.lit(0))
 
 
 def worst_window(s: Column | str, size: int = 20) -> Column:

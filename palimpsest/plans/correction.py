@@ -276,10 +276,10 @@ def deaminated_keys(spark, sf_dir):
 
 
 @query(f"""{_DEAM}, c AS MATERIALIZED (SELECT {CANON} AS canon, count(*) AS n FROM d GROUP BY 1),
-p AS (SELECT a.canon AS root, b.canon AS child, a.n AS n_root, b.n AS n_child, list_filter(range(0, length(a.canon)), lambda i: substr(a.canon, i + 1, 1) <> substr(b.canon, i + 1, 1)) AS at FROM c a JOIN c b ON left(a.canon, 12) = left(b.canon, 12) AND right(a.canon, 12) = right(b.canon, 12) AND length(a.canon) = length(b.canon) AND a.n >= 5 * b.n),
-q AS (SELECT *, n_child * ln(0.1 / 0.5) + n_root * ln(0.9 / 0.5) + (len(at) - 1) * ln(0.1 / 0.5) AS lrt FROM p WHERE len(at) BETWEEN 3 AND 8 AND len(list_filter(at, lambda i: NOT ({_likely("i", "length(root)")}) OR (substr(root, i + 1, 1) || substr(child, i + 1, 1)) NOT IN (CASE WHEN i < length(root) // 2 THEN 'CT' ELSE 'GA' END, CASE WHEN i < length(root) // 2 THEN 'TC' ELSE 'AG' END))) = 0),
+p AS (SELECT a.canon AS root, b.canon AS child, a.n AS n_root, b.n AS n_child, list_filter(range(0, length(a.canon)), lambda i: substr(a.canon, i + 1, 1) <> substr(b.canon, i + 1, 1)) AS mm FROM c a JOIN c b ON left(a.canon, 12) = left(b.canon, 12) AND right(a.canon, 12) = right(b.canon, 12) AND length(a.canon) = length(b.canon) AND a.n >= 5 * b.n),
+q AS (SELECT *, n_child * ln(0.1 / 0.5) + n_root * ln(0.9 / 0.5) + (len(mm) - 1) * ln(0.1 / 0.5) AS lrt FROM p WHERE len(mm) BETWEEN 3 AND 8 AND len(list_filter(mm, lambda i: NOT ({_likely("i", "length(root)")}) OR (substr(root, i + 1, 1) || substr(child, i + 1, 1)) NOT IN (CASE WHEN i < length(root) // 2 THEN 'CT' ELSE 'GA' END, CASE WHEN i < length(root) // 2 THEN 'TC' ELSE 'AG' END))) = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY n_root DESC, root) AS nth FROM q WHERE lrt > ln(10) AND root NOT IN (SELECT child FROM q WHERE lrt > ln(10)))
-SELECT child, root, len(at)::INT AS h, round(lrt, 6) AS lrt FROM r WHERE nth = 1""")
+SELECT child, root, len(mm)::INT AS h, round(lrt, 6) AS lrt FROM r WHERE nth = 1""")
 def deaminated_merge(spark, sf_dir):
     """Clusters merged over three to eight deaminated places. In a whole corpus nearly every base recurs
     at its place in some other bundle, so that veto is tested on a small table."""

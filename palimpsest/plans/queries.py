@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
 from palimpsest.functions.derived import QUALITY_SQL, quality, rc_sql, reads
-from palimpsest.operators import damage, dedup, graph, merge, sorting
+from palimpsest.operators import damage, dedup, graph, sorting
 from palimpsest.operators.tables import global_rank, written
 from palimpsest.plans.base import CANON, DAMAGE, ORACLES, QUERIES, RC, R, query
 
@@ -372,27 +372,10 @@ def posterior_fraction(spark, sf_dir):
 # ---- Pairs and graph
 
 
-def mates(spark, sf_dir):
-    """Mates of 40 bases from both ends of full reads, with qualities."""
-    full = reads(spark, sf_dir).filter(F.length("seq") == 60).withColumn("qual", quality())
-    return full.select("ord", F.concat(F.lit("@read_"), F.col("ord"), F.lit("/1")).alias("header"), F.left("seq", F.lit(40)).alias("seq1"), F.left("qual", F.lit(40)).alias("qual1"), F.left(S.revcomp("seq"), F.lit(40)).alias("seq2"), F.left(F.reverse("qual"), F.lit(40)).alias("qual2"))
-
-
-@query(f"{R}, p AS (SELECT substr(seq, 21, 20) AS x FROM reads WHERE length(seq) = 60), e AS (SELECT x, unnest(range(1, 21)) AS i FROM p), a AS (SELECT i - 1 AS f, 20 - i AS r, substr(x, i, 1) AS b FROM e) SELECT 'fwd' AS strand, f::INT AS pos, b AS b1, b AS b2, count(*) AS n FROM a GROUP BY ALL UNION ALL SELECT 'rev', r::INT, b, b, count(*) FROM a GROUP BY ALL UNION ALL SELECT 'all', NULL, b, b, count(*) FROM a GROUP BY ALL")
-def overlap_subst(spark, sf_dir):
-    pairs = mates(spark, sf_dir).select(F.substring("seq1", 21, 20).alias("left"), F.left(S.revcomp("seq2"), F.lit(20)).alias("right"))
-    return merge.substitution_tensor(pairs)
-
-
-@query()
-def merge_overlap(spark, sf_dir):
-    return merge.merge_pairs(mates(spark, sf_dir))
-
-
 @query()
 def extend_walk(spark, sf_dir):
     rows = reads(spark, sf_dir).select("ord", "seq")
-    return graph.extend(rows, written(graph.kmer_edges(rows), "graph"), most=32).select("ord", "left", "right", F.length("extended").alias("size"))
+    return graph.extend(rows, written(graph.kmer_edges(rows), "graph")).select("ord", "left", "right", F.length("extended").alias("size"))
 
 
 @query()
@@ -408,4 +391,4 @@ def stub_detection(spark, sf_dir):
     return damage.enriched_stubs(damage.hexamers(stubbed))
 
 
-from palimpsest.plans import correction  # noqa: E402, F401
+from palimpsest.plans import correction, pairs, profiles  # noqa: E402, F401

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.operators import damage, dedup, errors, generate, graph, merge, sorting, store
+from palimpsest.operators import damage, dedup, errors, generate, graph, merge, profile, sorting, store
 from palimpsest.sources import fastq
 from palimpsest.streaming import counts
 
@@ -202,6 +202,149 @@ def test_extension_walks_a_genome(spark):
         assert r.extended in genome and len(r.right) == 40 and len(r.left) >= 20
 
 
+def test_walks_from_inner_anchors(spark):
+    """Serial walks over a dictionary of the same edges, from the last k-mer that adds bases."""
+    import random
+
+    rng, k = random.Random(6), 7
+    genome = "".join(rng.choice("ACGT") for _ in range(160))
+    seqs = [genome[i : i + 30] for i in range(0, 130, 2)] * 2
+    seqs += [s[:-2] + "AC" for s in seqs[3:20]]  # ends that no other read supports
+    rows = frame(spark, seqs)
+    edges = graph.kmer_edges(rows, k)
+    steps = {r.node: (r.base, r.next) for r in graph.successors(edges, k).collect()}
+
+    def walk(node, most=12):
+        out = ""
+        while node in steps and len(out) < most:
+            base, node = steps[node]
+            out += base
+        return out
+
+    def side(s):
+        for back in range(len(s) - k + 1):
+            more = walk(s[len(s) - k - back : len(s) - back], 12 + back)[back:]
+            if more:
+                return more
+        return ""
+
+    found = {r.ord: (r.left, r.right) for r in graph.extend(rows, edges, k, most=12).collect()}
+    assert found == {i: (rc(side(rc(s))), side(s)) for i, s in enumerate(seqs)}
+    assert any(side(s) and not walk(s[-k:]) for s in seqs)
+
+
+def serial_overlap(x, qx, y, qy, o):
+    """The rules of merge.overlaps for one pair, one place at a time: phase, overlap, begin in y."""
+    low = lambda i, j: min(ord(qx[i]), ord(qy[j])) - 33
+    unlike = lambda a, b: a != b and "N" not in (a, b)
+
+    def find(s, adapter, first, most, size):
+        want = adapter[:size]
+        for i in range(first, len(s) - len(want) + 1):
+            if sum(s[i + j] != w for j, w in enumerate(want)) <= most:
+                return i
+        return -1
+
+    def fits(k, rate):
+        at = len(y) - k
+        return k >= o.min_overlap and at >= 0 and k <= len(x) and sum(low(i, at + i) / 30 for i in range(k) if unlike(x[i], y[at + i])) / k <= rate
+
+    p1, p2 = find(x, o.adapter1, o.min_overlap, 2, 12), find(y, rc(o.adapter2[:12]), 0, 2, 12)
+    ov2 = len(y) - p2 - 12 if p2 >= 0 else -1
+    good = [k for k in (p1, ov2) if k >= o.min_overlap]
+    if good:
+        k = p1 if len(good) == 2 and abs(p1 - ov2) <= 2 else min(good)
+        if k <= len(y):
+            return 0, k, len(y) - k
+    for size, most, share in ((8, 1, 1.0), (6, 0, 0.6)):
+        k = find(x, o.adapter1, o.min_overlap, most, size)
+        if fits(k, o.max_mm_rate * share):
+            return 2, k, len(y) - k
+    for t in range(5, 0, -1):
+        if x.endswith(o.adapter1[:t]):
+            if fits(len(x) - t, o.max_mm_rate * 0.5):
+                return 3, len(x) - t, len(y) - len(x) + t
+            break
+    best, grace, total = -1, 0, 0.0
+    for k in range(1, min(len(x), len(y)) + 1):
+        total += low(k - 1, k - 1) / 30 if unlike(x[k - 1], y[k - 1]) else 0
+        if k >= o.min_overlap:
+            if total / k <= 0.10:
+                best, grace = k, 0
+            elif best >= 0:
+                grace += 1
+                if grace >= 4:
+                    break
+    if best >= 0:
+        return 4, best, 0
+    for k in range(o.min_overlap, min(len(x), len(y)) + 1):
+        misses = sum(unlike(a, b) for a, b in zip(x[len(x) - k :], y))
+        if misses / k <= o.max_mm_rate:
+            best = k
+        elif best >= 0 and misses - int(best * o.max_mm_rate) >= 3:
+            break
+    return (5, best, 0) if best >= 0 else (-1, 0, 0)
+
+
+def test_overlaps_are_those_of_one_pair_at_a_time():
+    import random
+
+    import numpy as np
+
+    rng, o = random.Random(12), merge.Options()
+    seen = set()
+    for _ in range(60):
+        la, lb, pairs = rng.randint(30, 60), rng.randint(30, 60), []
+        for _ in range(20):
+            insert = "".join(rng.choice("ACGT") for _ in range(rng.choice([12, 20, rng.randint(25, 58), la - rng.randint(1, 8), 80])))
+            one, two = (insert + o.adapter1 * 3)[:la], (rc(insert) + o.adapter2 * 3)[:lb]
+            noise = lambda s: "".join(rng.choice("ACGTN") if rng.random() < 0.04 else c for c in s)
+            qual = lambda n: "".join(chr(33 + rng.randint(2, 40)) for _ in range(n))
+            pairs.append((noise(one), qual(la), rc(noise(two)), qual(lb)))
+        grid = lambda j: np.array([list(p[j].encode()) for p in pairs], np.uint8)
+        got = merge.overlaps(grid(0), grid(1).astype(int) - 33, grid(2), grid(3).astype(int) - 33, o)
+        want = [serial_overlap(*p, o) for p in pairs]
+        assert list(zip(*(x.tolist() for x in got))) == [(p, k, at if p >= 0 else 0) for p, k, at in want]
+        seen |= {p for p, _, _ in want}
+    assert seen == {-1, 0, 2, 3, 4, 5}
+
+
+def test_models_round_trip_and_guard_their_input(spark, tmp_path):
+    rows = frame(spark, ["ACGTACGT", "TTTTACGA"])
+    p = damage.Profile(0.2, 0.3, 0.1, 0.4, 0.02, 0.03, mask=(True, False))
+    lods = spark.createDataFrame([(0, 1, 5, 0.5, -0.5)], "bin int, pos int, end int, lod_hit double, lod_ref double")
+    of = profile.digest(rows)
+    assert of == profile.digest(rows.orderBy(F.desc("ord"))) != profile.digest(rows.limit(1))
+    profile.save_model(spark, f"{tmp_path}/m", p, of, 0.25, lods)
+    assert profile.load_model(spark, f"{tmp_path}/m", of) == (p, 0.25)
+    assert spark.read.parquet(f"{tmp_path}/m/lods").collect() == lods.collect()
+    with pytest.raises(ValueError, match="another input"):
+        profile.load_model(spark, f"{tmp_path}/m", "x")
+    assert profile.load_model(spark, f"{tmp_path}/m", "x", override=True)[0] == p
+    table = profile.profile_table(profile.end_counts(rows), p)
+    profile.write_tsv(table, f"{tmp_path}/tsv", "pos")
+    lines = "".join(x.read_text() for x in sorted((tmp_path / "tsv").glob("part-*"))).splitlines()
+    assert lines[0].split("\t")[:3] == ["pos", "end5", "freq5"] and len(lines) == 1 + table.count()
+    profile.write_cluster_tsv(dedup.cluster_table(dedup.deduplicate(rows)), f"{tmp_path}/clusters")
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/clusters").count() == 2
+
+
+def test_thresholds_and_fits():
+    import numpy as np
+
+    assert profile.split_threshold(0.0, "detected", 0.5) == 0 and profile.split_threshold(0.0, "detected", 0.2) > 1.3
+    assert profile.split_threshold(0.0, "low_abundance", 0.01, 2.5) == 2.5 and profile.split_threshold(0.0, "abstain", 0.0) == math.inf
+    assert profile.dedup_threshold(0.0, 0.15) == 0 and profile.dedup_threshold(0.0, 0.29) < 0
+    places = np.arange(15)
+    d, rate, background = profile.decay_by_grid(0.02 + 0.3 * np.exp(-0.4335 * places), np.full(15, 1000))
+    assert abs(d - 0.3) < 0.02 and abs(rate - 0.4335) < 0.04 and abs(background - 0.02) < 0.005
+    assert profile.decay_by_grid(np.zeros(15), np.r_[np.zeros(13), 1, 1])[0] == -1
+    assert profile.mask_from_model(damage.Profile(0.2, 0.5, 0.1, 0.5), 0.05, 4) == (True, True, True, False)
+    assert merge.resolve_library(None, "ss", "ds", 0.9)[1] and merge.resolve_library("ds", "ss", "ds", 0.9) == ("ds", None)
+    with pytest.raises(ValueError):
+        merge.resolve_library(None, "ss", "ds", 0.9, strict=True)
+
+
 def test_merge_finds_the_insert(spark):
     import random
 
@@ -214,7 +357,7 @@ def test_merge_finds_the_insert(spark):
     rows = spark.createDataFrame([(i, f"@r{i}/1", a, a and "I" * len(a), b, "I" * len(b)) for i, (a, b) in enumerate(mates)], "ord bigint, header string, seq1 string, qual1 string, seq2 string, qual2 string")
     found = {r.ord: r for r in merge.merge_pairs(rows).collect()}
     assert (found[0].route, found[0].phase, found[0].seq, found[0].header) == ("merged", 0, short, "@r0")
-    assert (found[1].route, found[1].phase, found[1].seq) == ("merged", 2, long)
+    assert (found[1].route, found[1].phase, found[1].seq) == ("merged", 5, long)
     assert set(found[0].qual) == {chr(60 + 33)}
     assert found[2].route == "unmerged" and found[3].route == "dropped"
 
