@@ -1,16 +1,20 @@
-"""Byte-level BPE by merge replay over a corpus slice, and decoding.
-
-A task gathers the distinct words (matches of the split pattern) of a slice of the corpus, lays
-their symbols end to end, and keeps an inverted index from the pair to be merged to the positions
-where it stands. Ranks are taken in order, each applied to all words at once; only the pairs that
-touch a merged position are looked up again. Texts are then written from the words' ids. Slices
-are independent, so nothing is shuffled, and memory is bounded by the slice size.
+"""Byte-level BPE by merge replay over the corpus vocabulary, and decoding.
+
+Words (matches of the split pattern) are counted over the whole corpus. The vocabulary, the most
+frequent words up to a fixed number, is dealt into shards; a shard lays the symbols of all its words
+end to end, and keeps an inverted index from the pairs to be merged (under the token that they make)
+to the positions where they stand. Ranks are taken in order, each applied to all words at once; only
+the pairs that touch a merged position are looked up again. So every merge is replayed once for the
+corpus, whatever the number of documents. The ids of the vocabulary, of bounded size, are broadcast
+and joined back to the texts; words that are rarer than all of them are replayed by slices of the
+corpus, in the same way, where they occur.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.exchange import released
+from palimpsest.llm.exchange import released, written
 
-#: Bytes of text whose words are replayed together, and most words remembered between slices.
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 300_000
+#: Bytes of text whose rare words are replayed together, and most of them remembered between slices.
+SLICE_BYTES, CACHE_WORDS = 4 << 20, 200_000
+#: Words of the corpus vocabulary at most, bytes of the longest, and words of a shard.
+VOCABULARY, LONGEST, SHARD = 1 << 17, 64, 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -127,32 +133,80 @@ class MergeReplay:
         return [ids[4 * a : 4 * b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)]
 
 
-def encode_slice(texts: list[str], split, model: MergeReplay, cache: dict[str, bytes]) -> list[bytes]:
+def encode_slice(texts: list[str], split, model: MergeReplay, known: dict[str, bytes], cache: dict[str, bytes]) -> list[bytes]:
     words = [split(t) for t in texts]
-    new = list(set().union(*words).difference(cache))
+    new = list(set().union(*words).difference(known, cache))
     cache.update(zip(new, model.replay([w.encode() for w in new]), strict=True))
-    return [b"".join(map(cache.__getitem__, w)) for w in words]
+    find, rare = known.get, cache.__getitem__
+    return [b"".join([find(x) or rare(x) for x in w]) for w in words]
+
+
+def vocabulary(rows: DataFrame, pattern: str, most: int = VOCABULARY) -> DataFrame:
+    """(word, n) of the most frequent words of all texts (column _text), at most `most` of them: all words
+    more frequent than the first count at which there would be more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, tally, size = regex.compile(pattern).findall, Counter(), 0
+
+        def told() -> pa.RecordBatch:
+            short = [(w, n) for w, n in tally.items() if len(w) <= LONGEST and len(w.encode()) <= LONGEST]
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["word", "n"])
+            tally.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                raw = text.as_py()
+                tally.update(split(raw))
+                size += len(raw)
+                if size >= SLICE_BYTES:
+                    yield told()
+                    size = 0
+        yield told()
+        released()
+
+    counts = written(rows.select("_text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+    sizes = counts.groupBy("n").agg(F.count("*").alias("k")).toPandas().sort_values("n", ascending=False)  # few: twice the root of the words at most
+    fits = sizes["n"].to_numpy()[sizes["k"].cumsum().to_numpy() <= most]
+    return counts.filter(F.col("n") >= int(fits[-1])) if len(fits) else counts.limit(0)
+
+
+def replayed(words: DataFrame, shared, shard: int = SHARD) -> dict[str, bytes]:
+    """The ids of each word (column word): a shard of the vocabulary is one replay."""
+    n = max(1, -(-words.count() // shard))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = [w for batch in batches for w in batch.column(0).to_pylist()]
+        if each:
+            ids = MergeReplay(*shared.value).replay([w.encode() for w in each])
+            yield pa.RecordBatch.from_arrays([pa.array(each, pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    found = words.select("word").repartition(n, "word").mapInArrow(run, "word string, ids binary").toArrow()  # VOCABULARY words at most
+    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
 
 
 def _fields(df: DataFrame, columns: tuple[str, ...]) -> list[str]:
     return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keys: tuple[str, ...] = ("doc_id",), slice_bytes: int = SLICE_BYTES, most: int = VOCABULARY) -> DataFrame:
     """keys and ids: the token ids of each whole text as little-endian 32-bit integers, as the
     rank file's own library gives them without special tokens. A null text counts as empty and
     has no ids. Repeated rows, null keys and other columns do no harm; keys must not be named ids."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pair_table(ranks)))  # bounded by the vocabulary
     rows = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    common = docs.sparkSession.sparkContext.broadcast(replayed(vocabulary(rows, pattern, most), shared))  # VOCABULARY words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        model, split, cache = MergeReplay(*shared.value), regex.compile(pattern).findall, {}
+        model, split, known, cache = MergeReplay(*shared.value), regex.compile(pattern).findall, common.value, {}
         held: list[pa.RecordBatch] = []
 
         def coded() -> Iterator[pa.RecordBatch]:
-            ids, at = encode_slice([t for p in held for t in p.column(len(keys)).to_pylist()], split, model, cache), 0
+            ids, at = encode_slice([t for p in held for t in p.column(len(keys)).to_pylist()], split, model, known, cache), 0
             for p in held:
                 yield pa.RecordBatch.from_arrays([*p.columns[: len(keys)], pa.array(ids[at : at + p.num_rows], pa.binary())], names=[*keys, "ids"])
                 at += p.num_rows

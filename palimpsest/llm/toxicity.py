@@ -1,9 +1,10 @@
 """A counterfactual-regularised toxicity classifier.
 
 Logistic regression over the words of a text and their beginnings. Besides the usual losses it is
-charged for the change of its score when the identity terms of a labelled text are swapped for
-others of the same kind, so that the mention of a group does not move it. Fitting takes a bounded
-sample of labelled rows; scoring is array work on blocks of texts in one Arrow map.
+charged for the change of its score under counterfactuals of the labelled texts, so that the mention
+of a group does not move it: the identity terms of a text are swapped for others of the same kind,
+in several ways, and a mention is put into each text as it would be into a neutral sentence. Fitting
+takes a bounded sample of labelled rows; scoring is array work on blocks of texts in one Arrow map.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SWAP, RIDGE, LASSO = 1.0, 1e-5, 5e-5
 #: Training ends where no entry of the gradient exceeds this, or after so many steps.
 TOLERANCE, MAX_STEPS = 1e-5, 5000
 
+#: Ways in which the terms of a text are swapped.
+SHIFTS = (1, 2)
 #: Terms of one kind are swapped for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "people"),
@@ -52,9 +55,11 @@ class Model:
     bias: float
 
 
-def swap_terms(text: str, shift: int = 1) -> str:
+def swap_terms(text: str, shift: int = 1, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> str:
     """text with each identity term replaced by the one shift places on in its kind."""
-    swap = {t: kind[(i + shift) % len(kind)] for kind in IDENTITY for i, t in enumerate(kind)}
+    swap = {t: kind[(i + shift) % len(kind)] for kind in terms for i, t in enumerate(kind)}
+    if not swap:
+        return text
     return re.sub(r"\b(" + "|".join(swap) + r")\b", lambda m: swap[m[0]], text)
 
 
@@ -98,8 +103,8 @@ def sample_rows(labelled: DataFrame, label: str, key: str, most: int = MAX_ROWS)
     return labelled.filter(((F.col(label) == 1) & (unit < share(1))) | ((F.col(label) == 0) & (unit < share(0)))), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """Learn from the docs that labels covers. Labels other than 0 and 1 (null too) are left out;
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    """Learn from the docs that labels covers; terms are the identity terms by kind (lower case). Labels other than 0 and 1 (null too) are left out;
     with only one class, or without labels, every text gets the share of label 1 as its score."""
     labelled = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).filter("_key is not null")
     chosen, counts = sample_rows(labelled, "_y", "_key", max_rows)
@@ -136,22 +141,33 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             for at, block in blocks(lowered(batch, 1), 8 << 20):
                 own = _hits(block, roller, keys)
                 texts = [block.text(i).decode(errors="replace") for i in range(len(block))]
-                turned = [swap_terms(t) for t in texts]
-                other = [i for i, (a, b) in enumerate(zip(texts, turned, strict=True)) if a != b]
-                swapped = {i: _hits(next(blocks(pa.array([turned[i]])))[1], roller, keys)[0] for i in other}
-                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + len(block)].astype(np.int32)), pa.array(own, pa.list_(pa.int32())), pa.array([swapped.get(i) for i in range(len(block))], pa.list_(pa.int32()))], names=["y", "f", "g"])
+                turned = [{swap_terms(t, shift, terms) for shift in SHIFTS} - {t} for t in texts]
+                swapped = [[_hits(next(blocks(pa.array([x])))[1], roller, keys)[0] for x in sorted(others)] for others in turned]
+                yield pa.RecordBatch.from_arrays([pa.array(y[at : at + len(block)].astype(np.int32)), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], names=["y", "f", "g"])
 
-    table = rows.mapInArrow(gather, "y int, f array<int>, g array<int>").toPandas()
+    table = rows.mapInArrow(gather, "y int, f array<int>, g array<array<int>>").toPandas()
     y = table["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return Model(np.empty(0, np.uint64), np.empty(0), base)
-    swaps = [(f, g) for f, g in zip(table["f"], table["g"], strict=True) if g is not None]
+    swaps = [(f, g) for f, others in zip(table["f"], table["g"], strict=True) for g in others]
+    swaps += mentions(list(table["f"]), keys, terms)
     weights, bias = _train(list(table["f"]), y, swaps, len(keys))
     bias += base - float(np.log(y.sum() / (len(y) - y.sum())))  # classes were sampled unevenly
     used = np.abs(weights) > 0
     return Model(keys[used], weights[used], bias)
 
 
+def mentions(rows: list, keys: np.ndarray, terms: tuple[tuple[str, ...], ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text (places of its features among keys) itself, and itself with one of the terms put in;
+    left out where the term has no feature that the text lacks."""
+    every = [t for kind in terms for t in kind]
+    if not every:
+        return []
+    held = [np.array(h, np.int64) for h in _hits(next(blocks(pa.array(every)))[1], Roller(3), keys)]
+    pairs = [(np.asarray(f, np.int64), held[int(np.sum(f)) % len(every)]) for f in rows]
+    return [(f, np.union1d(f, h)) for f, h in pairs if len(np.setdiff1d(h, f))]
+
+
 def _hits(block: Block, roller: Roller, wanted: np.ndarray) -> list[list[int]]:
     keys, owner, at = _found(block, roller, wanted)
     order = np.lexsort((at, owner))

@@ -51,6 +51,41 @@ def empty(df):
     return df.limit(0)
 
 
+def rows_of(df):
+    return df.collect()
+
+
+CONTRACT = {
+    "op3_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op4_bpe_replay": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op5_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op6_gif_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op8_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op9_source_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op10_repetition_coverage": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_registered_query_keeps_its_contract(spark, texts, name):
+    found = queries.QUERIES[name](spark, SF)
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) == CONTRACT[name]
+    rows = {r.doc_id: r for r in found.collect()}
+    assert rows.keys() == texts.keys()
+    for i, r in rows.items():
+        raw = (texts[i] or "").encode()
+        if "held_out" in CONTRACT[name]:
+            assert r.held_out == held(i, *{"op3_toxicity": (5, 0), "op5_language_id": (3, 1)}[name]) and 0 <= r.score <= 1
+        if name == "op3_toxicity":
+            assert r.predicted == int(r.score >= 0.5)
+        if name == "op4_bpe_replay":
+            assert r.decoded_sha256 == hashlib.sha256(raw).hexdigest()
+        if name in ("op6_gif_media", "op8_suffix_dedup"):
+            assert r.n_bytes == len(raw)
+        if name == "op9_source_mix":
+            assert r.size == len(WORD.findall(texts[i] or "")) and r.taken <= 3 * r.size
+
+
 # ---- 10 quality
 
 
@@ -171,12 +206,26 @@ def test_merge_replay_on_any_words(tokenizer):
     def run(texts):
         import regex
 
-        got = bpe.encode_slice(texts, regex.compile(pattern).findall, model, {})
+        got = bpe.encode_slice(texts, regex.compile(pattern).findall, model, {}, {})
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(t) for t in texts]
 
     run()
 
 
+@pytest.mark.parametrize("most", [300, bpe.VOCABULARY])
+def test_documents_are_coded_as_the_library_does(spark, documents, texts, most):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = documents.selectExpr("coalesce(text, '') AS _text")
+    common = bpe.vocabulary(rows, P.PATTERN, most).collect()
+    assert 0 < len(common) <= most and len({r.word for r in common}) == len(common)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(documents, ranks, P.PATTERN, most=most).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in texts.items()}
+
+
 # ---- 6 media
 
 
@@ -269,6 +318,34 @@ def test_language(spark, documents, odd):
     assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in rows)
     for r in language.predict(odd, model, keys=("doc_id", "text")).collect():
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    words = {int(k): v for k, v in zip(*model.words, strict=True)}
+    grams = {int(k): v for k, v in zip(*model.grams, strict=True)}
+    roller = language.Roller(4)
+
+    def key(piece, n=0):
+        one = np.frombuffer(piece, np.uint8)
+        got = roller.spans(roller.prefix(one), np.array([0]), np.array([len(one)]))
+        return int((language.mix(got + np.uint64(n)) if n else got)[0])
+
+    shown = {r.doc_id: (r.lang_pred, r.score) for r in rows_of(language.predict(documents, model))}
+    for r in documents.limit(40).collect():  # word by word, place by place
+        total, n = np.zeros(len(model.languages)), 0
+        for w in re.findall(rb"[a-z\x80-\xff]+", (r.text or "").lower().encode()):
+            n += 1
+            if key(w) in words:
+                total += words[key(w)]
+                continue
+            chars = list(w.decode())
+            for i in range(len(chars)):
+                for k in range(language.LONGEST, 0, -1):
+                    if i + k <= len(chars) and key("".join(chars[i : i + k]).encode(), k) in grams:
+                        total += grams[key("".join(chars[i : i + k]).encode(), k)] / language.LONGEST
+                        break
+        if n and any(c.isalpha() for c in r.text):
+            soft = np.exp((total - total.max()) / n * min(n, 20))
+            assert shown[r.doc_id][0] == model.languages[int(total.argmax())] and abs(shown[r.doc_id][1] - soft.max() / soft.sum()) < 1e-6
+        else:
+            assert shown[r.doc_id] == ("und", 0.0)
     nothing = language.fit(empty(documents))
     assert {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
 
@@ -284,6 +361,23 @@ def test_toxicity(spark, documents, odd):
     rows = [r for r in toxicity.score(documents.join(labels, "doc_id"), model, keys=("doc_id", "toxic")).collect() if held(r.doc_id, 5, 0)]
     hits, false = sum(r.toxic == 1 and r.score >= 0.5 for r in rows), sum(r.toxic == 0 and r.score >= 0.5 for r in rows)
     assert hits >= 0.8 * sum(r.toxic == 1 for r in rows) and false <= 0.01 * len(rows)
+    terms = [t for kind in toxicity.IDENTITY for t in kind]
+    clean = documents.join(labels, "doc_id").filter("toxic = 0").filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    mention = F.element_at(F.array(*map(F.lit, terms)), (F.col("doc_id") % len(terms) + 1).cast("int"))
+    named = clean.withColumn("text", F.concat("text", F.lit(" my "), mention, F.lit(" neighbours came along")))
+    assert toxicity.score(named, model).filter("score >= 0.5").count() <= 0.002 * named.count()  # neutral mentions
+    some = documents.filter("doc_id < 60").collect()
+    weight, roller = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True)), toxicity.Roller(3)
+    shown = {r.doc_id: r.score for r in toxicity.score(documents.filter("doc_id < 60"), model).collect()}
+    for r in some:  # by words, one at a time
+        keys = set()
+        for w in re.findall(rb"[a-z\x80-\xff]+", (r.text or "").lower().encode()):
+            one = np.frombuffer(w, np.uint8)
+            prefix = roller.prefix(one)
+            keys.add(int(roller.spans(prefix, np.array([0]), np.array([len(w)]))[0]))
+            keys |= {int(toxicity.mix(roller.spans(prefix, np.array([0]), np.array([k])) + np.uint64(k))[0]) for k in toxicity.STARTS if len(w) >= k}
+        want = 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(weight.get(k, 0) for k in keys)))))
+        assert abs(shown[r.doc_id] - want) < 1e-9
     got = toxicity.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(odd, toxicity.fit(documents, empty(labels))).agg(F.max("score")).first()[0] < 0.01
