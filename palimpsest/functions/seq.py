@@ -161,6 +161,17 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.size(mismatches(a, b))
 
 
+def hamming_capped(a: Column | str, b: Column | str, cap: int) -> Column:
+    """The number of mismatches, or cap + 1 for all that exceed cap."""
+    return F.least(hamming(a, b), F.lit(cap + 1))
+
+
+def first_mismatches(a: Column | str, b: Column | str, most: int = 2) -> Column:
+    """mismatches() where there are at most `most` of them, else null."""
+    found = mismatches(a, b)
+    return F.when(F.size(found) <= most, found)
+
+
 def damage_pair(a: Column, b: Column) -> Column:
     """Substitutions that deamination makes, on either strand."""
     return F.concat(a, b).isin("CT", "TC", "GA", "AG")

@@ -78,6 +78,18 @@ def joint_cells(reads: DataFrame) -> DataFrame:
     return cells.groupBy("bin", "u5", "u3", "v5", "v3").agg(F.count("*").alias("n"))
 
 
+def joint_codes(reads: DataFrame, size: int = 6) -> DataFrame:
+    """(bin, channel, five, three, n): reads by length bin and by which of the first and last `size` places
+    look damaged, as strings of 0 and 1 from the ends inward: 2**(2 size) cells. Channel ds has T at the
+    5' and A at the 3' end, ss has T at both."""
+    n, s = F.length("seq"), F.col("seq")
+    five = F.translate(S.part(s, 1, size), "TACGN", "10000")
+    back = F.reverse(S.part(s, n - size + 1, size))
+    channels = F.array(F.struct(F.lit("ds").alias("channel"), F.translate(back, "ATCGN", "10000").alias("three")), F.struct(F.lit("ss").alias("channel"), F.translate(back, "TACGN", "10000").alias("three")))
+    each = reads.filter(n >= 30).select(S.log_length_bin(n, 5).alias("bin"), five.alias("five"), F.inline(channels))
+    return each.groupBy("bin", "channel", "five", "three").agg(F.count("*").alias("n"))
+
+
 def covariance_contrast(cells: DataFrame) -> DataFrame:
     """By bin: Cov(U5, U3) - Cov(V5, V3), its standard error, z, and the odds ratio of the ends.
     Damage hits both ends of one molecule, so the contrast is positive in ancient libraries."""

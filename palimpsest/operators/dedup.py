@@ -14,6 +14,11 @@ def length_gate(reads: DataFrame, least: int = 16, most: int = 0) -> DataFrame:
     return reads.filter((n >= least) & (n <= most)) if most else reads.filter(n >= least)
 
 
+def head(reads: DataFrame, n: int) -> DataFrame:
+    """The first n reads by ordinal, whatever the order of rows."""
+    return reads.filter(F.col("ord") < n)
+
+
 def deduplicate(reads: DataFrame, both_strands: bool = True, five: int = 0, three: int = 0, single: bool = False, quality: str | None = None) -> DataFrame:
     """A row for each molecule: canon, n, fwd_n, rep_ord, dmg_score, first_ord, seq, and qual if a
     column of qualities is named.

@@ -57,6 +57,11 @@ def write_cluster_tsv(table: DataFrame, path: str) -> None:
     table.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
 
 
+def write_jsonl(table: DataFrame, path: str) -> None:
+    """A count table as one JSON object a line."""
+    table.write.json(path)
+
+
 def profile_json(table: DataFrame, profile: Profile, level: str = "summary") -> DataFrame:
     """One row, json: the fitted profile; with level standard or full its places, with full their counts."""
     own = F.struct(*(F.lit(v).alias(k) for k, v in asdict(profile).items() if k != "mask"), F.array(*map(F.lit, profile.mask)).cast("array<boolean>").alias("mask"))

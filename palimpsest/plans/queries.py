@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import seq as S
 from palimpsest.functions.derived import QUALITY_SQL, quality, rc_sql, reads
 from palimpsest.operators import damage, dedup, graph, sorting
-from palimpsest.operators.tables import global_rank, written
+from palimpsest.operators.tables import global_rank, shared_folder, written
+from palimpsest.sources import fastq
 from palimpsest.plans.base import CANON, DAMAGE, ORACLES, QUERIES, RC, R, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -391,4 +393,87 @@ def stub_detection(spark, sf_dir):
     return damage.enriched_stubs(damage.hexamers(stubbed))
 
 
+# ---- More scalar functions
+
+
+_NEXT_READ = f"{R}, p AS (SELECT DISTINCT a.seq AS a, b.seq AS b FROM reads a JOIN reads b ON b.ord = a.ord + 1 WHERE length(a.seq) = length(b.seq))"
+
+
+def neighbours(spark, sf_dir):
+    rows = reads(spark, sf_dir)
+    nxt = rows.select((F.col("ord") - 1).alias("ord"), F.col("seq").alias("b"))
+    return rows.select("ord", F.col("seq").alias("a")).join(nxt, "ord").filter(F.length("a") == F.length("b")).select("a", "b").distinct()
+
+
+@query(f"{_NEXT_READ}, m AS (SELECT a, b, list_filter(range(0, length(a)), lambda i: substr(a, i + 1, 1) <> substr(b, i + 1, 1)) AS o FROM p) SELECT a, b, least(length(a) * 0 + hamming(a, b), 9)::INT AS capped, CASE WHEN len(o) <= 40 THEN array_to_string([i::VARCHAR || substr(a, i + 1, 1) || substr(b, i + 1, 1) for i in o], ',') END AS changes FROM m")
+def first_mismatches(spark, sf_dir):
+    changes = F.array_join(F.transform(S.first_mismatches("a", "b", 40), lambda m: F.concat(m["pos"].cast("string"), m["a"], m["b"])), ",")
+    return neighbours(spark, sf_dir).select("a", "b", S.hamming_capped("a", "b", 8).alias("capped"), changes.alias("changes"))
+
+
+@query(f"{R} SELECT ord, least(40, length(seq))::INT AS five, least(35, length(seq) - least(40, length(seq)))::INT AS three FROM reads")
+def zone_sizes(spark, sf_dir):
+    five, three = S.zones("seq", 40, 35)
+    return reads(spark, sf_dir).select("ord", five.alias("five"), three.alias("three"))
+
+
+@query(f"{R}, k AS (SELECT ord, length(seq) AS n, length(seq) - length(replace(seq, 'G', '')) AS k FROM reads) SELECT ord, round(2 * ((CASE WHEN k > 0 THEN k * ln(k / n / 0.25) ELSE 0 END) + (CASE WHEN n - k > 0 THEN (n - k) * ln((1 - k / n) / 0.75) ELSE 0 END)), 6) AS lrt FROM k")
+def binomial_lrt(spark, sf_dir):
+    return reads(spark, sf_dir).select("ord", F.round(S.binomial_lrt(S.base_count("seq", "G"), F.length("seq"), 0.25), 6).alias("lrt"))
+
+
+@query(f"{R}, c AS (SELECT ord, left(seq, 1) AS b1, CASE WHEN ord % 5 = 0 THEN 'N' ELSE right(seq, 1) END AS b2, (ord % 37 + 2)::INT AS q1, (ord % 31 + 2)::INT AS q2 FROM reads) SELECT ord, CASE WHEN b1 = b2 OR b2 = 'N' THEN b1 WHEN q1 >= q2 THEN b1 ELSE b2 END AS base, CASE WHEN b1 = b2 OR b2 = 'N' THEN least(q1 + q2, 60) ELSE greatest(abs(q1 - q2), 1) END AS q FROM c")
+def consensus_calls(spark, sf_dir):
+    o = F.col("ord")
+    b2 = F.when(o % 5 == 0, "N").otherwise(F.right("seq", F.lit(1)))
+    found = S.agreed(F.left("seq", F.lit(1)), (o % 37 + 2).cast("int"), b2, (o % 31 + 2).cast("int"))
+    return reads(spark, sf_dir).select("ord", found["base"].alias("base"), found["q"].alias("q"))
+
+
+@query(f"{R} SELECT ord, length(seq)::INT AS size FROM reads WHERE ord < 50 * 1048576 AND length(seq) BETWEEN 40 AND 59")
+def gated_head(spark, sf_dir):
+    """Reads of the first fifty documents by ordinal whose length is within bounds."""
+    return dedup.length_gate(dedup.head(reads(spark, sf_dir), 50 << 20), 40, 59).select("ord", F.length("seq").alias("size"))
+
+
+@query(f"{R}, c AS (SELECT greatest(0, least(4, floor((ln(length(seq)) - ln(30.0)) / ((ln(501.0) - ln(30.0)) / 5))))::INT AS bin, translate(left(seq, 6), 'TACGN', '10000') AS five, reverse(right(seq, 6)) AS back FROM reads) SELECT bin, 'ds' AS channel, five, translate(back, 'ATCGN', '10000') AS three, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT bin, 'ss', five, translate(back, 'TACGN', '10000'), count(*) FROM c GROUP BY ALL")
+def joint_codes(spark, sf_dir):
+    return damage.joint_codes(reads(spark, sf_dir))
+
+
+# ---- Files
+
+
+def named_reads(spark, sf_dir):
+    return reads(spark, sf_dir).select("ord", F.concat(F.lit("@read_"), "ord").alias("header"), "seq", F.lit("+").alias("plus"), quality().alias("qual"))
+
+
+def filed(spark, rows: DataFrame, ending: str = "") -> DataFrame:
+    """rows, written as FASTQ to the shared folder and read back."""
+    folder = f"{shared_folder(spark)}/fastq-{uuid.uuid4().hex}{ending}"
+    fastq.write_fastq(rows, folder)
+    return fastq.read_fastq(spark, *fastq.parts_of(spark, folder))
+
+
+_FILED = f"{R} SELECT 'read_' || ord AS read_id, seq, {QUALITY_SQL} AS qual, row_number() OVER (ORDER BY ord) AS rank FROM reads"
+
+
+@query(_FILED)
+def fastq_plain(spark, sf_dir):
+    return global_rank(filed(spark, named_reads(spark, sf_dir)), F.col("ord")).select("read_id", "seq", "qual", "rank")
+
+
+@query(_FILED)
+def fastq_gzip(spark, sf_dir):
+    return global_rank(filed(spark, named_reads(spark, sf_dir), ".fq.gz"), F.col("ord")).select("read_id", "seq", "qual", "rank")
+
+
+@query(f"{R} SELECT '@read_' || ord AS header, seq AS seq1, {RC} AS seq2 FROM reads WHERE ord % 4 = 0")
+def fastq_pairs(spark, sf_dir):
+    """Mates by position in two streams of one order."""
+    some = named_reads(spark, sf_dir).filter("ord % 4 = 0").coalesce(1)
+    other = some.withColumn("seq", S.revcomp("seq"))
+    return fastq.paired(filed(spark, some), filed(spark, other)).select("header", "seq1", "seq2")
+
+
 from palimpsest.plans import correction, pairs, profiles  # noqa: E402, F401

@@ -11,7 +11,7 @@ def test_same_as_sql(name, spark, duck, sf):
     assert plain(QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"cluster_grid"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark, sf):
     assert QUERIES[name](spark, sf).count() > 0
 

@@ -420,7 +420,7 @@ def test_truncated_fastq_fails(spark, tmp_path, cut):
 
 def test_adapters_and_names():
     got = fastq.adapters(">a\nACGT\nAA\n>b\nTTTT\n>c\nGG\n")
-    assert got == {"r1": ["ACGTAA", "GG"], "r2": ["TTTT"]}
+    assert got == {"r1": ["ACGTAA", "GG"], "r2": ["TTTT"], "r2_front": ["AAAA"]}
     assert fastq.final_name("x.fq.gz.tmp") == "x.fq.gz" and fastq.final_name("x.fq") == "x.fq"
 
 
@@ -461,3 +461,12 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     counts.accumulate(stream, damage.terminal_counts, f"{tmp_path}/out", f"{tmp_path}/ckpt").awaitTermination()
     got = counts.total(spark, f"{tmp_path}/out", ["pos"]).orderBy("pos").collect()
     assert got == damage.terminal_counts(rows).select(*counts.total(spark, f"{tmp_path}/out", ["pos"]).columns).orderBy("pos").collect()
+
+
+def test_streamed_molecules_are_seen_once(spark, tmp_path):
+    rows = spark.createDataFrame([("ACCC", "2024-01-01 00:00:00"), ("GGGT", "2024-01-01 00:10:00"), ("ACCT", "2024-01-01 00:20:00")], "seq string, at string").selectExpr("seq", "to_timestamp(at) AS ts")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = counts.first_seen(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    query = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.canon for r in spark.sql("SELECT canon FROM seen").collect()) == ["ACCC", "ACCT"]
