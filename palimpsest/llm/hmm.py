@@ -26,8 +26,9 @@ from palimpsest.llm.textblocks import Block, Roller, blocks, totals
 #: Hidden states; words with numbers of their own, at least, and for each root of the number of
 #: training words; passes of Baum-Welch over all training documents.
 STATES, VOCABULARY, GROWTH, PASSES = 8, 16_384, 4, 14
-#: Training cuts longer sequences; sequences advance together up to so many tokens; added counts.
-CUT, BATCH_TOKENS, ADDED, PRIOR = 4096, 1 << 19, 0.1, 50.0
+#: Training takes sequences whole up to so many tokens, and longer ones in pieces of that size, each a
+#: sequence of its own; sequences advance together up to so many tokens; added counts.
+CUT, BATCH_TOKENS, ADDED, PRIOR = 1 << 17, 1 << 19, 0.1, 50.0
 
 
 @dataclass(frozen=True)
