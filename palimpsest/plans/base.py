@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.functions.derived import MUTATED_SQL, READS_SQL, mutated, rc_sql, reads
 from palimpsest.operators import damage, dedup
+from palimpsest.operators.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,19 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLUSTERS = f"{M}, clusters AS (SELECT {CANON} AS canon, count(*) AS n, min(rid) AS first_ord, arg_min(CASE WHEN seq <= {RC} THEN qual ELSE reverse(qual) END, rid) AS qual, count(*) FILTER (seq <= {RC}) AS fwd_n FROM mutated GROUP BY 1)"
+
+
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session share: made once, and again if its files are gone."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key in _KEPT:
+        try:
+            _KEPT[key].limit(1).count()
+            return _KEPT[key]
+        except Exception:  # noqa: BLE001 - whatever the store says of files that were removed
+            pass
+    _KEPT[key] = written(make(), name)
+    return _KEPT[key]

@@ -10,7 +10,7 @@ from palimpsest.functions.derived import rc_sql, reads
 from palimpsest.operators import dedup, errors, store
 from palimpsest.operators.damage import Profile
 from palimpsest.operators.tables import written
-from palimpsest.plans.base import CANON, CLUSTERS, M, R, clusters, query
+from palimpsest.plans.base import CANON, CLUSTERS, R, clusters, kept, query
 
 _THIRDS = "unnest([{'t': 1, 'k': substr(s, 1, size // 3)}, {'t': 2, 'k': substr(s, size // 3 + 1, size // 3)}, {'t': 3, 'k': substr(s, 2 * (size // 3) + 1)}]) AS key"
 _DAMAGED = "((m.a || m.b IN ('CT', 'TC') AND m.pos < 5) OR (m.a || m.b IN ('GA', 'AG') AND m.pos >= size - 5))"
@@ -30,10 +30,23 @@ alone AS (SELECT *, row_number() OVER (PARTITION BY parent, child ORDER BY turne
 singles AS (SELECT parent, child, n_parent, n_child, size, mm[1] AS m FROM alone WHERE nth = 1 AND len(list_filter(mm, lambda m: {_DAMAGED})) = 0)"""
 
 
+def found_clusters(spark, sf_dir) -> DataFrame:
+    return kept(spark, sf_dir, "clusters", lambda: clusters(spark, sf_dir))
+
+
+def found_pairs(spark, sf_dir) -> DataFrame:
+    return kept(spark, sf_dir, "close-pairs", lambda: errors.close_pairs(found_clusters(spark, sf_dir)))
+
+
 def tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Clusters and candidate edges, kept as tables: what follows reads them several times."""
-    held = written(clusters(spark, sf_dir), "clusters")
-    return held, written(errors.candidate_edges(held), "edges")
+    """Clusters and candidate edges, kept as tables."""
+    held = found_clusters(spark, sf_dir)
+    return held, kept(spark, sf_dir, "edges", lambda: errors.candidate_edges(held, pairs=found_pairs(spark, sf_dir)))
+
+
+def found_absorbed(spark, sf_dir) -> DataFrame:
+    held, found = tables(spark, sf_dir)
+    return kept(spark, sf_dir, "absorbed", lambda: errors.absorbed(held, found))
 
 
 def edges(spark, sf_dir) -> DataFrame:
@@ -56,7 +69,7 @@ def hamming2_edges(spark, sf_dir):
 @query(f"{_EDGES} SELECT parent, child, h FROM edges")
 def split_hot_parts(spark, sf_dir):
     """The same edges where every part key of more than two clusters is split by finer keys."""
-    return errors.candidate_edges(written(clusters(spark, sf_dir), "clusters"), errors.Rules(hot_parts=2)).select("parent", "child", "h")
+    return errors.candidate_edges(found_clusters(spark, sf_dir), errors.Rules(hot_parts=2)).select("parent", "child", "h")
 
 
 _QUARTERS = f"{CLUSTERS}, q AS (SELECT canon, length(canon) AS n FROM clusters), p AS (SELECT canon, n, [substr(canon, 1, n // 4), substr(canon, n // 4 + 1, n * 2 // 4 - n // 4), substr(canon, n * 2 // 4 + 1, n * 3 // 4 - n * 2 // 4), substr(canon, n * 3 // 4 + 1)] AS x FROM q)"
@@ -87,7 +100,7 @@ def cross_bundle(spark, sf_dir):
 
 @query(f"{_SINGLES}, k AS (SELECT count(*) FILTER (m.a || m.b IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER (m.a || m.b NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions FROM singles) SELECT transitions, transversions, round(CASE WHEN transversions > 0 THEN transitions / transversions WHEN transitions > 0 THEN 'inf'::DOUBLE ELSE 0 END, 9) AS kappa FROM k")
 def kappa_ratio(spark, sf_dir):
-    found = errors.kappa(errors.close_pairs(written(clusters(spark, sf_dir), "clusters")))
+    found = errors.kappa(found_pairs(spark, sf_dir))
     return found.withColumn("kappa", F.round("kappa", 9))
 
 
@@ -141,8 +154,7 @@ rec AS (SELECT m.pos AS pos, m.b AS alt, count(DISTINCT left(parent, 12) || righ
 w AS (SELECT ts.*, least(reads, n_parent) / n_parent AS p, reads, bundles, fwd_n, n_child * ln(0.1 / 0.5) + n_parent * ln(0.9 / 0.5) AS lrt FROM ts JOIN sup ON sup.parent = ts.parent AND sup.pos = m.pos AND sup.alt = m.b JOIN rec ON rec.pos = m.pos AND rec.alt = m.b JOIN clusters ON canon = child)
 SELECT parent, child, n_parent, n_child, m.pos::INT AS pos, m.b AS alt, round(lrt, 6) AS lrt, (lrt > ln(10) OR n_parent > 30 * n_child) AND NOT (reads >= 2 AND (p + 3.8416 / (2 * n_parent) - 1.96 * sqrt(p * (1 - p) / n_parent + 3.8416 / (4 * n_parent * n_parent))) / (1 + 3.8416 / n_parent) >= 0.1) AND bundles < 2 AND NOT (fwd_n > 0 AND fwd_n < n_child AND n_child >= 3) AND m.q < 25 AS absorb FROM w""")
 def transition_lrt(spark, sf_dir):
-    held = written(clusters(spark, sf_dir), "clusters")
-    return errors.transition_edges(errors.close_pairs(held), held).withColumn("lrt", F.round("lrt", 6))
+    return errors.transition_edges(found_pairs(spark, sf_dir), found_clusters(spark, sf_dir)).withColumn("lrt", F.round("lrt", 6))
 
 
 ROUNDS = 5
@@ -161,25 +173,22 @@ roots AS MATERIALIZED (SELECT child, via.root AS root, via.parent AS parent, via
 
 @query(f"{_ROOTS} SELECT child, root, parent, round(score, 6) AS score FROM roots")
 def ascent(spark, sf_dir):
-    held, found = tables(spark, sf_dir)
-    return errors.absorbed(held, found).withColumn("score", F.round("score", 6))
+    return found_absorbed(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query(f"{_ROOTS} SELECT canon, n FROM clusters WHERE canon NOT IN (SELECT child FROM roots)")
 def survivors_anti(spark, sf_dir):
-    held, found = tables(spark, sf_dir)
-    return dedup.survivors(held, errors.absorbed(held, found).select(F.col("child").alias("canon"))).select("canon", "n")
+    return dedup.survivors(found_clusters(spark, sf_dir), found_absorbed(spark, sf_dir).select(F.col("child").alias("canon"))).select("canon", "n")
 
 
 @query(f"{_ROOTS} SELECT coalesce(root, canon) AS canon, sum(n)::BIGINT AS n, count(*) AS members FROM clusters LEFT JOIN roots ON canon = child GROUP BY 1")
 def mass_roll_up(spark, sf_dir):
-    held, found = tables(spark, sf_dir)
-    return errors.roll_up(held, errors.absorbed(held, found)).select("canon", "n", "members")
+    return errors.roll_up(found_clusters(spark, sf_dir), found_absorbed(spark, sf_dir)).select("canon", "n", "members")
 
 
 def genealogy(spark, sf_dir) -> DataFrame:
     held, found = tables(spark, sf_dir)
-    return written(store.genealogy(held, written(errors.absorbed(held, found), "absorbed"), found), "store")
+    return kept(spark, sf_dir, "store", lambda: store.genealogy(held, found_absorbed(spark, sf_dir), found))
 
 
 _CLUSTERED = f"{_ROOTS}, c AS (SELECT coalesce(root, canon) AS root, sum(n)::BIGINT AS n_members, min(first_ord) AS cluster_id, count(*) - 1 AS n_edges FROM clusters LEFT JOIN roots ON canon = child GROUP BY 1)"
