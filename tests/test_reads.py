@@ -470,3 +470,16 @@ def test_streamed_molecules_are_seen_once(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.canon for r in spark.sql("SELECT canon FROM seen").collect()) == ["ACCC", "ACCT"]
+
+
+def test_sketch_hits_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"m{i:03d}", f"b{i % 3}", rng.sample(range(30), 6) + [7]) for i in range(90)]
+    table = spark.createDataFrame(rows, "id string, bundle string, hashes array<bigint>")
+    want = set()
+    for y, by, hy in rows:
+        hits = sorted(((-len(set(hx) & set(hy)), x) for x, bx, hx in rows if x < y and bx == by and len(set(hx) & set(hy)) >= 2))
+        want |= {(x, y, -n) for n, x in hits[:5]}
+    assert {(r.a, r.b, r.hits) for r in errors.sketch_hits(table, top=5).collect()} == want
