@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif, hmm, language, minhash, suffixes, toxicity, warc
+from palimpsest.llm import bpe, gif, hmm, language, minhash, secret_scan, suffixes, toxicity, warc
 from palimpsest.llm.exchange import small_batches
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
@@ -127,6 +127,47 @@ b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {limits} AS kept FROM b"""
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base matches and random strings of every whole document. The models are trained on the strings of
+    about 8,000 documents (`secret_scan.SAMPLE_DOCUMENTS`), labelled by the base patterns; null texts
+    are empty, repeated rows are scanned one by one, an empty table gives no rows."""
+    docs = table(spark, sf_dir, "documents")
+    weights = secret_scan.fit(secret_scan.samples(secret_scan.sampled(docs)))
+    found = secret_scan.find_secrets(docs, weights)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_scan.digest("base_spans"), 256).alias("base_sha256"), secret_scan.digest("spans").alias("spans"))
+
+
+def _op13_sql() -> str:
+    s = secret_scan
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    known, run = text(s.KNOWN), text(f"{s.VALUE}{{{s.RUN},}}")
+
+    def spans(name: str, pattern: str) -> str:
+        return f"""{name}_parts AS (SELECT id, unnest(regexp_split_to_array(text, {pattern})) AS gap, unnest(list_append(regexp_extract_all(text, {pattern}), NULL)) AS m, unnest(range(len(regexp_extract_all(text, {pattern})) + 1)) AS i FROM d),
+{name} AS (SELECT * FROM (SELECT id, m, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY id ORDER BY i) - length(m) AS b FROM {name}_parts) WHERE m IS NOT NULL)"""
+
+    kinds = [("assign", text(s.ASSIGN), f"length(regexp_extract(m, {text(s.ASSIGN)}, 2)) >= {s.LEAST_VALUE}"), ("access", text(s.ACCESS), "true"), ("hex", text(s.HEX), "true")]
+    smooth = lambda label, even: f"CASE WHEN any_{label} > 0 THEN {even} / {len(s.ALPHABET)} + (1 - {even}) * coalesce(n_{label} / any_{label}, 0) ELSE 1 / {len(s.ALPHABET)} END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+{", ".join(spans(k, pattern) for k, pattern, _ in kinds)}, {spans("run", run)},
+base AS ({" UNION ALL ".join(f"SELECT id, {o} AS o, '{k}' AS kind, b::BIGINT AS b, (b + length(m))::BIGINT AS e, m FROM {k} WHERE {keep}" for o, (k, _, keep) in enumerate(kinds))}),
+chosen AS (SELECT id, text FROM d WHERE (SELECT count(*) FROM d) <= {s.SAMPLE_DOCUMENTS} OR substr(md5(doc_id::VARCHAR), 1, 8) < (SELECT printf('%08x', floor({s.SAMPLE_DOCUMENTS} / count(*) * 4294967296)::BIGINT) FROM d)),
+strings AS (SELECT CASE kind WHEN 'assign' THEN regexp_extract(m, {text(s.ASSIGN)}, 2) ELSE m END AS v, true AS label FROM base SEMI JOIN chosen USING (id)
+  UNION ALL SELECT v, false FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, {text(s.ASSIGN)}, ' ', 'g'), '{s.VALUE}{{2,}}')) AS v FROM chosen) WHERE NOT regexp_matches(v, {known})),
+pairs AS (SELECT label, substr(v, i, 1) AS a, substr(v, i + 1, 1) AS b, sum(n) AS n FROM (SELECT v, label, n, unnest(range(1, length(v))) AS i FROM (SELECT v, label, count(*) AS n FROM strings GROUP BY ALL)) GROUP BY ALL),
+letters AS (SELECT unnest(regexp_extract_all('{s.ALPHABET}', '.')) AS a),
+cells AS (SELECT x.a, y.a AS b, t.n AS n_true, f.n AS n_false, (SELECT sum(n) FROM pairs WHERE label AND a = x.a) AS any_true, (SELECT sum(n) FROM pairs WHERE NOT label AND a = x.a) AS any_false
+  FROM letters x CROSS JOIN letters y LEFT JOIN pairs t ON t.label AND t.a = x.a AND t.b = y.a LEFT JOIN pairs f ON NOT f.label AND f.a = x.a AND f.b = y.a),
+model AS (SELECT a, b, round(1000 * (ln({smooth("true", s.EVEN_RANDOM)}) - ln({smooth("false", s.EVEN_ORDINARY)})))::BIGINT AS w FROM cells),
+tried AS (SELECT id, b, b + length(m) AS e, m FROM run WHERE regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND NOT regexp_matches(m, {known})),
+fresh AS (SELECT * FROM tried t WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.id = t.id AND base.kind = 'assign' AND base.e = t.e)),
+random AS (SELECT f.id, f.b, f.e FROM (SELECT *, unnest(range(1, length(m))) AS i FROM fresh) f JOIN model ON model.a = substr(f.m, f.i, 1) AND model.b = substr(f.m, f.i + 1, 1) GROUP BY ALL HAVING sum(w) >= {s.MARGIN}),
+every AS (SELECT id, o, kind, b, e FROM base UNION ALL SELECT id, {len(s.KINDS)}, '{s.METHOD}', b, e FROM random),
+told AS (SELECT id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in s.KINDS)}, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) FILTER (o < {len(s.KINDS)}) AS based, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) AS spans FROM every GROUP BY id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in s.KINDS)}, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_warc_fixity": op2_warc_fixity,
@@ -138,9 +179,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_repetition_coverage": op10_repetition_coverage,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc_fixity": _op2_sql(),
     "op10_repetition_coverage": _op10_sql(),
+    "op13_secret_scan": _op13_sql(),
 }
