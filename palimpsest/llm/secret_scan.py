@@ -12,7 +12,7 @@ its matches only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The three patterns, the least length of what they match, and their order.
@@ -43,24 +43,28 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-
 SAMPLE_DOCUMENTS = 8_000
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _running(values: Column) -> Column:
     """Running sums of an array, in blocks of 256, so that no array is grown item by item."""
     block = 256
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
-    cut = lambda b: F.slice(values, b * block + 1, F.lit(block))
-    sums = F.transform(starts, lambda b: total(cut(b)))
-    return F.flatten(F.transform(starts, lambda b: F.transform(cut(b), lambda _, i: total(F.slice(sums, F.lit(1), b)) + total(F.slice(cut(b), F.lit(1), i + 1)))))
+    blocks = F.transform(starts, lambda b: F.slice(values, b * block + 1, F.lit(block)))
+    within = lambda xs, before: F.transform(xs, lambda _, i: before + total(F.slice(xs, F.lit(1), i + 1)))
+    return let(blocks, lambda bs: let(F.transform(bs, total), lambda sums: F.flatten(F.transform(bs, lambda xs, b: let(total(F.slice(sums, F.lit(1), b)), lambda before: within(xs, before))))))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """start, end (code points, end exclusive) and value of the leftmost non-overlapping matches. The
     parts between them give the places; they are taken of texts that hold a match only."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
-    placed = F.zip_with(found, _running(sizes), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
-    whole = F.filter(placed, lambda x: x["value"].isNotNull())  # the last part has no match behind it
-    return F.when(F.size(found) > 0, whole).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    sizes = lambda found: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+    placed = lambda found: let(sizes(found), lambda xs: F.zip_with(found, _running(xs), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
 
 
 def base_matches(text: Column) -> dict[str, Column]:
@@ -77,9 +81,9 @@ def samples(docs: DataFrame, text: str = "text") -> DataFrame:
     known = F.concat(values, F.transform(base["access"], lambda m: m["value"]), F.transform(base["hex"], lambda m: m["value"]))
     rest = F.regexp_extract_all(F.regexp_replace("_text", ASSIGN, " "), F.lit(f"{VALUE}{{2,}}"), F.lit(0))
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    random = texts.select(F.explode(known).alias("value")).withColumn("is_random", F.lit(True))
-    ordinary = texts.select(F.explode(rest).alias("value")).filter(~F.col("value").rlike(KNOWN)).withColumn("is_random", F.lit(False))
-    return random.unionByName(ordinary).groupBy("value", "is_random").agg(F.count("*").alias("n"))
+    labelled = lambda xs, label: F.transform(xs, lambda v: F.struct(v.alias("value"), F.lit(label).alias("is_random")))
+    both = F.concat(labelled(known, True), labelled(F.filter(rest, lambda v: ~v.rlike(KNOWN)), False))
+    return texts.select(F.explode(both).alias("v")).groupBy("v.value", "v.is_random").agg(F.count("*").alias("n"))
 
 
 def sampled(docs: DataFrame, key: str = "doc_id", documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
@@ -97,18 +101,16 @@ def fit(labelled: DataFrame) -> list[int]:
     its transitions are even. Null values and characters outside the alphabet are passed over."""
     chars = F.split("value", "")
     pairs = F.filter(F.transform(chars, lambda c, i: F.struct(c.alias("a"), F.get(chars, i + 1).alias("b"))), lambda p: p["b"].isNotNull() & (p["b"] != ""))
-    seen = labelled.filter(F.length("value") > 1).select("is_random", "n", F.explode(pairs).alias("p")).groupBy("is_random", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
-    seen = seen.filter(F.col("a").rlike(VALUE) & F.col("b").rlike(VALUE))
-    per = seen.groupBy("is_random", "a").agg(F.sum("n").alias("from_a"))
-    share = seen.join(per, ["is_random", "a"]).withColumn("p", F.col("n") / F.col("from_a"))
+    of = lambda label: F.sum(F.when(F.col("is_random") == label, F.col("n")))
+    seen = labelled.filter(F.length("value") > 1).select("is_random", "n", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(of(True).alias("n_true"), of(False).alias("n_false"))
     letters = labelled.sparkSession.range(1).select(F.explode(F.array([F.lit(c) for c in ALPHABET])).alias("a"))
-    of = lambda is_random: share.filter(F.col("is_random") == is_random).select("a", "b", F.col("p").alias(f"p_{is_random}"))
-    begun = lambda is_random: per.filter(F.col("is_random") == is_random).select("a", F.lit(True).alias(f"any_{is_random}"))
-    cells = letters.crossJoin(letters.withColumnRenamed("a", "b"))  # 68 x 68
-    for label in (True, False):
-        cells = cells.join(of(label), ["a", "b"], "left").join(begun(label), "a", "left")
-    smooth = lambda label, even: F.when(F.col(f"any_{label}"), F.lit(even) / len(ALPHABET) + (1 - even) * F.coalesce(F.col(f"p_{label}"), F.lit(0.0))).otherwise(1 / len(ALPHABET))
-    weight = F.round(1000 * (F.log(smooth(True, EVEN_RANDOM)) - F.log(smooth(False, EVEN_ORDINARY)))).cast("int")
+    cells = letters.crossJoin(letters.withColumnRenamed("a", "b")).join(seen, ["a", "b"], "left")  # 68 x 68
+
+    def smooth(label: str, even: float) -> Column:
+        n, begun = F.coalesce(F.col(f"n_{label}"), F.lit(0)), F.sum(f"n_{label}").over(Window.partitionBy("a"))
+        return F.when(begun > 0, F.lit(even) / len(ALPHABET) + (1 - even) * n / begun).otherwise(1 / len(ALPHABET))
+
+    weight = F.round(1000 * (F.log(smooth("true", EVEN_RANDOM)) - F.log(smooth("false", EVEN_ORDINARY)))).cast("int")
     found = {(r.a, r.b): r.w for r in cells.select("a", "b", weight.alias("w")).collect()}
     return [found[a, b] for a in ALPHABET for b in ALPHABET]
 
