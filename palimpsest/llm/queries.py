@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif, hmm, language, minhash, secret_scan, suffixes, toxicity, warc
+from palimpsest.llm import bpe, gif, hmm, language, minhash, prefix_trie, secret_scan, suffixes, toxicity, warc
 from palimpsest.llm.exchange import small_batches
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
@@ -127,6 +127,31 @@ b AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {limits} AS kept FROM b"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations. Rows without a conv_id are left out, null roles and
+    texts are empty, turns that tie are ordered by role and text, repeated rows are turns of their own;
+    without any conversation there are no nodes."""
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+def _op11_sql() -> str:
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN regexp_extract_all(conv_id::VARCHAR, '.')]), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: xor(b // 2, 3988292384 * (b % 2)))), 4294967295)"
+    return rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc} % 4 AS h, n, least(coalesce(b.n_base, 0), h) AS k FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1) LEFT JOIN (SELECT conv_id AS b_id, count(*) AS n_base FROM t GROUP BY 1) b ON b.b_id = conv_id - conv_id % 20),
+r AS (SELECT c.conv_id, t.i AS p, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.k UNION ALL SELECT c.conv_id, t.i - c.h + c.k, role, text FROM c JOIN t USING (conv_id) WHERE t.i > c.h),
+s AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY p) AS keys, list(len(regexp_extract_all(text, '[^ 	-]+')) ORDER BY p) AS words FROM r GROUP BY 1),
+e AS (SELECT conv_id, coalesce(keys, []) AS keys, coalesce(words, []) AS words FROM c LEFT JOIN s USING (conv_id)),
+m AS (SELECT conv_id, d, sha256(array_to_string(keys[1:d], ',')) AS prefix, words[d] AS said, d = len(keys) AS ends FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM e)),
+n AS (SELECT d, prefix, min(conv_id) AS id, count(*) AS n_convs, coalesce(any_value(said), 0) AS said, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY ALL),
+o AS (SELECT m.conv_id, m.d, n.id FROM m JOIN n USING (d, prefix)),
+k AS (SELECT n.*, o.id AS parent FROM n LEFT JOIN o ON o.conv_id = n.id AND o.d = n.d - 1),
+ch AS (SELECT d - 1 AS d, parent AS id, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+f AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN ch USING (d, id)),
+up AS (SELECT o.d, o.id, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * said) AS saved FROM f JOIN o ON o.conv_id = f.id AND o.d <= f.d GROUP BY ALL)
+SELECT id::BIGINT AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM f JOIN up USING (d, id)"""
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base matches and random strings of every whole document. The models are trained on the strings of
     about 8,000 documents (`secret_scan.SAMPLE_DOCUMENTS`), labelled by the base patterns; null texts
@@ -179,11 +204,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_repetition_coverage": op10_repetition_coverage,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc_fixity": _op2_sql(),
     "op10_repetition_coverage": _op10_sql(),
+    "op11_prefix_trie": _op11_sql(),
     "op13_secret_scan": _op13_sql(),
 }
