@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, gif, hmm, language, minhash, prefix_trie, secret_scan, suffixes, toxicity, warc
+from palimpsest.llm import bpe, gif, hmm, language, minhash, phrases, prefix_trie, secret_scan, suffixes, toxicity, warc
 from palimpsest.llm.exchange import small_batches
 from palimpsest.llm.mixing import mix_sources
 from palimpsest.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT, repetition_coverage
@@ -140,7 +140,8 @@ def _op11_sql() -> str:
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc} % 4 AS h, n, least(coalesce(b.n_base, 0), h) AS k FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1) LEFT JOIN (SELECT conv_id AS b_id, count(*) AS n_base FROM t GROUP BY 1) b ON b.b_id = conv_id - conv_id % 20),
 r AS (SELECT c.conv_id, t.i AS p, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.k UNION ALL SELECT c.conv_id, t.i - c.h + c.k, role, text FROM c JOIN t USING (conv_id) WHERE t.i > c.h),
-s AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY p) AS keys, list(len(regexp_extract_all(text, '[^ 	-]+')) ORDER BY p) AS words FROM r GROUP BY 1),
+s AS (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY p) AS keys, list(len(regexp_extract_all(text, '[^ 	-
+]+')) ORDER BY p) AS words FROM r GROUP BY 1),
 e AS (SELECT conv_id, coalesce(keys, []) AS keys, coalesce(words, []) AS words FROM c LEFT JOIN s USING (conv_id)),
 m AS (SELECT conv_id, d, sha256(array_to_string(keys[1:d], ',')) AS prefix, words[d] AS said, d = len(keys) AS ends FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM e)),
 n AS (SELECT d, prefix, min(conv_id) AS id, count(*) AS n_convs, coalesce(any_value(said), 0) AS said, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY ALL),
@@ -152,6 +153,31 @@ up AS (SELECT o.d, o.id, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs -
 SELECT id::BIGINT AS conv_id, d::BIGINT AS depth, parent::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM f JOIN up USING (d, id)"""
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language over all whole texts. Null texts are empty, null
+    languages are `und`, repeated rows count again, an empty table gives no rows."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    part = lambda x, a, b: f"array_to_string({x}[{a}:{b}], ' ')"
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, ws FROM (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p) WHERE len(ws) > 0),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS size, unnest([{part('ws', 'i', f'i + {k - 1}')} FOR i IN range(1, len(ws) - {k - 2})]) AS phrase FROM w" for k in range(1, phrases.MOST_WORDS + 1))}),
+f AS (SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, size, phrase HAVING count(*) >= {phrases.MIN_COUNT}),
+inside AS (SELECT DISTINCT lang, f, {part("ws", "i", "i + k - 1")} AS phrase FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS k FROM f WHERE size > 2))),
+kept AS (SELECT * FROM f WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.phrase = f.phrase AND 100 * i.f >= {phrases.SUBSUMED} * f.f)),
+cuts AS (SELECT *, {part("ws", "1", "k")} AS p1, {part("ws", "k + 1", "size")} AS p2 FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, ({phrases.SCALE}::HUGEINT * c.f) // (x.f + y.f) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.p1 JOIN f y ON y.lang = c.lang AND y.phrase = c.p2),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored) WHERE nth = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {phrases.TOP}"""
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base matches and random strings of every whole document. The models are trained on the strings of
     about 8,000 documents (`secret_scan.SAMPLE_DOCUMENTS`), labelled by the base patterns; null texts
@@ -205,6 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_repetition_coverage": op10_repetition_coverage,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -212,5 +239,6 @@ ORACLES: dict[str, str] = {
     "op2_warc_fixity": _op2_sql(),
     "op10_repetition_coverage": _op10_sql(),
     "op11_prefix_trie": _op11_sql(),
+    "op12_phrase_mining": _op12_sql(),
     "op13_secret_scan": _op13_sql(),
 }
