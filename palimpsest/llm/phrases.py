@@ -131,7 +131,7 @@ class Automaton:
         before = np.arange(n) - np.maximum.accumulate(np.where(stream == 0, np.arange(n), -1)) if n else np.empty(0, np.int64)
         held = np.minimum(before, depth)
         at = np.flatnonzero(stream)
-        back = [np.where(held[at] > j, stream[at - j], 0) for j in range(depth)]
+        back = [np.where(held[at] > j, stream[np.maximum(at - j, 0)], 0) for j in range(depth)]
         back += [np.zeros(len(at), np.int64)] * (depth % 2)
         keys = [(back[j] << 32) | back[j + 1] for j in range(0, len(back), 2)]
         order = np.lexsort(keys[::-1])
