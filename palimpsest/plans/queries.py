@@ -476,4 +476,4 @@ def fastq_pairs(spark, sf_dir):
     return fastq.paired(filed(spark, some), filed(spark, other)).select("header", "seq1", "seq2")
 
 
-from palimpsest.plans import correction, pairs, profiles  # noqa: E402, F401
+from palimpsest.plans import correction, estimates, pairs, profiles  # noqa: E402, F401
