@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.functions.derived import MUTATED_SQL, READS_SQL, mutated, rc_sql, reads
 from palimpsest.operators import damage, dedup
@@ -40,12 +41,19 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLUSTERS = f"{M}, clusters AS (SELECT {CANON} AS canon, count(*) AS n, min(rid) AS first_ord, arg_min(CASE WHEN seq <= {RC} THEN qual ELSE reverse(qual) END, rid) AS qual, count(*) FILTER (seq <= {RC}) AS fwd_n FROM mutated GROUP BY 1)"
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """What the documents' files are by name, size and time: another value if any of them changes."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return str(files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first())
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries of a session share: made once, and again if its files are gone."""
-    key = spark.sparkContext.applicationId, sf_dir, name
+    """A table that several queries of a session share: made once, and again if the documents' files
+    change or its own are gone."""
+    key = spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name
     if key in _KEPT:
         try:
             _KEPT[key].limit(1).count()
@@ -54,3 +62,8 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
             pass
     _KEPT[key] = written(make(), name)
     return _KEPT[key]
+
+
+def forget() -> None:
+    """The next query makes its tables anew."""
+    _KEPT.clear()

@@ -233,6 +233,83 @@ def test_walks_from_inner_anchors(spark):
     assert any(side(s) and not walk(s[-k:]) for s in seqs)
 
 
+def serial_sides(s, counts, k, seen, most, p):
+    """Right and left extension of one read, a base at a time, over counts of (k-mer, next base)."""
+
+    def ahead(node):
+        return {b: counts[node, b] for b in "ACGT" if counts[node, b] >= seen}
+
+    def walk(node, back, d, rate, base):
+        out = ""
+        while len(out) < most + back:
+            found, place, sure = ahead(node), back - 1 - len(out), False
+            pick = next(iter(found)) if len(found) == 1 else None
+            if len(found) == 2 and p is not None and place >= 0 and set(found) in ({"C", "T"}, {"A", "G"}):
+                whole, changed = ("C", "T") if "C" in found else ("G", "A")
+                ratio = found[changed] / sum(found.values())
+                if ratio <= min(0.25, d * math.exp(-rate * place) + base + 0.05) and found[whole] >= 2 * found[changed]:
+                    pick, sure = whole, True
+            if pick is None:
+                break
+            after = node[1:] + pick
+            if not sure and len(ahead(rc(after))) != 1:
+                break
+            out, node = out + pick, after
+        return out[back:]
+
+    def side(s, *rates):
+        return next((more for back in range(len(s) - k + 1) if (more := walk(s[len(s) - k - back : len(s) - back], back, *rates))), "")
+
+    own = (p.d3, p.l3, p.bg3), (p.d5, p.l5, p.bg5)
+    return rc(side(rc(s), *own[1])), side(s, *own[0])
+
+
+@pytest.mark.parametrize(("k", "seed"), [(7, 3), (9, 4), (11, 5)])
+def test_damaged_branches_are_passed_inside_reads(spark, k, seed):
+    """Walks equal serial ones over reads with planted C>T at the 5' and G>A at the 3' end."""
+    import collections
+    import random
+
+    rng = random.Random(seed)
+    genome = "".join(rng.choice("ACGT") for _ in range(700))
+    p = damage.Profile(0.4, 0.3, 0.35, 0.3, 0.01, 0.02)
+    seqs = []
+    for _ in range(420):
+        at, size = rng.randrange(660), rng.randrange(20, 50)
+        s = list(genome[at : at + size])
+        for i in range(len(s)):
+            if s[i] == "C" and rng.random() < p.d5 * math.exp(-p.l5 * i):
+                s[i] = "T"
+            if s[-1 - i] == "G" and rng.random() < p.d3 * math.exp(-p.l3 * i):
+                s[-1 - i] = "A"
+        seqs.append("".join(s) if rng.random() < 0.5 else rc("".join(s)))
+    seqs += [seqs[0][:k], seqs[0][: k - 1], "N" * 30, seqs[1][:12] + "N" + seqs[1][13:]]
+    rows = frame(spark, seqs)
+    edges = graph.kmer_edges(rows, k)
+    counts = collections.Counter()
+    for r in edges.collect():
+        for c, node in (("f", r.canon), ("r", rc(r.canon))):
+            counts.update({(node, b): r[f"{c}_{b}"] for b in "ACGT"})
+    found = {r.ord: (r.left, r.right) for r in graph.extend(rows, edges, k, most=25, profile=p).collect()}
+    want = {i: serial_sides(s, counts, k, 2, 25, p) if len(s) >= k else ("", "") for i, s in enumerate(seqs)}
+    assert found == want
+    plain = {r.ord: (r.left, r.right) for r in graph.extend(rows, edges, k, most=25).collect()}
+    assert sum(a != b for a, b in zip(found.values(), plain.values(), strict=True)) > 0 and sum(len(a + b) for a, b in found.values()) > sum(len(a + b) for a, b in plain.values())
+
+
+def test_damaged_branch_depends_on_its_place(spark):
+    """One branch, a fifth changed: passed where damage is that likely, not further in, nor without a profile."""
+    stem, rest = "ACGTTGCATCAGGA", "CATTGCCGATAAGCTTAC"
+    changed = stem + "T" + rest[1:]
+    seqs = [stem + rest] * 16 + [changed] * 4 + [stem + "G"]  # the last read ends with a base that no other has
+    seqs += [(stem + rest)[2:26]] * 2
+    rows = frame(spark, seqs)
+    edges = graph.kmer_edges(rows, 7)
+    last = lambda p: graph.extend(rows, edges, 7, most=9, profile=p).filter(f"ord = {20}").first().right
+    assert last(damage.Profile(0.3, 0.3, 0.3, 0.3, 0.0, 0.0)) == "ATTGCC"
+    assert last(damage.Profile(0.05, 0.3, 0.05, 0.3, 0.0, 0.0)) == "" == last(None)
+
+
 def serial_overlap(x, qx, y, qy, o):
     """The rules of merge.overlaps for one pair, one place at a time: phase, overlap, begin in y."""
     low = lambda i, j: min(ord(qx[i]), ord(qy[j])) - 33
@@ -451,7 +528,8 @@ def test_store_views(spark, tmp_path):
     assert store.bundles(kept, end=2, least=1).count() == 2 and store.bundle_grid(kept, "AA", "AA", 4, 2).count() == 3
     nodes = spark.createDataFrame([(1, "ACGT")] * 80 + [(1, "ACGA")], "cluster_id bigint, seq string")
     found = store.consensus(nodes).first()
-    assert (found.consensus, found.qual) == ("ACGN", "...#") or (found.consensus, found.qual) == ("ACGT", "...-")
+    # p = (top + 1) / (N + 4): 82/85 is Q14 (/), 81/85 is Q13 (.)
+    assert (found.consensus, found.qual) == ("ACGT", "///.")
 
 
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
