@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
+from palimpsest.operators import pairblocks as P
+from palimpsest.operators.pairblocks import Block
 
 # The usual adapters of paired libraries.
 ADAPTER1, ADAPTER2 = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"
@@ -147,33 +149,37 @@ def consensus(b1: np.ndarray, q1: np.ndarray, b2: np.ndarray, q2: np.ndarray) ->
     return base, q
 
 
+def _overlapped(whole: pd.DataFrame, o: Options) -> Iterator[pd.DataFrame]:
+    """Frames of pairs of equal lengths, with phase, overlap, seq and qual."""
+    whole = whole.fillna({c: "" for c in ("seq1", "qual1", "seq2", "qual2")})
+    if o.clip_5p:
+        long = whole["seq1"].str.len() > o.clip_5p
+        for c in ("seq1", "qual1"):
+            whole[c] = whole[c].where(~long, whole[c].str.slice(o.clip_5p))
+    for (la, lb), rows in whole.groupby([whole["seq1"].str.len(), whole["seq2"].str.len()]):
+        a, qa = matrix(rows["seq1"], la), matrix(rows["qual1"], la).astype(np.int64) - 33
+        b, qb = _COMPLEMENT[matrix(rows["seq2"], lb)][:, ::-1], (matrix(rows["qual2"], lb).astype(np.int64) - 33)[:, ::-1]
+        phase, size, start = overlaps(a, qa, b, qb, o) if min(la, lb) >= o.min_overlap else (np.full(len(rows), -1), np.zeros(len(rows), int), np.zeros(len(rows), int))
+        merged, calls = np.full(len(rows), None, object), np.full(len(rows), None, object)
+        found = phase >= 0
+        for tail, k, at in set(zip((phase[found] == 5).tolist(), size[found].tolist(), start[found].tolist(), strict=True)):
+            r = np.flatnonzero(found & ((phase == 5) == tail) & (size == k) & (start == at))
+            x = slice(la - k, la) if tail else slice(0, k)
+            base, q = consensus(a[r, x], qa[r, x], b[r, at : at + k], qb[r, at : at + k])
+            if tail:
+                base, q = np.concatenate([a[r, : la - k], base, b[r, k:]], axis=1), np.concatenate([qa[r, : la - k], q, qb[r, k:]], axis=1)
+            merged[r], calls[r] = strings(np.ascontiguousarray(base)), strings((q + 33).astype(np.uint8))
+        yield rows.assign(phase=phase.astype(np.int32), overlap=size.astype(np.int32), seq=merged, qual=calls)
+
+
 def overlapped(pairs: DataFrame, options: Options = Options()) -> DataFrame:
     """pairs with phase, overlap, and the merged seq and qual before any trimming (null without an
     overlap). Pairs of equal lengths stand in byte matrices; each form of overlap is found, and each
     consensus made, for all of them at once. Null mates count as empty."""
-    o = options
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            whole = whole.fillna({c: "" for c in ("seq1", "qual1", "seq2", "qual2")})
-            if o.clip_5p:
-                long = whole["seq1"].str.len() > o.clip_5p
-                for c in ("seq1", "qual1"):
-                    whole[c] = whole[c].where(~long, whole[c].str.slice(o.clip_5p))
-            for (la, lb), rows in whole.groupby([whole["seq1"].str.len(), whole["seq2"].str.len()]):
-                a, qa = matrix(rows["seq1"], la), matrix(rows["qual1"], la).astype(np.int64) - 33
-                b, qb = _COMPLEMENT[matrix(rows["seq2"], lb)][:, ::-1], (matrix(rows["qual2"], lb).astype(np.int64) - 33)[:, ::-1]
-                phase, size, start = overlaps(a, qa, b, qb, o) if min(la, lb) >= o.min_overlap else (np.full(len(rows), -1), np.zeros(len(rows), int), np.zeros(len(rows), int))
-                merged, quality = np.full(len(rows), None, object), np.full(len(rows), None, object)
-                found = phase >= 0
-                for tail, k, at in set(zip((phase[found] == 5).tolist(), size[found].tolist(), start[found].tolist(), strict=True)):
-                    r = np.flatnonzero(found & ((phase == 5) == tail) & (size == k) & (start == at))
-                    x = slice(la - k, la) if tail else slice(0, k)
-                    base, q = consensus(a[r, x], qa[r, x], b[r, at : at + k], qb[r, at : at + k])
-                    if tail:
-                        base, q = np.concatenate([a[r, : la - k], base, b[r, k:]], axis=1), np.concatenate([qa[r, : la - k], q, qb[r, k:]], axis=1)
-                    merged[r], quality[r] = strings(np.ascontiguousarray(base)), strings((q + 33).astype(np.uint8))
-                yield rows.assign(phase=phase.astype(np.int32), overlap=size.astype(np.int32), seq=merged, qual=quality)
+            yield from _overlapped(whole, options)
 
     return pairs.select("header", "ord", "seq1", "qual1", "seq2", "qual2").mapInPandas(run, HEAD)
 
@@ -291,26 +297,59 @@ def passes(s: Column, options: Options, gate: tuple[float, float] = (0.0, 1.0))
     return F.coalesce(good, F.lit(False))
 
 
+ROUTED = "header string, ord bigint, route string, phase int, overlap int, seq string, qual string, seq1 string, qual1 string, seq2 string, qual2 string"
+
+
+def _routed(rows: pd.DataFrame, o: Options) -> pd.DataFrame:
+    """Pairs with overlaps, trimmed, tested and given their routes, all of them at once."""
+    rows, blocks, ok, junk = rows.reset_index(drop=True), [], [], np.ones(len(rows), bool)
+    for i, own, other in ((1, o.adapter1, o.adapter2), (2, o.adapter2, o.adapter1)):
+        mate = Block(rows[f"seq{i}"].to_numpy())
+        junk &= P.homopolymer(mate)
+        P.clip_mate(mate, own, reverse_complement(other[:12]), UNIVERSAL, o.linker, o.min_length, o.poly_g)
+        blocks.append(mate)
+        ok.append(P.passes(mate, o.min_length, o.max_length, o.max_n_rate, o.min_entropy, o.gates[i - 1]) & ~P.dimer(mate, own))
+    phase = rows["phase"].to_numpy()
+    some = np.flatnonzero(phase >= 0)
+    bad, good = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+    seq, qual = np.full(len(rows), None, object), np.full(len(rows), None, object)
+    if len(some):
+        whole = Block(rows["seq"].to_numpy()[some])
+        if o.linker:
+            held = whole.start.copy(), whole.stop.copy()
+            P.cut_front(whole, o.linker, o.min_length, whole=True)
+            tail = phase[some] == 5
+            whole.start, whole.stop = np.where(tail, held[0], whole.start), np.where(tail, held[1], whole.stop)
+        P.cut_front(whole, reverse_complement(o.adapter2[:12]), o.min_length)
+        P.cut_back(whole, o.adapter1, o.min_length)
+        bad[some] = P.technical(whole, [y for x in (o.adapter1, o.adapter2) for y in (x, reverse_complement(x))]) | P.homopolymer(whole)
+        good[some] = P.passes(whole, o.min_length, o.max_length, o.max_n_rate, o.min_entropy, (0.0, 1.0))
+        seq[some], qual[some] = whole.cut(whole.texts.tolist()), whole.cut(rows["qual"].to_numpy()[some].tolist())
+    route = np.select([junk | bad, good, ok[0] & ok[1], ok[0] | ok[1]], ["dropped", "merged", "unmerged", "orphan"], "dropped")
+    is_merged, left = route == "merged", (route == "unmerged") | (route == "orphan")
+    out = {"header": rows["header"], "ord": rows["ord"], "route": route, "phase": np.where(is_merged, phase, -1).astype(np.int32), "overlap": rows["overlap"], "seq": np.where(is_merged, seq, None), "qual": np.where(is_merged, qual, None)}
+    for i, mate in enumerate(blocks):
+        for name in ("seq", "qual"):
+            cut = np.empty(len(rows), object)
+            cut[:] = mate.cut(rows[f"{name}{i + 1}"].tolist())
+            out[f"{name}{i + 1}"] = np.where(left & ok[i], cut, None)
+    return pd.DataFrame(out)
+
+
 def merge_pairs(pairs: DataFrame, options: Options = Options()) -> DataFrame:
     """Pairs (ord, header, seq1, qual1, seq2, qual2) with route: merged (seq, qual), unmerged (both
     mates after clipping), orphan (one mate passes), dropped. A merged read is trimmed; if it is a
     piece of an adapter or one base it is dropped, if it fails the other gates its mates count as
-    unmerged. Pairs of two homopolymers are dropped. Null mates count as empty."""
-    o = options
-    found = overlapped(pairs, o)
-    pair = lambda s, q: F.struct(F.col(s).alias("s"), F.col(q).alias("q"))
-    whole = F.when(F.col("phase") < 5, cut_front(pair("seq", "qual"), o.linker, o, whole=True)).otherwise(pair("seq", "qual"))
-    whole = cut_back(cut_front(whole, reverse_complement(o.adapter2[:12]), o), o.adapter1, o)
-    found = found.withColumn("_m", F.when(F.col("phase") >= 0, whole)).withColumn("_1", clipped(pair("seq1", "qual1"), o.adapter1, o.adapter2, o)).withColumn("_2", clipped(pair("seq2", "qual2"), o.adapter2, o.adapter1, o))
-    junk = homopolymer("seq1") & homopolymer("seq2")
-    bad = technical("_m.s", (o.adapter1, o.adapter2)) | homopolymer("_m.s")
-    ok = [passes(F.col(f"_{i}.s"), o, o.gates[i - 1]) & ~dimer(f"_{i}.s", x) for i, x in ((1, o.adapter1), (2, o.adapter2))]
-    found = found.withColumn("_ok1", ok[0]).withColumn("_ok2", ok[1]).withColumn("_good", F.col("_m").isNotNull() & passes(F.col("_m.s"), o)).withColumn("_bad", F.col("_m").isNotNull() & bad)
-    route = F.when(junk | F.col("_bad"), "dropped").when(F.col("_good"), "merged").when(F.col("_ok1") & F.col("_ok2"), "unmerged").when(F.col("_ok1") | F.col("_ok2"), "orphan").otherwise("dropped")
-    out = found.withColumn("route", route)
-    is_ = lambda r: F.col("route") == r
-    mate = lambda i, c: F.when(is_("unmerged") | (is_("orphan") & F.col(f"_ok{i}")), F.col(f"_{i}.{c}")).alias(("seq" if c == "s" else "qual") + str(i))
-    return out.select(S.clean_name("header").alias("header"), "ord", "route", F.when(is_("merged"), F.col("phase")).otherwise(-1).cast("int").alias("phase"), "overlap", F.when(is_("merged"), F.col("_m.s")).alias("seq"), F.when(is_("merged"), F.col("_m.q")).alias("qual"), mate(1, "s"), mate(1, "q"), mate(2, "s"), mate(2, "q"))
+    unmerged. Pairs of two homopolymers are dropped. Null mates count as empty. Overlaps, trims and
+    tests are one pass over matrices of reads; no pair is looked at alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            found = list(_overlapped(whole, options))
+            if found:
+                yield _routed(pd.concat(found), options)
+
+    return pairs.select("header", "ord", "seq1", "qual1", "seq2", "qual2").mapInPandas(run, ROUTED).withColumn("header", S.clean_name("header"))
 
 
 def merge_report(merged: DataFrame) -> DataFrame:
