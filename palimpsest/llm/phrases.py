@@ -30,8 +30,8 @@ from palimpsest.llm.exchange import pack, placed, released, unpack, written
 from palimpsest.llm.textblocks import Block, Roller, mix, seeds
 from palimpsest.operators.tables import spread_join
 
-#: Bytes of text of a shard, unless a single piece is longer.
-SHARD_BYTES = 6 << 20
+#: Bytes of text of a shard, unless a single piece is longer, and bytes of all languages that a task holds back.
+SHARD_BYTES, HELD_BYTES = 8 << 20, 32 << 20
 #: Least count of a candidate, most words, share of a phrase's count from which a longer one subsumes it, and phrases kept of each language.
 MIN_COUNT, MOST_WORDS, SUBSUMED, TOP = 30, 4, 80, 2000
 #: Scores are this times a / (l + r).
@@ -47,10 +47,20 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _SHARD = "shard bigint, lang string, n_words bigint, stream binary, words array<string>, totals binary"
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, so that shards stay small where they are shuffled, too."""
+    raw = pack(numbers.astype(np.uint32))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _numbers(small: bytes) -> np.ndarray:
+    return unpack(pa.decompress(small[8:], int.from_bytes(small[:8], "little"), codec="zstd", asbytes=True), np.uint32).astype(np.int64)
+
+
 def _shard(shard: int, lang: str, n_words: int, stream: np.ndarray, words: pa.Array, totals: np.ndarray) -> pa.RecordBatch:
     """stream: word numbers from 1, 0 between pieces; totals: how often each word occurs in the shard."""
-    columns = [pa.array([shard], pa.int64()), pa.array([lang], pa.string()), pa.array([n_words], pa.int64()), pa.array([pack(stream.astype(np.uint32))], pa.binary())]
-    columns += [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), pa.array([pack(totals.astype(np.uint32))], pa.binary())]
+    columns = [pa.array([shard], pa.int64()), pa.array([lang], pa.string()), pa.array([n_words], pa.int64()), pa.array([_small(stream)], pa.binary())]
+    columns += [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), pa.array([_small(totals)], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "n_words", "stream", "words", "totals"])
 
 
@@ -91,28 +101,30 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, held, size, k = TaskContext.get().partitionId() << 32, {}, 0, 0
+        base, held, sizes, k = TaskContext.get().partitionId() << 32, {}, {}, 0
 
-        def flushed() -> Iterator[pa.RecordBatch]:
+        def flushed(name: str) -> Iterator[pa.RecordBatch]:
             nonlocal k
-            for name, parts in held.items():
-                for data in slices(np.frombuffer(b"".join(parts), np.uint8), SHARD_BYTES):
-                    n, stream, words, totals = tokenized(data)
-                    if n:
-                        yield _shard(base + k, name, n, stream, words, totals)
-                        k += 1
-            held.clear()
+            whole = np.frombuffer(b"".join(held.pop(name)), np.uint8)
+            for data in slices(whole, SHARD_BYTES if len(whole) > 2 * SHARD_BYTES else len(whole)):
+                n, stream, words, totals = tokenized(data)
+                if n:
+                    yield _shard(base + k, name, n, stream, words, totals)
+                    k += 1
+            del sizes[name]
             released()
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = value.as_buffer().to_pybytes()
                 held.setdefault(name, []).extend((raw, b"\n"))
-                size += len(raw) + 1
-                if size >= SHARD_BYTES:
-                    yield from flushed()
-                    size = 0
-        yield from flushed()
+                sizes[name] = sizes.get(name, 0) + len(raw) + 1
+                if sizes[name] >= SHARD_BYTES:
+                    yield from flushed(name)
+                elif sum(sizes.values()) >= HELD_BYTES:
+                    yield from flushed(max(sizes, key=sizes.get))
+        for name in list(held):
+            yield from flushed(name)
 
     return rows.mapInArrow(run, _SHARD)
 
@@ -210,7 +222,7 @@ def _each(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             get = lambda c, i=i, batch=batch: batch.column(batch.schema.get_field_index(c))[i]
-            yield get("shard").as_py(), get("lang").as_py(), get("n_words").as_py(), unpack(get("stream").as_py(), np.uint32).astype(np.int64), get("words").values, unpack(get("totals").as_py(), np.uint32).astype(np.int64), *(get(c).as_py() for c in more)
+            yield get("shard").as_py(), get("lang").as_py(), get("n_words").as_py(), _numbers(get("stream").as_py()), get("words").values, _numbers(get("totals").as_py()), *(get(c).as_py() for c in more)
         released()
 
 
