@@ -458,15 +458,16 @@ def geometry(agreement: float, votes: int = 0, single_share: float = 0.5) -> tup
     return kind, sure
 
 
-def constructs(tails: DataFrame, least: int = 100, most: int = 6, size: int = 33) -> DataFrame:
-    """Sequences that follow inserts (column tail): groups by first 10-mer with at least `least`
-    reads, the `most` largest, and the majority base of each place as far as 60 % agree."""
-    each = tails.filter(F.length("tail") >= 12).select(S.part(F.col("tail"), 1, 10).alias("seed"), F.left("tail", F.lit(size)).alias("tail"))
+def constructs(tails: DataFrame, least: int = 100, most: int = 6, size: int = 48) -> DataFrame:
+    """(seed, reads, construct): sequences that follow inserts (column tail): groups by first 10-mer with at least
+    `least` reads, the `most` largest, and the majority base of each place as long as half of the group's
+    reads reach it and 60 % of those agree."""
+    each = tails.filter(F.col("tail").rlike("^[ACGT]{10}")).select(S.part(F.col("tail"), 1, 10).alias("seed"), F.left("tail", F.lit(size)).alias("tail"))
     top = each.groupBy("seed").agg(F.count("*").alias("reads")).filter(F.col("reads") >= least).orderBy(F.desc("reads"), "seed").limit(most)
     calls = each.join(F.broadcast(top), "seed").select("seed", "reads", F.posexplode(F.split("tail", "")).alias("pos", "base"))  # `most` rows
-    counted = calls.groupBy("seed", "reads", "pos", "base").agg(F.count("*").alias("n"))
+    counted = calls.filter(F.col("base").isin(*"ACGT")).groupBy("seed", "reads", "pos", "base").agg(F.count("*").alias("n"))
     best = counted.groupBy("seed", "reads", "pos").agg(F.max_by("base", F.struct("n", "base")).alias("base"), F.max("n").alias("n"), F.sum("n").alias("cover"))
     line = best.groupBy("seed", "reads").agg(F.sort_array(F.collect_list(F.struct("pos", "base", (F.col("n") / F.col("cover")).alias("share"), "cover"))).alias("line"))
-    stop = F.expr(f"coalesce(array_position(transform(line, x -> x.share < 0.6 or x.cover < {least}), true), 0)")
+    stop = F.expr("coalesce(array_position(transform(line, (x, i) -> x.pos <> i or x.share < 0.6 or 2 * x.cover < reads), true), 0)")
     text = F.expr("array_join(transform(line, x -> x.base), '')")
-    return line.select("seed", "reads", F.when(stop > 0, F.left(text, stop - 1)).otherwise(text).alias("construct"))
+    return line.select("seed", "reads", F.when(stop > 0, F.left(text, (stop - 1).cast("int"))).otherwise(text).alias("construct"))

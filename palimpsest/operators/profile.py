@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
 from palimpsest.operators.damage import LEAST_CELL, POSITIONS, Profile, hexamers, llr
-from palimpsest.operators.tables import written
+from palimpsest.operators.tables import head, written
 
 #: Reads shorter than this are no evidence of damage.
 FLOOR = 30
@@ -76,8 +76,8 @@ def mask_from_model(profile: Profile, threshold: float = 0.05, positions: int =
 
 
 def digest(reads: DataFrame, first: int = 200_000) -> str:
-    """What names an input: reads whose ordinal is among the first, whatever their order of arrival."""
-    found = reads.filter(F.col("ord") < first).agg(F.bit_xor(S.digest("ord", "seq")).alias("d"), F.count("*").alias("n")).first()
+    """What names an input: its first reads by ordinal, whatever their order of arrival."""
+    found = head(reads, "ord", first).agg(F.bit_xor(S.digest("ord", "seq")).alias("d"), F.count("*").alias("n")).first()
     return f"{(found.d or 0) & (2**64 - 1):016x}-{found.n}"
 
 
@@ -183,7 +183,7 @@ def dedup_threshold(base: float, d5: float, ancient: float = 0.3) -> float:
 def scan(reads: DataFrame, fit, first: int) -> Profile:
     """fit over the first reads by ordinal; over all reads if that leaves open whether there is damage
     although the 5' end shows some."""
-    p = fit(reads.filter(F.col("ord") < first))
+    p = fit(head(reads, "ord", first))
     return fit(reads) if p.d5 > 0.02 and not (p.mask and p.mask[0]) else p
 
 

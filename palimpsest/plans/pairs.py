@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
 from palimpsest.functions.derived import quality, reads
-from palimpsest.operators import merge
+from palimpsest.operators import merge, prescan
 from palimpsest.plans.base import R, query
 
 #: The second mate's copy of an insert differs in one base in a third of the pairs, and has an N in a
@@ -150,3 +150,30 @@ def merge_overlap(spark, sf_dir):
 @query()
 def merge_report(spark, sf_dir):
     return merge.merge_report(merge.merge_pairs(mates(spark, sf_dir)))
+
+
+#: Adapters of a library that is not the usual one.
+OWN1, OWN2 = "CTGTCTCTTATACACATCTCCGAGCCCACGAGAC", "CTGTCTCTTATACACATCTGACGCTGCCGACGA"
+
+
+def through(spark, sf_dir) -> DataFrame:
+    """Pairs of 50 bases over inserts of 25 to 55, which read on into adapters of their own."""
+    full = reads(spark, sf_dir).filter(F.length("seq") == 60).withColumn("x", F.left("seq", (25 + F.col("ord") % 31).cast("int")))
+    one, two = F.left(F.concat("x", F.lit(OWN1)), F.lit(50)), F.left(F.concat(S.revcomp("x"), F.lit(OWN2)), F.lit(50))
+    rows = full.select("ord", F.concat(F.lit("@read_"), F.col("ord"), F.lit("/1")).alias("header"), one.alias("seq1"), two.alias("seq2"))
+    return rows.select("ord", "header", "seq1", F.repeat(F.lit("I"), F.length("seq1")).alias("qual1"), "seq2", F.repeat(F.lit("I"), F.length("seq2")).alias("qual2"))
+
+
+@query(f"""{R}, t AS (SELECT ord, left(seq, (25 + ord % 31)::INT) AS x FROM reads WHERE length(seq) = 60), p AS (SELECT ord, substr(left(x || '{OWN1}', 50), length(x) + 1) AS tail FROM t),
+g AS (SELECT left(tail, 10) AS seed, count(*) AS reads FROM p WHERE length(tail) >= 10 GROUP BY 1)
+SELECT seed, reads, left('{OWN1}', (SELECT max(k) FROM (SELECT length(tail) AS k, count(*) OVER (ORDER BY length(tail) DESC RANGE UNBOUNDED PRECEDING) AS cover FROM p WHERE length(tail) >= 10) WHERE 2 * cover >= reads)::INT) AS construct FROM g WHERE reads >= 100""")
+def library_constructs(spark, sf_dir):
+    """What follows the inserts of pairs that read through, learned from what the inserts leave."""
+    x = (25 + F.col("ord") % 31).cast("int")
+    return merge.constructs(through(spark, sf_dir).select(F.substr("seq1", x + 1).alias("tail")))
+
+
+@query()
+def merge_learned(spark, sf_dir):
+    """The merge with what the first 20,000 pairs by ordinal teach of their library."""
+    return prescan.learn_and_merge(through(spark, sf_dir), first=20_000)[0]

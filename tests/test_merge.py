@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.operators import merge
+from palimpsest.operators import merge, prescan, tables
 
 PAIR = "ord bigint, header string, seq1 string, qual1 string, seq2 string, qual2 string"
 
@@ -97,3 +97,66 @@ def test_whole_rows_equal_those_of_columns(spark, which):
 
 def test_no_pairs(spark):
     assert merge.merge_pairs(spark.createDataFrame([], PAIR)).count() == 0
+
+
+# ---- Learned options
+
+OWN1, OWN2, OWN_LINKER = "CTGTCTCTTATACACATCTCCGAGCCCACGAGAC", "CTGTCTCTTATACACATCTGACGCTGCCGACGA", "CGCAATGCTCATTGGCAGGACTCAA"
+
+
+def library(n, adapter1, adapter2, linker="", linked=0.0, seed=1, kind="ds", damage=0.0):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        x = "".join(rng.choice("ACGT") for _ in range(rng.randrange(20, 70)))
+        if damage and rng.random() < damage and "C" in x[:4]:
+            at = x.index("C")
+            top = x[:at] + "T" + x[at + 1 :]
+        else:
+            top = x
+        if rng.random() < linked:
+            top = x = linker
+        s1, s2 = (top + adapter1)[:60], (rc(x) + adapter2)[:60]
+        rows.append((7 * i + (i % 3), f"@r{i}", s1, "I" * len(s1), s2, "I" * len(s2)))
+    return rows
+
+
+def test_planted_library_comes_back(spark):
+    rows = library(3_000, OWN1, OWN2)
+    pairs = spark.createDataFrame(rows, PAIR).repartition(5)
+    found = prescan.learn(pairs, first=2_000)
+    assert found.kind == "ds" and found.treatment == "full" and found.linker == "" and found.options.skip_terminal == 0
+    assert OWN1.startswith(found.options.adapter1) and len(found.options.adapter1) >= 18
+    assert OWN2.startswith(found.options.adapter2) and len(found.options.adapter2) >= 18
+    assert found.options.gates[0][0] > 0.5 and found.options.gates[1][1] < 0.95 and 4 <= found.options.poly_g <= 6
+    merged, again = prescan.learn_and_merge(pairs, first=2_000)
+    assert again == found
+    whole = {o: s for o, _, s, *_ in rows}
+    right = sum(r.seq is not None and whole[r.ord].startswith(r.seq[:50]) and len(r.seq) < 70 for r in merged.collect())
+    usual = sum(r.seq is not None and whole[r.ord].startswith(r.seq[:50]) and len(r.seq) < 70 for r in merge.merge_pairs(pairs).collect())
+    assert right >= 0.98 * len(rows) and right >= usual
+
+
+def test_linker_and_single_strand_are_learned(spark):
+    rows = library(1_500, merge.UNIVERSAL + "CACACGTCTGAACTCC", "GGAAGAGCGTCGTGTAGGGAAAGAGTGT", linker=OWN_LINKER, linked=0.2)
+    # Mate 1 of single-stranded libraries reads on into the splint without the stem before it.
+    rows = [(o, h, s1.replace(merge.UNIVERSAL, "GGAAGAGCGTCG"), q1, s2, q2) for o, h, s1, q1, s2, q2 in rows]
+    rows = [(o, h, s1, "I" * len(s1), s2, q2) for o, h, s1, _, s2, q2 in rows]
+    found = prescan.learn(spark.createDataFrame(rows, PAIR))
+    assert found.kind == "ss" and prescan.SPLINT in found.options.extra_adapters
+    assert found.linker[:20] == OWN_LINKER[:20] and found.options.linker == found.linker
+    assert prescan.learn(spark.createDataFrame(rows, PAIR), declared="ds").linker == ""
+
+
+def test_nothing_to_learn_leaves_options(spark):
+    rng = random.Random(4)
+    apart = [(i, "@x", "".join(rng.choices("ACGT", k=40)), "I" * 40, "".join(rng.choices("ACGT", k=40)), "I" * 40) for i in range(50)]
+    for rows in (apart[:0], [(1, None, None, None, None, None)]):
+        found = prescan.learn(spark.createDataFrame(rows, PAIR))
+        assert found.options == merge.Options() and found.inserts == 0
+    assert prescan.learn(spark.createDataFrame(apart, PAIR)).options.adapter1 == merge.ADAPTER1
+
+
+def test_head_takes_the_first_rows_whatever_the_gaps(spark):
+    rows = spark.range(50_000).withColumn("ord", F.col("id") * 1_048_576 + F.col("id") % 7).repartition(7)
+    for n in (0, 1, 100, 49_999, 50_000, 60_000):
+        assert sorted(r.id for r in tables.head(rows, "ord", n).select("id").collect()) == list(range(min(n, 50_000)))
