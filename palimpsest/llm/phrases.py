@@ -34,6 +34,8 @@ from palimpsest.operators.tables import spread_join
 SHARD_BYTES, HELD_BYTES = 8 << 20, 32 << 20
 #: Least count of a candidate, most words, share of a phrase's count from which a longer one subsumes it, and phrases kept of each language.
 MIN_COUNT, MOST_WORDS, SUBSUMED, TOP = 30, 4, 80, 2000
+#: Phrases of shards that a task adds up before it sends them.
+COMBINED = 1_000_000
 #: Scores are this times a / (l + r).
 SCALE = 2_000_000
 #: Parts of a language that are ranked apart before their best are ranked together.
@@ -287,9 +289,9 @@ def runs(told: DataFrame) -> DataFrame:
 
 
 def counted(told: DataFrame) -> DataFrame:
-    """lang, phrase, size and n: the frequent strings of each shard with their counts there."""
+    """lang, phrase, size and n: the frequent strings of each task's shards with their counts there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for _, lang, _, stream, words, totals, answers in _each(batches, "answers"):
             lengths, ends, counts = Automaton(stream, MOST_WORDS).strings(2)
             long = np.flatnonzero(lengths > 2)
@@ -302,11 +304,29 @@ def counted(told: DataFrame) -> DataFrame:
                     parts = [words.take(pa.array(stream[ends[some] - j] - 1)) for j in range(k - 1, -1, -1)]
                     yield _told(lang, pc.binary_join_element_wise(*parts, " "), k, counts[some])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for table in of_shards(batches):
+            held.append(table)
+            size += table.num_rows
+            if size >= COMBINED:
+                yield from _summed(held)
+                held, size = [], 0
+                released()
+        yield from _summed(held)
+
     return told.mapInArrow(run, "lang string, phrase string, size int, n bigint")
 
 
-def _told(lang: str, phrases: pa.Array, size: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases.cast(pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(counts.astype(np.int64))], names=["lang", "phrase", "size", "n"])
+def _summed(tables: list[pa.Table]) -> list[pa.RecordBatch]:
+    if not tables:
+        return []
+    found = pa.concat_tables(tables).group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")])
+    return found.rename_columns(["lang", "phrase", "size", "n"]).to_batches(max_chunksize=100_000)
+
+
+def _told(lang: str, phrases: pa.Array, size: int, counts: np.ndarray) -> pa.Table:
+    return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": phrases.cast(pa.string()), "size": pa.array(np.full(len(phrases), size, np.int32)), "n": pa.array(counts.astype(np.int64))})
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
