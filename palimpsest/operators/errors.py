@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
 from palimpsest.operators.damage import Profile
-from palimpsest.operators.tables import spread_join, written
+from palimpsest.operators.tables import salt, spread_join, written
 
 
 @dataclass(frozen=True)
@@ -418,7 +418,7 @@ def merge_deaminated(clusters: DataFrame, rules: Rules, end: int = 12) -> DataFr
     recurring = sorted(r.k for r in common.collect())  # places of a read times four
     keyed = fit.withColumn("key", deaminated(F.col("canon"), rules))
     parents = keyed.select("bundle", "key", F.col("canon").alias("parent"), F.col("n").alias("n_parent"))
-    met = keyed.select("bundle", "key", F.col("canon").alias("child"), F.col("n").alias("n_child")).join(parents, ["bundle", "key"]).filter(F.col("n_parent") >= rules.deam_ratio * F.col("n_child"))
+    met = spread_join(keyed.select("bundle", "key", F.col("canon").alias("child"), F.col("n").alias("n_child")), parents, ["bundle", "key"], "child").filter(F.col("n_parent") >= rules.deam_ratio * F.col("n_child"))
     size = F.length("parent")
     met = met.withColumn("mm", S.mismatches("parent", "child")).withColumn("h", F.size("mm")).filter(F.col("h").between(3, rules.deam_most))
     ct, ga = (lambda m: F.concat(m["a"], m["b"]).isin("CT", "TC")), (lambda m: F.concat(m["a"], m["b"]).isin("GA", "AG"))
@@ -447,33 +447,43 @@ def merge_deaminated(clusters: DataFrame, rules: Rules, end: int = 12) -> DataFr
 
 def adjacent_lengths(clusters: DataFrame, top: int = 32, end: int = 12) -> DataFrame:
     """Edges between clusters of one bundle (length left out) whose lengths differ by one base
-    that, taken out of the longer, gives the shorter; parents are the top ones of their bundle."""
+    that, taken out of the longer, gives the shorter; parents are the top ones of their bundle. A bundle
+    of very many clusters is ranked in parts first, and its children are spread."""
     rows = clusters.select("canon", "n", F.length("canon").alias("size"), S.bundle("canon", end, False).alias("bundle"))
-    rank = F.row_number().over(Window.partitionBy("bundle").orderBy(F.desc("n"), "canon"))
-    parents = rows.withColumn("_r", rank).filter(F.col("_r") <= top).select("bundle", F.col("canon").alias("parent"), F.col("n").alias("n_parent"), F.col("size").alias("size_parent"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("bundle", *by).orderBy(F.desc("n"), "canon"))
+    first = rows.withColumn("_part", salt("canon")).withColumn("_r", rank("_part")).filter(F.col("_r") <= top)
+    parents = first.withColumn("_r", rank()).filter(F.col("_r") <= top).select("bundle", F.col("canon").alias("parent"), F.col("n").alias("n_parent"), F.col("size").alias("size_parent"))
     children = rows.select("bundle", F.col("canon").alias("child"), F.col("n").alias("n_child"), F.col("size").alias("size_child"))
-    met = parents.join(children, "bundle").filter((F.abs(F.col("size_parent") - F.col("size_child")) == 1) & ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")))
+    met = spread_join(children, parents, "bundle", "child").filter((F.abs(F.col("size_parent") - F.col("size_child")) == 1) & ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")))
     longer, shorter = F.when(F.col("size_parent") > F.col("size_child"), F.col("parent")).otherwise(F.col("child")), F.when(F.col("size_parent") > F.col("size_child"), F.col("child")).otherwise(F.col("parent"))
     return met.filter(S.one_deletion(longer, shorter)).select("parent", "child", "n_parent", "n_child")
 
 
+def moderate_pairs(clusters: DataFrame, low: int = 2, hot: int = 50, edits: int = 2, end: int = 12, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(parent, child, n_parent, n_child, and what to keep of the child): clusters of one bundle (length left
+    out) of low to hot - 1 clusters whose lengths differ by at most so many bases, the parent of higher
+    rank. Bundles are counted first, so that none beyond the bound is ever gathered."""
+    rows = clusters.select("canon", "n", *keep, S.bundle("canon", end, False).alias("bundle"))
+    counts = rows.groupBy("bundle").agg(F.count("*").alias("_o")).filter((F.col("_o") >= low) & (F.col("_o") < hot)).select("bundle")
+    rows = spread_join(rows, counts, "bundle", "canon")
+    left = rows.select("bundle", F.col("canon").alias("parent"), F.col("n").alias("n_parent"))
+    right = rows.select("bundle", F.col("canon").alias("child"), F.col("n").alias("n_child"), *keep)
+    return left.join(right, "bundle").filter(ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")) & (F.abs(F.length("parent") - F.length("child")) <= edits)).drop("bundle")
+
+
 def rescue_indels(clusters: DataFrame, low: int = 2, hot: int = 50, edits: int = 2, end: int = 12) -> DataFrame:
     """The best parent of each cluster within a bundle of moderate size and a few edits."""
-    rows = clusters.select("canon", "n", S.bundle("canon", end, False).alias("bundle")).withColumn("_o", F.count("*").over(Window.partitionBy("bundle"))).filter((F.col("_o") >= low) & (F.col("_o") < hot))
-    left = rows.select("bundle", F.col("canon").alias("parent"), F.col("n").alias("n_parent"))
-    right = rows.select("bundle", F.col("canon").alias("child"), F.col("n").alias("n_child"))
-    met = left.join(right, "bundle").filter(ranked_above(F.col("n_parent"), F.col("parent"), F.col("n_child"), F.col("child")) & (F.abs(F.length("parent") - F.length("child")) <= edits))
-    near = met.withColumn("edits", F.levenshtein("parent", "child", edits)).filter("edits between 1 and 2")
-    best = F.row_number().over(Window.partitionBy("child").orderBy("edits", F.desc("n_parent"), "parent"))
-    return near.withColumn("_r", best).filter("_r = 1").select("parent", "child", "n_parent", "n_child", "edits")
+    near = moderate_pairs(clusters, low, hot, edits, end).withColumn("edits", F.levenshtein("parent", "child", edits)).filter("edits between 1 and 2")
+    best = near.groupBy("child").agg(F.min_by(F.struct("parent", "n_parent", "n_child", "edits"), F.struct("edits", -F.col("n_parent"), "parent")).alias("x"))
+    return best.select("x.parent", "child", "x.n_parent", "x.n_child", "x.edits")
 
 
 def sketch_hits(sketches: DataFrame, least: int = 2, top: int = 32) -> DataFrame:
     """(a, b, hits): pairs of rows (id, bundle, hashes) of one bundle that share `least` hashes or more;
     of each b its `top` a's by hits. Rows meet by bundle and hash, so that lists stay as short as
-    bundles are."""
+    bundles are; those of a bundle of very many rows are spread."""
     each = sketches.select("id", "bundle", F.explode(F.array_distinct("hashes")).alias("h"))
-    met = each.withColumnRenamed("id", "a").join(each.withColumnRenamed("id", "b"), ["bundle", "h"]).filter("a < b")
+    met = spread_join(each.withColumnRenamed("id", "a"), each.withColumnRenamed("id", "b"), ["bundle", "h"], "a").filter("a < b")
     hits = met.groupBy("a", "b").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least)
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a"))
     return hits.withColumn("_r", rank).filter(F.col("_r") <= top).drop("_r")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.functions.derived import rc_sql, reads
-from palimpsest.operators import dedup, errors, store
+from palimpsest.functions.derived import quality, rc_sql, reads
+from palimpsest.operators import dedup, errors, indels, store
 from palimpsest.operators.damage import Profile
 from palimpsest.operators.tables import written
 from palimpsest.plans.base import CANON, CLUSTERS, R, clusters, kept, query
@@ -301,11 +301,12 @@ def deaminated_merge(spark, sf_dir):
 _VARIED = f"{R}, varied AS (SELECT seq FROM reads UNION ALL SELECT left(seq, 29) || substr(seq, 31) FROM reads WHERE ord % 3 = 0 AND length(seq) = 60), clusters AS (SELECT {CANON} AS canon, count(*) AS n FROM varied GROUP BY 1), k AS (SELECT canon, n, (left(canon, 12), right(canon, 12)) AS b FROM clusters)"
 
 
-def varied(spark, sf_dir):
+def varied(spark, sf_dir, with_quality: bool = False):
     """Reads, and a third of them once more with one base taken out."""
     rows = reads(spark, sf_dir).select("ord", "seq")
     shorter = rows.filter((F.col("ord") % 3 == 0) & (F.length("seq") == 60)).select((F.col("ord") + (1 << 60)).alias("ord"), F.concat(F.left("seq", F.lit(29)), F.substring("seq", 31, 60)).alias("seq"))
-    return dedup.deduplicate(rows.union(shorter))
+    whole = rows.union(shorter)
+    return dedup.deduplicate(whole.withColumn("qual", quality()), quality="qual") if with_quality else dedup.deduplicate(whole)
 
 
 @query(f"{_VARIED}, p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY n DESC, canon) AS nth FROM k) SELECT p.canon AS parent, c.canon AS child, p.n AS n_parent, c.n AS n_child FROM p JOIN k c ON c.b = p.b AND abs(length(c.canon) - length(p.canon)) = 1 WHERE nth <= 32 AND (p.n > c.n OR (p.n = c.n AND p.canon < c.canon)) AND levenshtein(p.canon, c.canon) = 1")
@@ -318,6 +319,26 @@ def indel_rescue(spark, sf_dir):
     return errors.rescue_indels(varied(spark, sf_dir))
 
 
+_CLOSE = f"{_VARIED}, o AS (SELECT *, count(*) OVER (PARTITION BY b) AS occ FROM k), m AS (SELECT p.canon AS parent, c.canon AS child, levenshtein(p.canon, c.canon) AS edits, length(c.canon) - length(p.canon) AS d FROM o p JOIN o c ON p.b = c.b WHERE p.occ >= 2 AND p.occ < 50 AND (p.n > c.n OR (p.n = c.n AND p.canon < c.canon)) AND abs(length(c.canon) - length(p.canon)) <= 2), h AS (SELECT *, CASE WHEN d <> 0 THEN edits - abs(d) WHEN hamming(parent, rpad(child, length(parent)::INT, '-')) = edits THEN edits ELSE 0 END AS n_sub FROM m WHERE edits BETWEEN 1 AND 2)"
+
+
+@query(f"{_CLOSE} SELECT parent, child, edits::INT AS edits, n_sub::INT AS n_sub, ((edits - n_sub + d) // 2)::INT AS n_ins, ((edits - n_sub - d) // 2)::INT AS n_del FROM h")
+def edit_scripts(spark, sf_dir):
+    """What turns each parent into a close child of its bundle, by kind of edit."""
+    found = indels.edit_scripts(errors.moderate_pairs(varied(spark, sf_dir)).select("parent", "child")).filter("edits > 0")
+    count = lambda kind: F.size(F.filter("script", lambda x: x["kind"] == kind)).alias(f"n_{kind}")
+    return found.select("parent", "child", "edits", count("sub"), count("ins"), count("del"))
+
+
+@query()
+def scored_rescue(spark, sf_dir):
+    """The best parent by score of each cluster that a few edits part from it, with the model of the substitutions
+    of all candidate edges."""
+    held, found = tables(spark, sf_dir)
+    rows, bins = varied(spark, sf_dir, with_quality=True), errors.model_bins(found, held)
+    return indels.rescue_scored(rows, bins).withColumn("score", F.round("score", 6))
+
+
 @query()
 def sketch_pairs(spark, sf_dir):
     """Pairs of molecules of one bundle whose open syncmers share two hashes or more, the best 32 of each."""

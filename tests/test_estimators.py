@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from palimpsest.operators import lengthmix, overhang
+from palimpsest.operators import errors, indels, lengthmix, overhang
 
 
 def frame(spark, seqs):
@@ -156,3 +156,98 @@ def test_length_gc_cells_by_hand(spark):
         want[key] = tuple(a + b for a, b in zip(want.get(key, (0,) * 5), (1, *(inner.count(b) for b in "TCAG")), strict=True))
     found = lengthmix.length_gc_cells(frame(spark, seqs), [40, 60]).collect()
     assert {(r.bin, r.gc, r.code): (r.n, r.t, r.c, r.a, r.g) for r in found} == want
+
+
+# ---- Edit scripts
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def applied(a, script):
+    out, at = [], 0
+    for kind, pos, old, new in script:
+        out.append(a[at:pos])
+        assert old is None or a[pos] == old
+        out.append(new or "")
+        at = pos + (kind != "ins")
+    return "".join(out) + a[at:]
+
+
+def edited(rng, s, k):
+    for _ in range(k):
+        i, how = rng.randrange(len(s) + 1), rng.randrange(3)
+        s = s[:i] + rng.choice("ACGT") + s[i:] if how == 0 else s[:i] + s[i + 1 :] if how == 1 else s[:i] + rng.choice("ACGT") + s[i + 1 :]
+    return s
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_scripts_are_shortest_and_give_the_child(most):
+    rng = random.Random(most)
+    for la, lb in itertools.product((0, 1, 2, 5, 12, 30), repeat=2):
+        if abs(la - lb) > most:
+            continue
+        pairs = []
+        for _ in range(60):
+            a = "".join(rng.choice("ACGT") for _ in range(la))
+            b = edited(rng, a, rng.randrange(most + 2))
+            pairs.append((a, b if len(b) == lb else "".join(rng.choice("AC") for _ in range(lb))))
+        rows = lambda i, w: np.frombuffer("".join(p[i] for p in pairs).encode(), np.uint8).reshape(len(pairs), w)  # noqa: E731, B023
+        edits, found = indels.scripts(rows(0, la), rows(1, lb), most)
+        for (a, b), e, script in zip(pairs, edits, found, strict=True):
+            d = distance(a, b)
+            assert (e == d) if d <= most else e > most
+            if 0 < d <= most:
+                assert len(script) == d and applied(a, script) == b
+            else:
+                assert script == []
+
+
+def test_edit_scripts_of_a_table(spark):
+    rng = random.Random(9)
+    rows = [(a, edited(rng, a, rng.randrange(4)), i) for i in range(300) for a in ["".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 50)))]]
+    rows += [(None, "A", -1), ("A", None, -2), ("ACGT", "ACGT", -3), ("A" * 10, "T" * 3, -4), rows[0]]
+    found = indels.edit_scripts(spark.createDataFrame(rows, "parent string, child string, n int").repartition(3)).collect()
+    assert sorted((r.parent or "", r.child or "", r.n) for r in found) == sorted((a or "", b or "", n) for a, b, n in rows)
+    for r in found:
+        d = None if r.parent is None or r.child is None else distance(r.parent, r.child)
+        assert r.edits == (d if d is not None and d <= 2 else None)
+        assert r.script is None if r.edits is None else applied(r.parent, [tuple(s) for s in r.script]) == r.child
+
+
+def test_rescue_takes_the_best_score_not_the_fewest_edits(spark):
+    """A sure substitution counts against a parent one edit away; a charge for an indel is less."""
+    head, tail, rules = "ACGTTGCATGCA", "GGATCCTTAGCA", errors.Rules(five=2, three=2)
+    middle = "TTGACCATGCAAGTCTAGG"
+    child = head + middle + tail
+    one = head + middle[:9] + "T" + middle[10:] + tail  # a substitution of high quality
+    gap = head + middle[:5] + middle[6:] + tail  # one base fewer
+    far = head + middle[::-1] + tail
+    qual = lambda s: "I" * len(s)
+    clusters = spark.createDataFrame([(one, 9, qual(one)), (gap, 5, qual(gap)), (child, 1, qual(child)), (far, 7, qual(far))], "canon string, n bigint, qual string")
+    bins = spark.createDataFrame([("T>C", 3, occ, 0, 5, 0.05, 9) for occ in range(3)], "class string, dist int, occ int, dmg int, n bigint, p_real double, total bigint")
+    fewest = {r.child: (r.parent, r.edits) for r in errors.rescue_indels(clusters).collect()}
+    assert fewest[child] == (one, 1)
+    scored = {r.child: r for r in indels.rescue_scored(clusters, bins, rules).collect()}
+    assert scored[child].parent == gap and (scored[child].edits, scored[child].n_ins, scored[child].n_del) == (1, 1, 0)
+    assert scored[child].score == pytest.approx(3.0 - 2.0) and far not in scored
+    # In a masked end an indel has a bonus; dearer ones leave nothing.
+    ended = spark.createDataFrame([(child, 9, qual(child)), (child[:1] + child[2:], 1, qual(child[1:]))], "canon string, n bigint, qual string")
+    kept = errors.moderate_pairs(ended, end=0, keep=("qual",))
+    assert kept.count() == 1
+    assert indels.rescue_scored(ended, bins, rules, end=0).first().score == pytest.approx(3.0 - 2.0 + 1.0)
+    assert indels.rescue_scored(clusters, bins, rules, inserted=5.0, deleted=5.0).filter(f"child = '{child}'").count() == 0
+
+
+def test_moderate_bundles_only(spark):
+    same = [("ACGTTGCATGCA" + "ACGT"[i % 4] * (i // 4) + "GGATCCTTAGCA", 1) for i in range(60)]
+    assert errors.moderate_pairs(spark.createDataFrame(same, "canon string, n bigint")).count() == 0
+    some = spark.createDataFrame(same[:12], "canon string, n bigint")
+    want = sum(abs(len(a) - len(b)) <= 2 for a, b in itertools.combinations(sorted({x for x, _ in same[:12]}), 2))
+    assert errors.moderate_pairs(some.distinct()).count() == want
