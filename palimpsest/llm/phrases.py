@@ -288,8 +288,10 @@ def runs(told: DataFrame) -> DataFrame:
     return told.mapInArrow(run, _SHARD)
 
 
-def counted(told: DataFrame) -> DataFrame:
-    """lang, phrase, size and n: the frequent strings of each task's shards with their counts there."""
+def counted(told: DataFrame, n: int, least: int) -> DataFrame:
+    """lang, phrase, size and n: the frequent strings of all shards with their counts. A task adds up what its
+    shards have and sends it in parts, one for each bucket of phrases, which the bucket adds up in turn."""
+    buckets = max(min(n, 64), -(-n // 4))
 
     def of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for _, lang, _, stream, words, totals, answers in _each(batches, "answers"):
@@ -304,25 +306,43 @@ def counted(told: DataFrame) -> DataFrame:
                     parts = [words.take(pa.array(stream[ends[some] - j] - 1)) for j in range(k - 1, -1, -1)]
                     yield _told(lang, pc.binary_join_element_wise(*parts, " "), k, counts[some])
 
+    def dealt(tables: list[pa.Table]) -> pa.RecordBatch:
+        whole = _summed(tables)
+        to = (_word_hashes(whole.column("phrase").combine_chunks(), "")[1:] % np.uint64(buckets)).astype(np.int64)
+        whole, edges = whole.take(pa.array(np.argsort(to, kind="stable"))), np.searchsorted(np.sort(to), np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(edges))
+        parts = [_packed(whole.slice(edges[i], edges[i + 1] - edges[i])) for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for table in of_shards(batches):
             held.append(table)
             size += table.num_rows
             if size >= COMBINED:
-                yield from _summed(held)
+                yield dealt(held)
                 held, size = [], 0
                 released()
-        yield from _summed(held)
+        if held:
+            yield dealt(held)
+
+    def total(table: pa.Table) -> pa.Table:
+        whole = _summed([pa.ipc.open_stream(x.as_py()).read_all() for x in table.column("counts")])
+        return whole.filter(pc.greater_equal(whole.column("n"), least))
+
+    return told.mapInArrow(run, "bucket int, counts binary").groupBy("bucket").applyInArrow(total, "lang string, phrase string, size int, n bigint")
+
 
-    return told.mapInArrow(run, "lang string, phrase string, size int, n bigint")
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
-def _summed(tables: list[pa.Table]) -> list[pa.RecordBatch]:
-    if not tables:
-        return []
+def _summed(tables: list[pa.Table]) -> pa.Table:
     found = pa.concat_tables(tables).group_by(["lang", "phrase", "size"]).aggregate([("n", "sum")])
-    return found.rename_columns(["lang", "phrase", "size", "n"]).to_batches(max_chunksize=100_000)
+    return found.rename_columns(["lang", "phrase", "size", "n"]).combine_chunks()
 
 
 def _told(lang: str, phrases: pa.Array, size: int, counts: np.ndarray) -> pa.Table:
@@ -342,7 +362,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     told = first.join(frequent(first, lambda lang, _, stream, words, totals: _first_keys(stream, words, totals, lang), n, min_count), "shard")
     second = written(runs(told), "phrase-runs")
     answers = frequent(second, lambda lang, _, stream, words, __: _long_keys(stream, words, lang), n, min_count)
-    found = counted(second.join(answers, "shard", "left")).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    found = counted(second.join(answers, "shard", "left"), n, min_count)
     return written(found, "phrase-counts"), first.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 
