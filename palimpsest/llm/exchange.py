@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import tables
+
 #: Bytes of text in a chunk, on average.
 CHUNK_BYTES = 4 << 20
 
@@ -105,9 +107,9 @@ def small_batches(spark) -> None:
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in tests, one under /tmp."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or "/tmp/palimpsest-checkpoints"
+    """spark.checkpoint.dir of the session; where that is unset, as in tests, one under /tmp, and on a
+    cluster an error."""
+    return tables.shared_folder(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -24,6 +24,9 @@ def held_out(doc_id: str, folds: int, fold: int) -> F.Column:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and class_id of every document: the smallest id among its near-duplicates and theirs. Null texts are
+    empty; texts without a word are near only to their equals; null ids are ordinary rows; repeated rows
+    come out repeated; an empty table gives no rows."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
@@ -58,6 +61,9 @@ FROM m JOIN l1 ON l1.archive = m.archive AND l1.idx = m.idx // {warc.FANOUT} JOI
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learned from labelled ones outside the held-out fold. Null and empty texts
+    score by the bias alone; labels without a document teach nothing; repeated rows are scored one by one; an
+    empty table gives no rows, and without labels of both kinds every score is the same."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
     scored = toxicity.score(docs, model)
@@ -65,6 +71,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and what they decode to, as hashes. Null texts are empty and have no
+    tokens; repeated rows are encoded alike; an empty table gives no rows."""
     import public_tokenizers
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -75,31 +83,43 @@ def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document. Null texts and texts without a letter are `und`; documents of
+    no language teach nothing; repeated rows are predicted one by one; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(~held_out("doc_id", 3, 1)))
     return language.predict(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a GIF, read back, with its features. Null texts are empty and become 64 zero bytes;
+    equal texts give equal values; an empty table gives no rows."""
     return gif.digests(gif.store(table(spark, sf_dir, "documents")))
 
 
 def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every text by a model of all training documents. Null texts are empty and hold one
+    end; documents without an id are in no fold and train; repeated rows are scored one by one."""
     scored = hmm.hmm_scores(table(spark, sf_dir, "documents"), ~held_out("doc_id", 10, 0))
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without passages of 50 bytes that a smaller id has. Null texts are empty;
+    rows without an id come last; of repeated rows none is removed by the other, since no id is smaller."""
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the mix takes of every document. Null texts have size 0 and give nothing; the null source comes
+    last; repeated rows are documents of their own; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return mix_sources(docs)[0].select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and the verdict of every document. Null texts have no words and fail the base rule;
+    repeated rows are judged one by one; an empty table gives no rows."""
     found = repetition_coverage(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("verdict")).alias("kept"))
@@ -164,7 +184,8 @@ def _op12_sql() -> str:
     return rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, ws FROM (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p) WHERE len(ws) > 0),
 n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
 g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS size, unnest([{part('ws', 'i', f'i + {k - 1}')} FOR i IN range(1, len(ws) - {k - 2})]) AS phrase FROM w" for k in range(1, phrases.MOST_WORDS + 1))}),
