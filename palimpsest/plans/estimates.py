@@ -4,13 +4,14 @@ Fits have no SQL; the tables that they see have, and tests recover planted param
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
 from palimpsest.functions.derived import reads
-from palimpsest.operators import lengthmix, overhang
-from palimpsest.plans.base import R, query
+from palimpsest.operators import lengthmix, overhang, oxidation
+from palimpsest.plans.base import DAMAGE, R, query
 
 # ---- Overhangs
 
@@ -95,3 +96,36 @@ def length_gc_mixture(spark, sf_dir):
     m = lengthmix.fit_mixture(lengthmix.length_gc_cells(cut_reads(spark, sf_dir), EDGES))
     rows = [] if m is None else [(*c, *m.d, m.pi, m.population, m.converged, m.separated) for c in m.cells]
     return spark.createDataFrame(rows, "bin int, gc int, reads bigint, share double, d5_0 double, d5_1 double, d3_0 double, d3_1 double, pi double, population double, converged boolean, separated boolean")
+
+
+# ---- Oxidation
+
+PI = 0.3
+
+
+def _chance(x: str) -> str:
+    terms = [f"({math.log(PI / (1 - PI))!r})"]
+    for p in range(oxidation.PLACES):
+        hit = DAMAGE.bg5 + (1 - DAMAGE.bg5) * DAMAGE.d5 * math.exp(-DAMAGE.l5 * p)
+        terms.append(f"CASE substr({x}, {p + 1}, 1) WHEN 'T' THEN {math.log(hit / DAMAGE.bg5)!r} WHEN 'C' THEN {math.log((1 - hit) / (1 - DAMAGE.bg5))!r} ELSE 0 END")
+    return f"1 / (1 + exp(-({' + '.join(terms)})))"
+
+
+_NAMED = [*((a, a) for a in oxidation.FIRST), *((f"{a}_{b}", f"{a} * {b}") for a, b in oxidation.SECOND)]
+
+
+@query(f"""{R}, v AS (SELECT seq, greatest(0, length(seq) // 3 - 10) AS side FROM reads), w AS (SELECT seq, CASE WHEN side > 0 THEN least(9, length(regexp_replace(substr(seq, 11, side) || substr(seq, length(seq) - 9 - side, side), '[AT]', '', 'g')) * 10 // (2 * side))::INT ELSE -1 END AS gc, {_chance("seq")} AS f, {_chance("translate(reverse(right(seq, 10)), 'ACGT', 'TGCA')")} AS b, substr(seq, length(seq) // 3 + 1, length(seq) - 2 * (length(seq) // 3)) AS third FROM v),
+o AS (SELECT gc, greatest(f, b) AS q, CASE WHEN b > f THEN translate(third, 'ACGT', 'TGCA') ELSE third END AS x FROM w),
+c AS ({" UNION ALL ".join(f"SELECT gc, '{name}' AS channel, q, length(regexp_replace(x, '[^{a}]', '', 'g')) AS t, length(regexp_replace(x, '[^{a}{b}]', '', 'g')) AS m FROM o" for name, (a, b) in oxidation.CHANNELS.items())}),
+s AS (SELECT gc, channel, q * t AS qt, q * m AS qm, (1 - q) * t AS ut, (1 - q) * m AS um FROM c WHERE m > 0)
+SELECT gc, channel, count(*) AS reads, {", ".join(f"round(sum({x}), 4) AS {name}" for name, x in _NAMED)} FROM s GROUP BY ALL""")
+def oxidation_moments(spark, sf_dir):
+    found = oxidation.oxidation_moments(reads(spark, sf_dir), DAMAGE, PI)
+    return found.select("gc", "channel", "reads", *(F.round(name, 4).alias(name) for name, _ in _NAMED))
+
+
+@query()
+def oxidation_test(spark, sf_dir):
+    """The difference of each channel between damaged and undamaged reads."""
+    found = oxidation.oxidation_test(oxidation.oxidation_moments(reads(spark, sf_dir), DAMAGE, PI))
+    return spark.createDataFrame([tuple(asdict(x).values()) for x in found.values()], "channel string, difference double, se double, z double, detected boolean")

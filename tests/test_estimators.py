@@ -8,7 +8,8 @@ import random
 import numpy as np
 import pytest
 
-from palimpsest.operators import errors, indels, lengthmix, overhang
+from palimpsest.operators import errors, indels, lengthmix, overhang, oxidation
+from palimpsest.operators.damage import Profile
 
 
 def frame(spark, seqs):
@@ -251,3 +252,68 @@ def test_moderate_bundles_only(spark):
     some = spark.createDataFrame(same[:12], "canon string, n bigint")
     want = sum(abs(len(a) - len(b)) <= 2 for a, b in itertools.combinations(sorted({x for x, _ in same[:12]}), 2))
     assert errors.moderate_pairs(some.distinct()).count() == want
+
+
+# ---- Oxidation
+
+WORN = Profile(0.5, 0.3, 0.5, 0.3, 0.5, 0.5)
+
+
+def oxidised(n, seed, oxo=0.0, both=0.0, single=False):
+    """Reads of 60, half of them damaged: C>T from the 5' end (and G>A from the 3' end), and inside damaged ones G
+    read as T with chance oxo, C read as A with chance both."""
+    rng = np.random.default_rng(seed)
+    bases = rng.choice(list("ACGT"), (n, 60))
+    damaged = rng.random(n) < 0.5
+    for p in range(15):
+        now = damaged & (rng.random(n) < 0.9 * math.exp(-0.3 * p))
+        bases[now & (bases[:, p] == "C"), p] = "T"
+        if not single:
+            now = damaged & (rng.random(n) < 0.9 * math.exp(-0.3 * p))
+            bases[now & (bases[:, -1 - p] == "G"), -1 - p] = "A"
+    middle = bases[:, 20:40]
+    for old, new, chance in (("G", "T", oxo), ("C", "A", both)):
+        middle[(middle == old) & (rng.random(middle.shape) < chance) & damaged[:, None]] = new
+    return ["".join(r) for r in bases]
+
+
+def test_oxidation_is_found_and_controls_stay_silent(spark):
+    test = lambda seqs, p: oxidation.oxidation_test(oxidation.oxidation_moments(frame(spark, seqs), p, 0.5))
+    single = Profile(0.9, 0.3, 0.0, 0.3, 0.5, 0.5, single=True)
+    found = test(oxidised(20_000, 1, oxo=0.1, single=True), single)
+    assert found["oxo"].detected and found["oxo"].difference > 0.005 and not found["control"].detected
+    clean = test(oxidised(20_000, 2, single=True), single)
+    assert not clean["oxo"].detected and not clean["control"].detected and abs(clean["oxo"].z) < 3
+    mixed = test(oxidised(20_000, 3, oxo=0.1, both=0.1, single=True), single)
+    assert mixed["control"].detected and not mixed["oxo"].detected and mixed["oxo"].z > 3
+    few = test(oxidised(20, 4), WORN)
+    assert few["oxo"].difference is None and not few["oxo"].detected
+
+
+def test_oxidation_moments_by_hand(spark):
+    seqs = [*some_reads(300, 25, 90), "t" * 40]
+    comp = str.maketrans("ACGTN", "TGCAN")
+    want = collections.defaultdict(lambda: np.zeros(14))
+
+    def weigh(s):
+        total = 0.0
+        for p, b in enumerate(s[:10]):
+            hit = 0.5 + 0.5 * 0.5 * math.exp(-0.3 * p)
+            total += math.log(hit / 0.5) if b == "T" else math.log((1 - hit) / 0.5) if b == "C" else 0.0
+        return 1 / (1 + math.exp(-(math.log(0.2 / 0.8) + total)))
+
+    for s in (x.upper() for x in seqs if len(x) >= 30):
+        f, b = weigh(s), weigh(s[::-1].translate(comp))
+        third = s[len(s) // 3 : len(s) - len(s) // 3]
+        x, q = (third.translate(comp), b) if b > f else (third, f)
+        for name, (one, two) in oxidation.CHANNELS.items():
+            t, m = x.count(one), x.count(one) + x.count(two)
+            if m:
+                v = [q * t, q * m, (1 - q) * t, (1 - q) * m]
+                side = max(0, len(s) // 3 - 10)
+                around = s[10 : 10 + side] + s[len(s) - 10 - side : len(s) - 10]
+                want[min(9, (around.count("G") + around.count("C")) * 10 // (2 * side)) if side else -1, name] += [*v, *(v[i] * v[j] for i in range(4) for j in range(i, 4))]
+    found = oxidation.oxidation_moments(frame(spark, seqs), WORN, 0.2).collect()
+    assert {(r.gc, r.channel) for r in found} == set(want)
+    for r in found:
+        assert [r[a] for a in oxidation.FIRST] + [r[f"{a}_{b}"] for a, b in oxidation.SECOND] == pytest.approx(list(want[r.gc, r.channel]))
