@@ -147,19 +147,19 @@ def lod_model(counts: DataFrame) -> DataFrame:
     return counts.select("bin", "pos", "end", F.when(good, F.log(pd / pu)).otherwise(0.0).alias("lod_hit"), F.when(good, F.log((1 - pd) / (1 - pu))).otherwise(0.0).alias("lod_ref"))
 
 
-def lod_scores(reads: DataFrame, model: DataFrame, edges: list[int], single: bool = False) -> DataFrame:
-    """(ord, score): the summed log odds of a read's terminal bases by the model of its length bin. The
+def lod_scores(reads: DataFrame, model: DataFrame, edges: list[int], single: bool = False, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """(ord, or other columns to keep, and score): the summed log odds of a read's terminal bases by the model of its length bin. The
     model is a few hundred rows, turned to arrays by place and broadcast; reads are not exploded."""
     line = lambda e, k: F.transform(F.sort_array(F.collect_list(F.when(F.col("end") == e, F.struct("pos", k)))), lambda x: x[k]).alias(f"{k}{e}")
     by = model.groupBy("bin").agg(*(line(e, k) for e in (5, 3) for k in ("lod_hit", "lod_ref")))
-    met = reads.withColumn("bin", length_bin(edges)).join(F.broadcast(by), "bin", "left")
+    met = reads.withColumn("_bin", length_bin(edges)).join(F.broadcast(by.withColumnRenamed("bin", "_bin")), "_bin", "left")
     n, total = F.length("seq"), F.lit(0.0)
     for p in range(POSITIONS):
         for e, hit, ref in ((5, "T", "C"), (3, "T" if single else "A", "C" if single else "G")):
             x = S.part(F.col("seq"), F.lit(p + 1) if e == 5 else n - p, 1)
             got = F.when((n > p) & (x == hit), F.get(f"lod_hit{e}", F.lit(p))).when((n > p) & (x == ref), F.get(f"lod_ref{e}", F.lit(p)))
             total = total + F.coalesce(got, F.lit(0.0))
-    return met.select("ord", total.alias("score"))
+    return met.select(*keep, total.alias("score"))
 
 
 def split_threshold(base: float, state: str, pi: float, cut: float | None = None) -> float:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from palimpsest.functions.derived import reads
-from palimpsest.operators import damage, profile
+from palimpsest.operators import damage, profile, split
 from palimpsest.operators.tables import written
 from palimpsest.plans.base import DAMAGE, R, query
 
@@ -86,6 +86,42 @@ def lod_scores(spark, sf_dir):
     return profile.lod_scores(reads(spark, sf_dir), model, EDGES).withColumn("score", F.round("score", 6))
 
 
+_SCORES = f"""{_LODS}, e AS (SELECT ord, bin, pos, 5 AS "end", substr(seq, pos + 1, 1) AS y, 'T' AS h, 'C' AS f FROM (SELECT *, unnest(range(0, 15)) AS pos FROM r) UNION ALL SELECT ord, bin, pos, 3, substr(seq, length(seq) - pos, 1), 'A', 'G' FROM (SELECT *, unnest(range(0, 15)) AS pos FROM r)),
+scores AS (SELECT ord, round(sum(CASE WHEN y = h THEN lod_hit WHEN y = f THEN lod_ref ELSE 0 END), 6) AS score FROM e JOIN m ON m.bin = e.bin AND m.pos = e.pos AND m."end" = e."end" GROUP BY ord)"""
+SHARES = {"detected": 0.3, "low_abundance": 0.02, "abstain": 0.0}
+
+
+def _split(spark, sf_dir, state: str):
+    """All reads, scored by the model of their length bin and cut as the state asks."""
+    rows = reads(spark, sf_dir).select("ord", "seq")
+    return split.split(rows, split.plan_of(rows, DAMAGE, EDGES, state, SHARES[state], threshold=0.05)).select("ord", "score", "route")
+
+
+_ROUTE = "SELECT ord, score, CASE WHEN score >= {cut} THEN 'damaged' ELSE 'undamaged' END AS route FROM scores"
+
+
+@query(f"{_SCORES} {_ROUTE.format(cut=-math.log(0.3 / 0.7))}")
+def split_detected(spark, sf_dir):
+    return _split(spark, sf_dir, "detected")
+
+
+@query(f"{_SCORES}, h AS (SELECT floor((score + 100) * 100)::INT AS bin, count(*) AS n FROM scores GROUP BY 1), t AS (SELECT bin, sum(n) OVER (ORDER BY bin DESC) AS tail, (SELECT sum(n) FROM h) AS total FROM h) {_ROUTE.format(cut='(SELECT max(bin) / 100.0 - 100 FROM t WHERE tail >= 0.02 * total)')}")
+def split_low_abundance(spark, sf_dir):
+    return _split(spark, sf_dir, "low_abundance")
+
+
+@query(f"{_SCORES} SELECT ord, score, 'undamaged' AS route FROM scores")
+def split_abstain(spark, sf_dir):
+    return _split(spark, sf_dir, "abstain")
+
+
+@query()
+def split_planned(spark, sf_dir):
+    """The split by what the reads themselves say: profile, bins, share and state are estimated."""
+    rows = reads(spark, sf_dir).select("ord", "seq")
+    return split.split(rows, split.plan_split(rows)).select("ord", "score", "route")
+
+
 @query(f"{R}, o AS (SELECT length(seq) AS x, row_number() OVER (ORDER BY length(seq)) - 1 AS i, count(*) OVER () AS n FROM reads) SELECT DISTINCT x::INT AS edge FROM o, range(1, 5) t(k) WHERE i = round(k / 5 * (n - 1))")
 def length_edges(spark, sf_dir):
     found = profile.length_edges(reads(spark, sf_dir))

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from palimpsest.operators import errors, indels, lengthmix, overhang, oxidation
+from palimpsest.operators import errors, indels, lengthmix, overhang, oxidation, split
 from palimpsest.operators.damage import Profile
 
 
@@ -317,3 +317,53 @@ def test_oxidation_moments_by_hand(spark):
     assert {(r.gc, r.channel) for r in found} == set(want)
     for r in found:
         assert [r[a] for a in oxidation.FIRST] + [r[f"{a}_{b}"] for a, b in oxidation.SECOND] == pytest.approx(list(want[r.gc, r.channel]))
+
+
+# ---- Splits
+
+
+def worn_reads(n, share, seed, d=0.7):
+    rng = np.random.default_rng(seed)
+    bases = rng.choice(list("ACGT"), (n, 50))
+    damaged = rng.random(n) < share
+    for p in range(12):
+        for at, old, new in ((p, "C", "T"), (-1 - p, "G", "A")):
+            bases[damaged & (rng.random(n) < d * math.exp(-0.3 * p)) & (bases[:, at] == old), at] = new
+    return ["".join(r) for r in bases], damaged
+
+
+@pytest.mark.parametrize(("share", "state"), [(0.5, "detected"), (0.0, "abstain")])
+def test_planned_splits(spark, share, state, tmp_path):
+    seqs, damaged = worn_reads(30_000, share, 3)
+    rows = frame(spark, seqs)
+    plan = split.plan_split(rows)
+    assert plan.state == state
+    routes = {r.ord: r.route for r in split.split(rows, plan).collect()}
+    called = np.array([routes[i] == "damaged" for i in range(len(seqs))])
+    if state == "abstain":
+        assert not called.any()
+        return
+    assert plan.pi == pytest.approx(share, abs=0.15) and called[damaged].mean() > called[~damaged].mean() + 0.3
+    split.save_plan(spark, f"{tmp_path}/plan", plan)
+    again = split.load_plan(spark, f"{tmp_path}/plan", rows)
+    assert (again.profile, again.edges, again.state, again.pi) == (plan.profile, plan.edges, plan.state, plan.pi)
+    assert {r.ord: r.route for r in split.split(rows, again).collect()} == routes
+    with pytest.raises(ValueError, match="another input"):
+        split.load_plan(spark, f"{tmp_path}/plan", frame(spark, seqs[1:]))
+    assert split.load_plan(spark, f"{tmp_path}/plan", frame(spark, seqs[1:]), override=True).pi == plan.pi
+
+
+def test_cuts_by_state(spark):
+    seqs, _ = worn_reads(8_000, 0.3, 5)
+    rows = frame(spark, [*seqs, "A" * 20])
+    p = Profile(0.6, 0.3, 0.6, 0.3, 0.5, 0.5)
+    few = split.split(rows, split.plan_of(rows, p, [40], "low_abundance", 0.02)).collect()
+    cut = min(r.score for r in few if r.route == "damaged")
+    got = sum(r.route == "damaged" for r in few)
+    assert 0.02 * 8_001 <= got and got == sum(r.score >= cut for r in few)
+    assert sum(r.score >= cut + 0.02 for r in few) < 0.02 * 8_001 or got - sum(r.score > cut for r in few) >= 1
+    sure = split.split(rows, split.plan_of(rows, p, [40], "detected", 0.3), least=30).collect()
+    assert len(sure) == 8_000 and all((r.route == "damaged") == (r.score >= -math.log(0.3 / 0.7)) for r in sure)
+    with pytest.raises(ValueError, match="state"):
+        split.plan_of(rows, p, [40], "unsure", 0.3)
+    assert split.state_of(p, 0.01, True) == "low_abundance" and split.state_of(p, 0.5, False) == "abstain" == split.state_of(Profile(), 0.5, True)
