@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.operators.damage import LEAST_CELL, POSITIONS, fit_decay
+from palimpsest.operators.damage import LEAST_CELL, POSITIONS, Profile, fit_decay, llr
 from palimpsest.operators.profile import floor, length_bin
 
 # Lengths that count, parts at most, reads that a bin's fit needs.
@@ -112,6 +112,28 @@ def fit_bins(ends: DataFrame, edges: list[int], least: int = LEAST_READS) -> lis
     return out
 
 
+#: The columns of strata, the finest first to be summed over.
+STRATA = ("bin", "end", "pos", "damaged", "cpg")
+
+
+def strata(reads: DataFrame, profile: Profile, edges: list[int], threshold: float = 0.0) -> DataFrame:
+    """(bin, end, pos, damaged, cpg, level, a, c, g, t, n): bases at each place from either end by length bin, by
+    whether the profile calls the read damaged, and by whether the base stands in a CpG (at the 5' end a G
+    follows; at the 3' end a C precedes, or in single-stranded libraries a G follows), in one aggregate. level 0
+    has all of these, 1 is summed over cpg, 3 over damaged too, 19 over length bins as well (the bits of what is
+    summed over, which is null)."""
+    n, s = F.length("seq"), F.col("seq")
+    rows = floor(reads, SHORTEST).select("seq", length_bin(edges).alias("bin"), (llr("seq", profile) >= threshold).alias("damaged"), F.explode(F.sequence(F.lit(0), F.least(F.lit(POSITIONS), n) - 1)).alias("pos"))
+    at = lambda place: S.part(s, place, 1)
+    five, last = F.col("pos") + 1, n - F.col("pos")
+    beside = at(last + 1) == "G" if profile.single else (last > 1) & (at(F.greatest(last - 1, F.lit(1))) == "C")
+    ends = F.array(F.struct(F.lit(5).alias("end"), at(five).alias("x"), (at(five + 1) == "G").alias("cpg")), F.struct(F.lit(3).alias("end"), at(last).alias("x"), beside.alias("cpg")))
+    each = rows.select("bin", "pos", "damaged", F.inline(ends))
+    sets = [[*STRATA], [*STRATA[:4]], [*STRATA[:3]], ["end", "pos"]]
+    counts = [F.count_if(F.col("x") == b).alias(b.lower()) for b in "ACGT"]
+    return each.groupingSets([[F.col(c) for c in x] for x in sets], *(F.col(c) for c in STRATA)).agg(F.grouping_id().cast("int").alias("level"), *counts, F.count("*").alias("n")).select(*STRATA, "level", "a", "c", "g", "t", "n")
+
+
 # ---- Length x GC
 
 #: Places whose bases tell damaged reads: the two outermost of either end.

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from palimpsest.functions.derived import reads
-from palimpsest.operators import damage, profile, split
+from palimpsest.operators import damage, lengthmix, profile, split
 from palimpsest.operators.tables import written
 from palimpsest.plans.base import DAMAGE, R, query
 
@@ -139,3 +139,11 @@ def length_bin_damage(spark, sf_dir):
 @query()
 def hexamer_confound(spark, sf_dir):
     return profile.hexamer_confound(damage.hexamers(reads(spark, sf_dir)), 1)
+
+
+@query(f"""{R}, r AS (SELECT seq, {_LENGTH_BIN} AS bin, {_llr()} >= 0.05 AS damaged FROM reads), p AS (SELECT bin, damaged, pos::INT AS pos, seq, length(seq) - pos AS last FROM (SELECT *, unnest(range(0, 15)) AS pos FROM r)),
+e AS (SELECT bin, 5 AS "end", pos, damaged, substr(seq, pos + 2, 1) = 'G' AS cpg, substr(seq, pos + 1, 1) AS x FROM p UNION ALL SELECT bin, 3, pos, damaged, substr(seq, last - 1, 1) = 'C', substr(seq, last, 1) FROM p)
+SELECT bin, "end", pos, damaged, cpg, GROUPING(bin, "end", pos, damaged, cpg)::INT AS level, {", ".join(f"count(*) FILTER (x = '{b}') AS {b.lower()}" for b in "ACGT")}, count(*) AS n FROM e GROUP BY GROUPING SETS ((bin, "end", pos, damaged, cpg), (bin, "end", pos, damaged), (bin, "end", pos), ("end", pos))""")
+def damage_strata(spark, sf_dir):
+    """Both ends, composition, damaged reads and CpG by length bin and place, in one aggregate."""
+    return lengthmix.strata(reads(spark, sf_dir), DAMAGE, EDGES, 0.05)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from palimpsest.operators import errors, indels, lengthmix, overhang, oxidation, split
-from palimpsest.operators.damage import Profile
+from palimpsest.operators.damage import Profile, llr
 
 
 def frame(spark, seqs):
@@ -367,3 +367,26 @@ def test_cuts_by_state(spark):
     with pytest.raises(ValueError, match="state"):
         split.plan_of(rows, p, [40], "unsure", 0.3)
     assert split.state_of(p, 0.01, True) == "low_abundance" and split.state_of(p, 0.5, False) == "abstain" == split.state_of(Profile(), 0.5, True)
+
+
+@pytest.mark.parametrize("single", [False, True])
+def test_strata_by_hand(spark, single):
+    p = Profile(0.4, 0.3, 0.4, 0.3, 0.5, 0.5, single)
+    seqs = some_reads(250, 28, 70)
+    df = frame(spark, seqs)
+    called = {r.ord: r.damaged for r in df.select("ord", (llr("seq", p) >= 0.1).alias("damaged")).collect()}
+    want = collections.Counter()
+    for i, s in enumerate(seqs):
+        if len(s) < 30:
+            continue
+        b = sum(len(s) > x for x in (40, 55))
+        for pos in range(15):
+            last = len(s) - 1 - pos
+            three = (s[last + 1 : last + 2] == "G") if single else (last > 0 and s[last - 1] == "C")
+            for end, x, cpg in ((5, s[pos], s[pos + 1 : pos + 2] == "G"), (3, s[last], three)):
+                for level, key in ((0, (b, end, pos, called[i], cpg)), (1, (b, end, pos, called[i], None)), (3, (b, end, pos, None, None)), (19, (None, end, pos, None, None))):
+                    want[(level, *key, x)] += 1
+                    want[(level, *key, "n")] += 1
+    rows = lengthmix.strata(df, p, [40, 55], 0.1).collect()
+    got = {(r.level, *(r[c] for c in lengthmix.STRATA), x): k for r in rows for x, k in (("A", r.a), ("C", r.c), ("G", r.g), ("T", r.t), ("n", r.n)) if k}
+    assert got == {k: v for k, v in want.items() if k[-1] != "N"}
