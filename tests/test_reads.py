@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -560,3 +561,42 @@ def test_sketch_hits_are_those_of_all_pairs(spark):
         hits = sorted(((-len(set(hx) & set(hy)), x) for x, bx, hx in rows if x < y and bx == by and len(set(hx) & set(hy)) >= 2))
         want |= {(x, y, -n) for n, x in hits[:5]}
     assert {(r.a, r.b, r.hits) for r in errors.sketch_hits(table, top=5).collect()} == want
+
+
+@pytest.mark.parametrize("rules", [errors.Rules(five=3, three=1), errors.Rules(hot_parts=1), errors.Rules(five=2, three=2, hot_parts=1)])
+def test_close_pairs_are_those_of_brute_force(spark, rules):
+    """Keys that travel are numbers, without sequences, and lose no pair: with ends left out, and where every
+    key that two clusters share is split."""
+    rng = random.Random(7)
+    found = {}
+    for _ in range(25):
+        base = "".join(rng.choice("ACGT") for _ in range(rng.choice((30, 31))))
+        for _ in range(6):
+            s = list(base)
+            for p in rng.sample(range(len(s)), rng.choice((0, 1, 2, 3))):
+                s[p] = rng.choice("ACGT")
+            s = "".join(s)
+            turned = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            found[min(s, turned)] = found.get(min(s, turned), 0) + rng.randint(1, 3)
+    cut = lambda s: s[rules.five : len(s) - rules.three]
+    want = set()
+    for (a, n), (b, m) in itertools.permutations(found.items(), 2):
+        if len(a) == len(b) and (n > m or (n == m and a < b)):
+            for turned, s in ((0, b), (1, b[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+                if 1 <= sum(x != y for x, y in zip(cut(a), cut(s), strict=True)) <= 2:
+                    want.add((a, b, turned, s))
+    clusters = spark.createDataFrame(list(found.items()), "canon string, n bigint")
+    keys = errors.routed(errors.eligible(clusters, rules).withColumn("id", F.monotonically_increasing_id()), rules)
+    assert dict(keys.dtypes) == {"key": "bigint", "ref": "bigint"}
+    rows = errors.close_pairs(clusters, rules).select("parent", "child", "turned", "oriented").collect()
+    assert len(rows) == len(want) > 20 and {tuple(r) for r in rows} == want
+
+
+def test_molecules_are_grouped_by_numbers(spark):
+    """Without masked ends no string goes through the aggregation, which so needs no sort."""
+    found = dedup.deduplicate(frame(spark, [BASE, BASE, S_TURNED]), strand=True)
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    assert found.select("n", "fwd_n", "rep_ord", "first_ord", "first_fwd", "seq").first() == (3, 2 if BASE < S_TURNED else 1, 0, 0, BASE < S_TURNED, min(BASE, S_TURNED))
+
+
+S_TURNED = BASE[::-1].translate(str.maketrans("ACGT", "TGCA"))
