@@ -29,6 +29,8 @@ STATES, VOCABULARY, GROWTH, PASSES = 8, 16_384, 4, 14
 #: Training takes sequences whole up to so many tokens, and longer ones in pieces of that size, each a
 #: sequence of its own; sequences advance together up to so many tokens; added counts.
 CUT, BATCH_TOKENS, ADDED, PRIOR = 1 << 17, 1 << 19, 0.1, 50.0
+#: Tokens that training gathers before it deals them into batches: long sequences meet there.
+GATHERED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,16 @@ def word_keys(block: Block, roller: Roller) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches_of(sequences: list[np.ndarray], tokens: int = BATCH_TOKENS) -> Iterator[np.ndarray]:
-    """Places of sequences that may advance together: by falling length, bounded in all."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
+    """Places of sequences that may advance together: by falling length, bounded by the sum of their
+    lengths. A batch takes as many steps as its longest sequence has, so that short ones go along with it."""
+    lengths = np.array([len(s) for s in sequences], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    upto = np.cumsum(lengths[order])
     at = 0
     while at < len(order):
-        n = max(1, tokens // max(1, len(sequences[order[at]])))
-        yield order[at : at + n]
-        at += n
+        to = max(at + 1, int(np.searchsorted(upto, tokens + (upto[at - 1] if at else 0), "right")))
+        yield order[at:to]
+        at = to
 
 
 def in_steps(sequences: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,12 +104,13 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of some sequences: starts, moves, emissions; and their log likelihood."""
+def expected(model: Model, sequences: list[np.ndarray], tokens: int = BATCH_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of some sequences: starts, moves, emissions; and their log likelihood. Chances have the
+    precision of the model; sums over them are double."""
     k, v = len(model.start), len(model.emit)
     start, move, emit, logs = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
     turned = np.ascontiguousarray(model.move.T)
-    for which in batches_of(sequences):
+    for which in batches_of(sequences, tokens):
         symbols, begins = in_steps(sequences, which)
         ahead = np.take(model.emit, symbols, axis=0)
         chances, scales = forward(model, ahead, begins)
@@ -149,7 +155,7 @@ def symbol_type(symbols: int) -> type:
     return np.uint16 if symbols <= 1 << 16 else np.uint32
 
 
-def gathered(batches: Iterator[pa.RecordBatch], kind: type, tokens: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+def gathered(batches: Iterator[pa.RecordBatch], kind: type, tokens: int = GATHERED) -> Iterator[list[np.ndarray]]:
     """Training pieces of the sequences of batches (column 0), about so many tokens at a time."""
     held, n = [], 0
     for batch in batches:
@@ -173,9 +179,10 @@ def baum_welch(encoded: DataFrame, model: Model) -> tuple[Model, float]:
     columns = [f"s{j}" for j in range(k)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        total, model = None, Model(*shared.value)
+        # Single precision: chances are scaled at each step, and batches of twice as many tokens fit.
+        total, model = None, Model(*(x.astype(np.float32) for x in shared.value))
         for pieces in gathered(batches, symbol_type(v)):
-            got = expected(model, pieces)
+            got = expected(model, pieces, 2 * BATCH_TOKENS)
             total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
         if total is not None:
             start, move, emit, logs = total

@@ -712,3 +712,19 @@ def test_blocks_cover_all_texts():
     table = pa.array(TEXTS)
     seen = [b.text(i).decode() for _, b in blocks(table, 100) for i in range(len(b))]
     assert seen == [t or "" for t in TEXTS]
+
+
+def test_short_sequences_go_along_with_long_ones():
+    """A batch is bounded by its tokens, so that one long sequence does not make many batches of few rows."""
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(0, 50, n).astype(np.uint16) for n in [4000, 2500, *[10] * 300, 1]]
+    dealt = list(hmm.batches_of(sequences, 10_000))
+    assert len(dealt) == 1 and sorted(dealt[0].tolist()) == list(range(len(sequences)))
+    small = list(hmm.batches_of(sequences, 3000))
+    assert sorted(np.concatenate(small).tolist()) == list(range(len(sequences)))
+    assert all(len(w) == 1 or sum(len(sequences[i]) for i in w) <= 3000 for w in small)
+    model = hmm.first_model(np.ones(50), 4)
+    whole = hmm.expected(model, sequences)
+    single = hmm.expected(hmm.Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit))), sequences, 3000)
+    for a, b in zip(whole, single, strict=True):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
