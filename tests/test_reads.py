@@ -600,3 +600,34 @@ def test_molecules_are_grouped_by_numbers(spark):
 
 
 S_TURNED = BASE[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_candidates_are_settled_by_words_of_their_bases(spark):
+    """Two words tell the differences among the first 62 bases; longer reads are told apart by their letters."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("ACGT") for _ in range(80))
+    other = lambda s, *at: "".join("CGTA"["ACGT".index(x)] if i in at else x for i, x in enumerate(s))
+    pairs = [(base[:n], other(base[:n], *at)) for n in (20, 31, 32, 60, 80) for at in ((), (0, 19), (3, 7, 11))] + [("T" * 62, "A" * 62)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    apart = sum((errors.differing(errors.packed(F.col("a"), i), errors.packed(F.col("b"), i)) for i in range(errors.WORDS)), F.lit(0))
+    assert [(r.a, r.b, r.x) for r in rows.withColumn("x", apart).collect()] == [(a, b, sum(x != y for x, y in zip(a, b, strict=True))) for a, b in pairs]
+    long = [base, other(base, 70), other(base, 5, 79), other(base, 64, 70, 79)]
+    found = errors.close_pairs(spark.createDataFrame([(s, 9 - i) for i, s in enumerate(long)], "canon string, n bigint")).select("parent", "child", "h").collect()
+    assert {tuple(r) for r in found} >= {(long[0], long[1], 1), (long[0], long[2], 2)} and (long[0], long[3], 3) not in {tuple(r) for r in found}
+
+
+def test_finer_keys_are_made_of_hot_clusters_only(spark, monkeypatch):
+    """Where a few keys are hot, the other clusters' keys are not made again."""
+    rng, made, own = random.Random(5), [], errors.routed
+    half = "".join(rng.choice("ACGT") for _ in range(20))
+    hot = [half + "".join(rng.choice("ACGT") for _ in range(20)) for _ in range(8)]
+    cold = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(50)]
+
+    def watched(fit, rules, fine=False):
+        if fine:
+            made.append({r.canon for r in fit.select("canon").collect()})
+        return own(fit, rules, fine)
+
+    monkeypatch.setattr(errors, "routed", watched)
+    errors.close_pairs(spark.createDataFrame([(s, 1) for s in hot + cold], "canon string, n bigint"), errors.Rules(hot_parts=3)).count()
+    assert made == [set(hot)]
