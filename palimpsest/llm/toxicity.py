@@ -103,6 +103,24 @@ def sample_rows(labelled: DataFrame, label: str, key: str, most: int = MAX_ROWS)
     return labelled.filter(((F.col(label) == 1) & (unit < share(1))) | ((F.col(label) == 0) & (unit < share(0)))), counts
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of batches (label, text) the rows of either label that have a feature, block by block: some 80 times a
+    block's bytes are in use at once, so that blocks are small."""
+    roller = Roller(3)
+    for batch in batches:
+        y = batch.column(0).to_numpy()
+        for at, block in blocks(lowered(batch, 1)):
+            keys, owner = _distinct(*features(block, roller))
+            one = y[at + owner]
+            order = np.argsort(keys)
+            keys, first = np.unique(keys[order], return_index=True)
+            if len(keys):
+                ones = np.add.reduceat(one[order], first)
+                every = np.diff(np.append(first, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((every - ones).astype(np.int64)), pa.array(ones.astype(np.int64))], names=["k", "a", "b"])
+    released()
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, terms: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """Learn from the docs that labels covers; terms are the identity terms by kind (lower case). Labels other than 0 and 1 (null too) are left out;
     with only one class, or without labels, every text gets the share of label 1 as its score."""
@@ -114,21 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return Model(np.empty(0, np.uint64), np.empty(0), base)
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_key").select("_y", "_text")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(3)
-        for batch in batches:
-            y = batch.column(0).to_numpy()
-            for at, block in blocks(lowered(batch, 1), 8 << 20):
-                keys, owner = _distinct(*features(block, roller))
-                one = y[at + owner]
-                order = np.argsort(keys)
-                keys, first = np.unique(keys[order], return_index=True)
-                if len(keys):
-                    ones = np.add.reduceat(one[order], first)
-                    every = np.diff(np.append(first, len(order)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((every - ones).astype(np.int64)), pa.array(ones.astype(np.int64))], names=["k", "a", "b"])
-
-    seen = rows.mapInArrow(tally, "k bigint, a bigint, b bigint").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    seen = rows.mapInArrow(_tally, "k bigint, a bigint, b bigint").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     share0, share1 = F.col("a") / float(min(n0, max_rows)), F.col("b") / float(min(n1, max_rows))
     gap = F.abs(share1 - share0) / F.sqrt(share1 + share0 + 1e-4)
     kept = seen.filter(F.col("a") + F.col("b") >= MIN_ROWS).orderBy(gap.desc(), "k").limit(max_features).select("k").toPandas()
@@ -138,12 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         roller = Roller(3)
         for batch in batches:
             y = batch.column(0).to_numpy()
-            for at, block in blocks(lowered(batch, 1), 8 << 20):
+            for at, block in blocks(lowered(batch, 1)):
                 own = _hits(block, roller, keys)
                 texts = [block.text(i).decode(errors="replace") for i in range(len(block))]
                 turned = [{swap_terms(t, shift, terms) for shift in SHIFTS} - {t} for t in texts]
                 swapped = [[_hits(next(blocks(pa.array([x])))[1], roller, keys)[0] for x in sorted(others)] for others in turned]
                 yield pa.RecordBatch.from_arrays([pa.array(y[at : at + len(block)].astype(np.int32)), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], names=["y", "f", "g"])
+        released()
 
     table = rows.mapInArrow(gather, "y int, f array<int>, g array<array<int>>").toPandas()
     y = table["y"].to_numpy(float)

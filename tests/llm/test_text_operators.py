@@ -728,3 +728,17 @@ def test_short_sequences_go_along_with_long_ones():
     single = hmm.expected(hmm.Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit))), sequences, 3000)
     for a, b in zip(whole, single, strict=True):
         assert np.allclose(a, b, rtol=1e-4, atol=1e-3)
+
+
+def test_fitting_holds_little_of_a_large_batch():
+    """What a task holds while it tallies features does not grow with the batch."""
+    import tracemalloc
+
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}orderly" for i in range(676)]
+    texts = [" ".join(words[(i + j * 7) % 676] for j in range(400)) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000) % 2), pa.array(texts)], names=["y", "t"])
+    tracemalloc.start()
+    rows = sum(b.column(1).to_numpy().sum() + b.column(2).to_numpy().sum() for b in toxicity._tally(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= 3000 * 100 and peak < 160e6
