@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import seq as S
 from palimpsest.operators import pairblocks as P
 from palimpsest.operators.pairblocks import Block
+from palimpsest.operators.tables import written
 
 # The usual adapters of paired libraries.
 ADAPTER1, ADAPTER2 = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGT"
@@ -241,7 +242,7 @@ def clipped(pair: Column, own: str, other: str, options: Options) -> Column:
 def homopolymer(s: Column | str) -> Column:
     """True for reads with a window of 20 (or, shorter, a whole) of nearly one base."""
     s = S.col(s)
-    w = S.worst_window(s)
+    w = P.worst_windows(s)
     whole = (S.dominance(s) >= 0.90) | (S.entropy(s) < 0.40)
     return F.coalesce(F.when(F.length(s) < 20, whole).otherwise((w["dominance"] >= 0.90) | (w["entropy"] < 0.40)), F.lit(False))
 
@@ -362,13 +363,13 @@ def merge_report(merged: DataFrame) -> DataFrame:
 def complexity_gates(inserts: DataFrame, least: int = 500) -> tuple[float, float]:
     """The 1st percentile of entropy and the 99th of dominance of the worst windows of merged inserts
     (column seq), by sorted index; (0, 1) where there are fewer than `least`."""
-    w = S.worst_window("seq")
-    rows = inserts.filter(F.length("seq") >= 20).select(F.round(w["entropy"], 6).alias("e"), F.round(w["dominance"], 6).alias("d"))
+    windows = inserts.filter(F.length("seq") >= 20).select(P.worst_windows("seq").alias("w"))
+    rows = windows.select(F.round("w.entropy", 6).alias("e"), F.round("w.dominance", 6).alias("d"))
+    held = written(rows.groupBy("e", "d").agg(F.count("*").alias("k")), "gates")  # few values: compositions of 20 bases
+    n = held.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
 
     def at(c: str, share: float) -> float | None:
-        counted = rows.groupBy(c).agg(F.count("*").alias("k"))  # few values: compositions of 20 bases
-        upto = counted.withColumn("to", F.sum("k").over(Window.orderBy(c)))
-        n = rows.count()
+        upto = held.groupBy(c).agg(F.sum("k").alias("k")).withColumn("to", F.sum("k").over(Window.orderBy(c)))
         return None if n < least else float(upto.filter(F.col("to") > round(share * (n - 1))).agg(F.min(c)).first()[0])
 
     low, high = at("e", 0.01), at("d", 0.99)

@@ -8,6 +8,9 @@ moves these, a test is a comparison of matrices. The same rules as columns, one
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 A, C, G, T, N = (ord(b) for b in "ACGTN")
 WINDOW = 20
@@ -129,6 +132,21 @@ def worst_window(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def worst_windows(seq: Column | str) -> Column:
+    """seq.worst_window (windows of 20) as a struct, for many reads at a time: each window's composition comes
+    from running counts, where the expression counts every window's letters anew."""
+
+    @F.pandas_udf("entropy double, dominance double")
+    def run(reads: pd.Series) -> pd.DataFrame:
+        texts = np.array([(x or "").encode("latin-1", "replace") for x in reads] + [None], object)[:-1]
+        step = max(1, (1 << 20) // max(1, max(map(len, texts), default=1)))  # about 20 MB of counts at once
+        parts = [worst_window(Block(texts[i : i + step])) for i in range(0, len(texts), step)]
+        low, high = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0), np.empty(0))
+        return pd.DataFrame({"entropy": low, "dominance": high}).astype(object).where(~np.isnan(np.stack([low, high], axis=1)), None)
+
+    return run(seq)
+
+
 def homopolymer(b: Block) -> np.ndarray:
     """Nearly one base in a window of 20, or in a shorter whole; an empty read counts as such."""
     low, high = worst_window(b)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
-from palimpsest.operators import damage, dedup, errors, generate, graph, merge, profile, sorting, store
+from palimpsest.operators import damage, dedup, errors, generate, graph, merge, pairblocks, profile, sorting, store
 from palimpsest.sources import fastq
 from palimpsest.streaming import counts
 
@@ -631,3 +631,27 @@ def test_finer_keys_are_made_of_hot_clusters_only(spark, monkeypatch):
     monkeypatch.setattr(errors, "routed", watched)
     errors.close_pairs(spark.createDataFrame([(s, 1) for s in hot + cold], "canon string, n bigint"), errors.Rules(hot_parts=3)).count()
     assert made == [set(hot)]
+
+
+def test_worst_windows_of_blocks_are_those_of_the_expression(spark):
+    rng = random.Random(11)
+    seqs = [None, "", "ACGT", "A" * 20, "ACGTN" * 9, *("".join(rng.choice(letters) for _ in range(n)) for letters in ("ACGT", "AC", "A") for n in (19, 20, 21, 60, 300))]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "ord bigint, seq string")
+    found = rows.select(pairblocks.worst_windows("seq").alias("a"), S.worst_window("seq").alias("b")).collect()
+    for r in found:
+        assert (r.a.entropy is None) == (r.b.entropy is None) and (r.a.dominance is None) == (r.b.dominance is None)
+        assert r.a.entropy is None or (r.a.entropy == pytest.approx(r.b.entropy) and r.a.dominance == pytest.approx(r.b.dominance))
+
+
+def test_mates_meet_by_position_however_their_streams_are_cut(spark, tmp_path):
+    """Each stream is written by several tasks, into files of other sizes."""
+    rows = spark.range(50).select(F.col("id").alias("ord"), F.concat(F.lit("@r"), "id").alias("header"), F.lit("ACGT").alias("seq"), F.lit("+").alias("plus"), F.lit("IIII").alias("qual"))
+    streams = []
+    for name, at in (("a", 10), ("b", 33)):
+        files = []
+        for i, part in enumerate((rows.filter(F.col("ord") < at), rows.filter(F.col("ord") >= at))):
+            fastq.write_fastq(part.coalesce(1).withColumn("seq", F.concat("seq", F.translate(F.col("ord").cast("string"), "0123456789", "ACGTACGTAC"))).withColumn("qual", F.repeat(F.lit("I"), F.length("seq"))), str(tmp_path / f"{name}{i}"))
+            files += fastq.parts_of(spark, str(tmp_path / f"{name}{i}"))
+        streams.append(fastq.read_fastq(spark, *files))
+    found = fastq.paired(*streams).orderBy("ord").collect()
+    assert [r.ord for r in found] == list(range(50)) and all(r.seq1 == r.seq2 for r in found) and [r.header for r in found] == [f"@r{i}" for i in range(50)]
