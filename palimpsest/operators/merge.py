@@ -215,7 +215,9 @@ def cut_back(pair: Column, adapter: str, options: Options) -> Column:
 def _cut_back(pair: Column, adapter: str, options: Options) -> Column:
     s, n, k = pair["s"], F.length(pair["s"]), len(adapter)
     size = lambda i: F.least(F.lit(k), n - i)
-    fits = lambda i: S.hamming(s.substr(i + 1, size(i)), F.left(F.lit(adapter), size(i))) * 10 <= size(i)
+    # A bounded edit distance, which is compiled and never above the mismatches, settles nearly all places first.
+    near = lambda a, b, most: (F.levenshtein(a, b, most) >= 0) & (S.hamming(a, b) * 10 <= F.length(b))
+    fits = lambda i: near(s.substr(i + 1, size(i)), F.left(F.lit(adapter), size(i)), k // 10)
     starts = F.when(n >= max(6, options.min_length), F.filter(F.sequence(F.greatest(F.lit(0), n - k - 5), n - 6), fits)).otherwise(F.array().cast("array<int>"))
     cut = lambda at: F.when(at.isNull(), pair).when(at < options.min_length, F.struct(F.lit("").alias("s"), F.lit("").alias("q"))).otherwise(F.struct(F.left(s, at).alias("s"), F.left(pair["q"], at).alias("q")))
     return let(F.get(starts, F.lit(0)), cut)
