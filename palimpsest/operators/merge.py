@@ -437,13 +437,14 @@ def substitution_tensor(overlapped: DataFrame, most: int = 30, by_length: bool =
 
 
 def _tensor(overlapped: DataFrame, most: int, more: list[str]) -> DataFrame:
-    n = F.length("left")
-    at = overlapped.select("left", "right", *more, F.posexplode(F.sequence(F.lit(1), n)).alias("i", "p")).select(*more, F.col("i"), (F.length("left") - F.col("p")).alias("j"), F.col("left").substr(F.col("p"), F.lit(1)).alias("b1"), F.col("right").substr(F.col("p"), F.lit(1)).alias("b2"))
-    at = at.filter((F.col("b1") != "N") & (F.col("b2") != "N"))
-    rows = at.select(F.inline(F.array(F.struct(F.lit("fwd").alias("strand"), F.when(F.col("i") < most, F.col("i")).alias("pos"), F.lit(True).alias("one")), F.struct(F.lit("rev").alias("strand"), F.when(F.col("j") < most, F.col("j")).alias("pos"), F.lit(False).alias("one")))), *more, "b1", "b2")
-    ends = rows.filter("pos is not null").groupBy("strand", "pos", *more, "b1", "b2").agg(F.count("*").alias("n"))
-    every = at.groupBy(*more, "b1", "b2").agg(F.count("*").alias("n")).select(F.lit("all").alias("strand"), F.lit(None).cast("int").alias("pos"), *more, "b1", "b2", "n")
-    return ends.unionByName(every)
+    # Counted once by place and length of the overlap, a table whose size does not depend on the pairs; what is told
+    # from both ends and over all places comes from it.
+    at = overlapped.select("left", "right", *more, F.length("left").alias("_n"), F.posexplode(F.sequence(F.lit(1), F.length("left"))).alias("i", "p")).select(*more, "_n", "i", F.col("left").substr(F.col("p"), F.lit(1)).alias("b1"), F.col("right").substr(F.col("p"), F.lit(1)).alias("b2"))
+    cells = at.filter((F.col("b1") != "N") & (F.col("b2") != "N")).groupBy(*more, "_n", "i", "b1", "b2").agg(F.count("*").alias("k"))
+    j = F.col("_n") - 1 - F.col("i")
+    side = lambda strand, pos: F.struct(F.lit(strand).alias("strand"), pos.cast("int").alias("pos"))
+    rows = cells.select(F.inline(F.array(side("fwd", F.col("i")), side("rev", j), side("all", F.lit(None)))), *more, "b1", "b2", "k").filter(F.col("pos").isNull() | (F.col("pos") < most))
+    return rows.groupBy("strand", "pos", *more, "b1", "b2").agg(F.sum("k").alias("n"))
 
 
 def polyg_threshold(share_g: float) -> int:
