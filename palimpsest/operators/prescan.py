@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import seq as S
 from palimpsest.operators import merge
-from palimpsest.operators.merge import UNIVERSAL, Options, find_anchor, matrix, reverse_complement, strings
+from palimpsest.operators.merge import _COMPLEMENT, UNIVERSAL, Options, find_anchor, matrix, reverse_complement, strings
 from palimpsest.operators.tables import head, written
 
 # Pairs of the head, greatest share of misses of a loose overlap, the core of single-stranded splints and what is
@@ -73,11 +73,12 @@ def inserts(pairs: DataFrame, min_overlap: int = 11) -> DataFrame:
     bases, their aligned calls, what follows the insert in either mate, and whether a splint core in mate 1 has
     the stem before it (ds), clearly not (ss), or tells nothing (null)."""
 
+    # Names of another module are imported one by one: a module that a task's function names goes with it whole.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             whole = whole.fillna({"seq1": "", "seq2": ""})
             for (la, lb), rows in whole.groupby([whole["seq1"].str.len(), whole["seq2"].str.len()]):
-                a, b = matrix(rows["seq1"], la), merge._COMPLEMENT[matrix(rows["seq2"], lb)][:, ::-1]
+                a, b = matrix(rows["seq1"], la), _COMPLEMENT[matrix(rows["seq2"], lb)][:, ::-1]
                 size, start = _overlap(a, b, min_overlap) if min(la, lb) >= min_overlap else (np.full(len(rows), -1), np.zeros(len(rows), int))
                 core = find_anchor(a, SPLINT, 0, 1) if la >= len(SPLINT) else np.full(len(rows), -1)
                 stem = np.full(len(rows), None, object)
